@@ -162,7 +162,7 @@ def scan_personal_data(findings: DataFrame, scans: DataFrame, prs: DataFrame, re
 
 def findings_ordered(findings: DataFrame) -> DataFrame:
     """T8."""
-    return findings.orderBy("scan_id", "pdn_type", "file_path", "line_number")
+    return findings.orderBy("scan_id", "pdn_type", "file_path", "line_number", "matched_identifier")
 
 
 # --- scans -------------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import dims
-from .common import lookup, strip
+from .common import blank_to_null, lookup, strip
 
 # Shapes of a licence string and notes attached to it.
 COMPOUND = r"\bOR\b|\bAND\b|\bWITH\b"
@@ -149,7 +149,7 @@ def license_field_text(field: Column) -> Column:
         lambda v: F.coalesce(F.try_variant_get(v, "$.type", "string"), v.cast("string")),
     )
     as_object = F.coalesce(
-        F.get_json_object(field, "$.type"), F.get_json_object(field, "$.name")
+        blank_to_null(F.get_json_object(field, "$.type")), F.get_json_object(field, "$.name")
     )
     lead = F.substring(F.ltrim(field), 1, 1)
     return (

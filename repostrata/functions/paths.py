@@ -14,12 +14,12 @@ def segments(path: Column) -> Column:
 
 
 def basename(path: Column) -> Column:
-    return F.element_at(segments(path), -1)
+    return F.substring_index(path, "/", -1)
 
 
 def suffix(path: Column) -> Column:
     """Lower-cased last extension with its dot; '' for none and for dot files."""
-    return F.lower(F.regexp_extract(basename(path), r"^.+(\.[^.]+)$", 1))
+    return F.lower(F.regexp_extract(path, r"(?<=[^/])(\.[^./]+)$", 1))
 
 
 def stem(path: Column) -> Column:

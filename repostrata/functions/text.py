@@ -25,10 +25,11 @@ def count_text_lines(content: Column) -> Column:
 
 
 def _lines(content: Column, newline: str) -> Column:
-    parts = F.split(content, newline, -1)
-    return F.when(
-        F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)
-    ).otherwise(parts)
+    """A newline at the very end closes the last line; an empty text has no line."""
+    body = F.regexp_replace(content, f"(?:{newline})\\z", "")
+    return F.when(content != "", F.split(body, newline, -1)).otherwise(
+        F.array().cast("array<string>")
+    )
 
 
 def file_lines(content: Column) -> Column:

@@ -139,15 +139,21 @@ def comment_part(line: Column) -> Column:
 
 def comment_split(source_files: DataFrame) -> DataFrame:
     """(repo_id, path, line_number, code, comment), one row per line."""
-    lines = text.file_lines(marked_content(F.col("content"), comment_style(F.col("path"))))
+    return numbered_lines(source_files).select(
+        "repo_id",
+        "path",
+        "line_number",
+        code_part(F.col("line")).alias("code"),
+        comment_part(F.col("line")).alias("comment"),
+    )
+
+
+def numbered_lines(source_files: DataFrame) -> DataFrame:
+    """Marked lines with their numbers. The text is marked once, in its own column."""
+    marked = marked_content(F.col("content"), comment_style(F.col("path")))
     return (
-        source_files.filter(F.col("content") != "")
-        .select("repo_id", "path", F.posexplode(lines).alias("pos", "line"))
-        .select(
-            "repo_id",
-            "path",
-            (F.col("pos") + 1).cast("long").alias("line_number"),
-            code_part(F.col("line")).alias("code"),
-            comment_part(F.col("line")).alias("comment"),
-        )
+        source_files.select("repo_id", "path", marked.alias("marked"))
+        .select("repo_id", "path", F.posexplode_outer(text.file_lines(F.col("marked"))).alias("pos", "line"))
+        .filter(F.col("pos").isNotNull())
+        .select("repo_id", "path", (F.col("pos") + 1).cast("long").alias("line_number"), "line")
     )

@@ -20,15 +20,19 @@ def _matches(line: Column, language: Column, patterns: dict[str, str]) -> Column
     return chain
 
 
-def function_lengths(lines: Column, language: Column) -> Column:
-    """Lines from each function start to the next one, or to the end."""
-    starts = F.filter(
+def function_starts(lines: Column, language: Column) -> Column:
+    """Positions of the lines that start a function."""
+    return F.filter(
         F.transform(
             lines, lambda l, i: F.when(_matches(l, language, dims.FUNCTION_PATTERNS), i)
         ),
         lambda i: i.isNotNull(),
     )
-    ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(lines)))
+
+
+def function_lengths(starts: Column, line_count: Column) -> Column:
+    """Lines from each function start to the next one, or to the end."""
+    ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(line_count))
     return F.filter(
         F.zip_with(starts, ends, lambda s, e: e - s), lambda n: n.isNotNull()
     )
@@ -57,23 +61,37 @@ def complexity_files(source_files: DataFrame, languages: DataFrame) -> DataFrame
         .join(languages.select("repo_id", "language").distinct(), ["repo_id", "language"], "left_semi")
         .withColumn("lines", text.text_lines(F.col("content")))
     )
-    lengths = function_lengths(F.col("lines"), F.col("language"))
-    return coded.select(
+    # Starts and imports are columns of their own, so that each is found once.
+    found = coded.select(
         "repo_id",
         "path",
         "language",
-        F.size("lines").cast("long").alias("lines"),
+        F.size("lines").alias("lines"),
+        function_starts(F.col("lines"), F.col("language")).alias("starts"),
+        import_lines(F.col("lines"), F.col("language")).alias("imports"),
+    )
+    lengths = function_lengths(F.col("starts"), F.col("lines"))
+    return found.select(
+        "repo_id",
+        "path",
+        "language",
+        F.col("lines").cast("long").alias("lines"),
         F.size(F.filter(lengths, lambda n: n >= dims.LARGE_FUNCTION_LINES))
         .cast("long")
         .alias("large_functions"),
-        import_lines(F.col("lines"), F.col("language")).alias("imports"),
+        "imports",
     )
 
 
 def fan_out(files: DataFrame) -> DataFrame:
-    """Distinct import lines of a repository."""
+    """Distinct import lines of a repository.
+
+    The outer form of explode, because the plain one makes Spark test the array
+    for emptiness first, which finds the imports of every file twice.
+    """
     return (
-        files.select("repo_id", F.explode("imports").alias("line"))
+        files.select("repo_id", F.explode_outer("imports").alias("line"))
+        .filter(F.col("line").isNotNull())
         .distinct()
         .groupBy("repo_id")
         .agg(F.count("*").alias("fan_out"))

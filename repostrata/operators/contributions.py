@@ -151,7 +151,8 @@ def raw_identities(commits: DataFrame) -> DataFrame:
 
 
 def _changes(commits: DataFrame) -> DataFrame:
-    return commits.select(*USER, F.inline("file_changes"))
+    """One row per changed file; the outer form keeps a parsed log from being parsed twice."""
+    return commits.select(*USER, F.inline_outer("file_changes")).filter(F.col("path").isNotNull())
 
 
 def with_user_share(rows: DataFrame, part: str = "files_changed") -> DataFrame:

@@ -82,7 +82,7 @@ POM_SELF = (
 def pom_licenses(source_files: DataFrame) -> DataFrame:
     """L2: every pom.xml of the tree names itself and its first licence."""
     files = m.pom_files(source_files, root_only=False).withColumn(
-        "pom", F.from_xml("content", POM_SELF)
+        "pom", F.from_xml("content", POM_SELF, m.XML_OPTIONS)
     )
     group = F.coalesce(
         blank_to_null(F.col("pom.groupId")), blank_to_null(F.col("pom.parent.groupId")), F.lit("")
@@ -119,8 +119,8 @@ def gemspec_licenses(source_files: DataFrame) -> DataFrame:
 def npm_lock_licenses(source_files: DataFrame) -> DataFrame:
     """Licence fields of package-lock.json; in version 1 the first entry counts."""
     rows = m.npm_lock_packages(source_files).select(
-        "repo_id", "path", "direct_names", "is_v1", F.posexplode("packages").alias("pos", "p")
-    )
+        "repo_id", "path", "direct_names", "is_v1", F.posexplode_outer("packages").alias("pos", "p")
+    ).filter(F.col("pos").isNotNull())
     order = F.when(F.col("is_v1"), -F.col("pos")).otherwise(F.col("pos"))
     lic = license_info(license_field_text(F.col("p.license")), "high", "lockfile")
     direct = F.col("p.top") & F.array_contains("direct_names", F.col("p.name"))

@@ -17,6 +17,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import dims, text
 from ..functions.common import blank_to_null, strip
@@ -46,25 +47,32 @@ def _rows(files: DataFrame, entries: Column, seq: int, ecosystem: str, mode: str
           manifest=None) -> DataFrame:
     """Explode the entries of each file and add the constant columns."""
     pm = manager if isinstance(manager, Column) else F.lit(manager).cast("string")
-    return files.select(
+    listed = files.select(
         "repo_id",
         (F.col("path") if manifest is None else manifest).alias("manifest_file"),
         pm.alias("package_manager"),
-        F.posexplode(entries.cast(ENTRY)).alias("item_seq", "e"),
-    ).select(
-        "repo_id",
-        "e.name",
-        "e.version",
-        "e.dep_type",
-        "manifest_file",
-        F.lit(ecosystem).alias("ecosystem"),
-        "e.is_direct",
-        "e.is_optional",
-        F.lit(False).alias("is_private"),
-        F.lit(mode).alias("discovery_mode"),
-        "package_manager",
-        F.lit(seq).alias("parser_seq"),
-        "item_seq",
+        entries.cast(ENTRY).alias("entries"),
+    )
+    # The outer form, because the plain one parses every file a second time to
+    # test for emptiness.
+    return (
+        listed.select("repo_id", "manifest_file", "package_manager", F.posexplode_outer("entries").alias("item_seq", "e"))
+        .filter(F.col("item_seq").isNotNull())
+        .select(
+            "repo_id",
+            "e.name",
+            "e.version",
+            "e.dep_type",
+            "manifest_file",
+            F.lit(ecosystem).alias("ecosystem"),
+            "e.is_direct",
+            "e.is_optional",
+            F.lit(False).alias("is_private"),
+            F.lit(mode).alias("discovery_mode"),
+            "package_manager",
+            F.lit(seq).alias("parser_seq"),
+            F.col("item_seq").cast("long").alias("item_seq"),
+        )
     )
 
 
@@ -128,7 +136,7 @@ def requirements(source_files: DataFrame) -> DataFrame:
     return rows.withColumn("item_seq", (order * 10_000_000 + F.col("item_seq")).cast("long"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def toml_to_json(content: pd.Series) -> pd.Series:
     """TOML text as JSON text, null when it is broken."""
 
@@ -266,6 +274,7 @@ def _well_formed_xml(files: DataFrame) -> DataFrame:
     return files.filter(probe["_broken"].isNull())
 
 
+XML_OPTIONS = {"ignoreSurroundingSpaces": "false"}
 POM_NAMESPACE = r"xmlns\s*=\s*[\"']http://maven\.apache\.org/POM/4\.0\.0[\"']"
 POM_DEPENDENCY = "struct<groupId:string,artifactId:string,version:string,scope:string,optional:string>"
 
@@ -284,7 +293,7 @@ def pom_xml(source_files: DataFrame) -> DataFrame:
     pieces = F.regexp_extract_all(
         "content", F.lit(r"(?s)<dependency(?:\s[^>]*)?>.*?</dependency>"), F.lit(0)
     )
-    found = F.transform(pieces, lambda p: F.from_xml(p, POM_DEPENDENCY))
+    found = F.transform(pieces, lambda p: F.from_xml(p, POM_DEPENDENCY, XML_OPTIONS))
     entries = F.transform(
         found,
         lambda d: _entry(
@@ -357,7 +366,7 @@ def nuget(source_files: DataFrame) -> DataFrame:
         F.lit(r"(?s)<PackageReference\b[^>]*/>|<PackageReference\b[^>]*>.*?</PackageReference>"),
         F.lit(0),
     )
-    found = F.transform(pieces, lambda p: F.from_xml(p, NUGET_REFERENCE))
+    found = F.transform(pieces, lambda p: F.from_xml(p, NUGET_REFERENCE, XML_OPTIONS))
 
     def name(r: Column) -> Column:
         return F.coalesce(blank_to_null(r["_Include"]), blank_to_null(r["_Update"]))
@@ -419,7 +428,7 @@ def with_direct_names(lock_files: DataFrame, source_files: DataFrame) -> DataFra
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def flatten_lock_tree(content: pd.Series) -> pd.Series:
     """Nested v1 `dependencies` tree as a flat JSON list, parents first, any depth."""
 

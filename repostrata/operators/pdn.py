@@ -7,8 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dims, paths, text
-from .comments import code_part, comment_part, comment_style, marked_content
+from ..functions import dims, paths
+from .comments import code_part, comment_part, numbered_lines
 
 
 def identifier_pattern(identifier: str) -> str:
@@ -61,17 +61,16 @@ def pdn_findings(
         sorted({re.sub(r"([^\w])", r"\\\1", i, flags=re.ASCII) for _, i in types}, key=len)
     )
     candidates = pdn_targets(source_files).filter(F.col("content").rlike(any_of))
-    lines = text.file_lines(marked_content(F.col("content"), comment_style(F.col("path"))))
-    numbered = (
-        candidates.select("repo_id", "path", F.posexplode(lines).alias("pos", "line"))
-        .filter((F.col("pos") < dims.PDN_MAX_LINES) & F.col("line").rlike(any_of))
+    numbered = numbered_lines(candidates).filter(
+        (F.col("line_number") <= dims.PDN_MAX_LINES) & F.col("line").rlike(any_of)
     )
     hits = _hits(code_part(F.col("line")), "code", types)
     if include_comments:
         hits = F.concat(hits, _hits(comment_part(F.col("line")), "comment", types))
-    return numbered.select(
-        "repo_id",
-        "path",
-        (F.col("pos") + 1).cast("long").alias("line_number"),
-        F.inline(F.filter(hits, lambda h: h.isNotNull())),
+    return (
+        numbered.select(
+            "repo_id", "path", "line_number", F.filter(hits, lambda h: h.isNotNull()).alias("hits")
+        )
+        .select("repo_id", "path", "line_number", F.inline_outer("hits"))
+        .filter(F.col("pdn_type").isNotNull())
     )

@@ -223,7 +223,7 @@ QUERIES = {
                           count(language) AS with_language FROM good g LEFT JOIN log_changes l USING (sha_key) GROUP BY ALL""", "commits", "changes"),
     ),
     "s2_git_log_changes": (
-        lambda t: _parsed(t).select(F.col("sha").cast("long").alias("sha_key"), F.inline("file_changes")),
+        lambda t: _parsed(t).select(F.col("sha").cast("long").alias("sha_key"), F.inline_outer("file_changes")).filter(F.col("path").isNotNull()),
         oracle(LOG + "SELECT l.* FROM log_changes l JOIN good USING (sha_key)", "commits", "changes"),
     ),
     "s3_history_limit": (

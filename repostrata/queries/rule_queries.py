@@ -148,12 +148,11 @@ def _modules(t: Tables):
 
 
 def _part_owners(t: Tables):
-    """Owners of small units: part names below each nation are touched by few users."""
-    rows = t.lines().groupBy(
+    """Owners of small units: a part is a repository, touched by two users."""
+    return t.lines().groupBy(
         F.col("l_partkey").alias("repo_id"), F.lower("p_type").alias("module"), F.col("p_brand").alias("language"),
-        F.concat(F.lit("u"), (F.col("l_suppkey") % 4).cast("string")).alias("username"),
+        F.when(F.col("l_suppkey") % 10 < 9, "u0").otherwise("u1").alias("username"),
     ).agg(F.count("*").alias("files_changed"))
-    return rows
 
 
 OWNERS = """
@@ -163,7 +162,7 @@ FROM {rows} GROUP BY repo_id, {key}
 """
 LANGUAGE_ROWS = "(SELECT repo_id, username, language, count(*) AS files_changed FROM user_changes WHERE language IS NOT NULL GROUP BY ALL)"
 MODULE_ROWS = "(SELECT repo_id, username, module, count(*) AS files_changed FROM user_changes GROUP BY ALL)"
-PART_ROWS = """(SELECT l_partkey AS repo_id, lower(p_type) AS module, p_brand AS language, 'u' || (l_suppkey % 4) AS username,
+PART_ROWS = """(SELECT l_partkey AS repo_id, lower(p_type) AS module, p_brand AS language, CASE WHEN l_suppkey % 10 < 9 THEN 'u0' ELSE 'u1' END AS username,
   count(*) AS files_changed FROM lines GROUP BY ALL)"""
 
 

@@ -40,33 +40,43 @@ def read_log_text(spark: SparkSession, path: str, mark: str = COMMIT_MARK) -> Da
     )
 
 
-def _numstat(line: Column) -> Column:
-    """One change line to a struct, null when it is not one."""
-    parts = F.split(strip(line), "\t")
+def _numstat(lines: Column) -> Column:
+    """Change lines to an array of structs; lines that are none are left out.
 
-    def count(i: int) -> Column:
-        raw = F.get(parts, F.lit(i))
+    Each step is its own array function, so a path is cleaned once and its
+    extension is taken once.
+    """
+
+    def count(raw: Column) -> Column:
         return F.when(raw == "-", F.lit(0).cast("long")).when(
             raw.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(raw).try_cast("long")
         )
 
-    path = paths.clean_filepath(F.get(parts, F.lit(2)))
-    usable = (
-        (F.size(parts) >= 3)
-        & count(0).isNotNull()
-        & count(1).isNotNull()
-        & path.isNotNull()
-        & ~paths.in_history_skipped_dir(path)
+    fields = F.filter(F.transform(lines, lambda l: F.split(strip(l), "\t")), lambda p: F.size(p) >= 3)
+    rows = F.transform(
+        fields,
+        lambda p: F.struct(
+            paths.clean_filepath(F.get(p, F.lit(2))).alias("path"),
+            count(F.get(p, F.lit(0))).alias("insertions"),
+            count(F.get(p, F.lit(1))).alias("deletions"),
+        ),
     )
-    return F.when(
-        usable,
-        F.struct(
-            path.alias("path"),
-            count(0).alias("insertions"),
-            count(1).alias("deletions"),
-            paths.detect_language(path).alias("language"),
-        ).cast(CHANGE_TYPE),
+    kept = F.filter(
+        rows,
+        lambda r: r["path"].isNotNull()
+        & r["insertions"].isNotNull()
+        & r["deletions"].isNotNull()
+        & ~paths.in_history_skipped_dir(r["path"]),
     )
+    return F.transform(
+        kept,
+        lambda r: F.struct(
+            r["path"].alias("path"),
+            r["insertions"].alias("insertions"),
+            r["deletions"].alias("deletions"),
+            paths.detect_language(r["path"]).alias("language"),
+        ),
+    ).cast(f"array<{CHANGE_TYPE}>")
 
 
 def parse_log(blocks: DataFrame) -> DataFrame:
@@ -89,10 +99,7 @@ def parse_log(blocks: DataFrame) -> DataFrame:
         header(2).alias("author_email"),
         header(3).alias("ts_raw"),
         iso_parse(header(3)).alias("ts"),
-        F.filter(
-            F.transform(F.slice("lines", F.lit(5), F.size("lines")), _numstat),
-            lambda c: c.isNotNull(),
-        ).alias("file_changes"),
+        _numstat(F.slice("lines", F.lit(5), F.size("lines"))).alias("file_changes"),
     )
     return commits.filter((F.length("sha") >= 7) & F.col("ts").isNotNull())
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,9 +13,13 @@ def literal_array(values: list[str]) -> Column:
 
 
 def lookup(mapping: dict[str, str], key: Column) -> Column:
-    """Value of `key` in a fixed map, null when absent (or when the key is null)."""
-    pairs = [F.lit(x) for kv in mapping.items() for x in kv]
-    return F.try_element_at(F.create_map(*pairs), key)
+    """Value of `key` in a fixed map, null when absent (or when the key is null).
+
+    The map travels as one JSON literal, which the optimizer folds to a map literal;
+    spelling it out would make plans with hundreds of nodes per lookup.
+    """
+    table = F.from_json(F.lit(json.dumps(mapping)), "map<string,string>")
+    return F.try_element_at(table, key)
 
 
 def blank_to_null(c: Column) -> Column:
@@ -48,3 +54,12 @@ def pick(flags: list[tuple[Column, Column]]) -> Column:
     """Array of the values whose condition holds, in the given order."""
     options = F.array(*[F.when(cond, value) for cond, value in flags])
     return F.filter(options, lambda x: x.isNotNull())
+
+
+def let(value: Column, body) -> Column:
+    """`body(x)` with x bound to `value`, so a long expression is evaluated once.
+
+    Column expressions have no variables; a one-element array with `transform` is
+    one, and it keeps plans small where a value is needed many times.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import dims
-from .common import blank_to_null, strip
+from .common import blank_to_null, let, strip
 
 _ONE = {k: v for k, v in dims.CYRILLIC_TO_LATIN.items() if len(v) == 1}
 _MANY = {k: v for k, v in dims.CYRILLIC_TO_LATIN.items() if len(v) > 1}
@@ -24,6 +24,10 @@ def transliterate(name: Column) -> Column:
 
 def strip_diacritics(name: Column) -> Column:
     """ASCII letters of the compatibility decomposition, the rest dropped."""
+    return let(name, _ascii)
+
+
+def _ascii(name: Column) -> Column:
     has_long = name.rlike("[" + "".join(_LONG) + "]")
     long_forms = reduce(
         lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), _LONG.items(), name
@@ -40,8 +44,13 @@ def clean_name(name: Column) -> Column:
 
 def email_to_username(email: Column) -> Column:
     """null when nothing usable is left of the local part."""
-    local = F.lower(F.substring_index(email, "@", 1))
-    local = F.regexp_replace(F.regexp_replace(local, r"[.\-+]", "_"), "[^a-z0-9_]", "")
+    local = F.regexp_replace(
+        F.regexp_replace(F.lower(F.substring_index(email, "@", 1)), r"[.\-+]", "_"), "[^a-z0-9_]", ""
+    )
+    return let(local, _from_local_part)
+
+
+def _from_local_part(local: Column) -> Column:
     parts = F.split(local, "_")
     initial = F.substring(F.get(parts, F.lit(0)), 1, 1)
     last = F.element_at(parts, -1)
@@ -64,7 +73,10 @@ def _identity(username, confidence, ambiguous, source) -> Column:
 
 def name_to_identity(name: Column) -> Column:
     """struct(username, confidence, is_ambiguous, source)."""
-    cleaned = clean_name(F.coalesce(name, F.lit("")))
+    return let(clean_name(F.coalesce(name, F.lit(""))), _from_clean_name)
+
+
+def _from_clean_name(cleaned: Column) -> Column:
     parts = F.split(cleaned, " ")
     first, last = F.get(parts, F.lit(0)), F.element_at(parts, -1)
     initial_only = F.length(first) == 1
@@ -89,13 +101,11 @@ def name_key(name: Column) -> Column:
 def resolve_identity(name: Column, email: Column, by_name: Column, by_email: Column) -> Column:
     """override by name, override by e-mail, e-mail, then name."""
     override = F.coalesce(by_name, by_email)
-    from_email = email_to_username(email)
-    return (
-        F.when(
-            override.isNotNull(), _identity(override, F.lit(1.0), F.lit(False), "override")
-        )
-        .when(
-            from_email.isNotNull(), _identity(from_email, F.lit(0.9), F.lit(False), "email")
-        )
-        .otherwise(name_to_identity(name))
+    known = F.coalesce(
+        F.when(override.isNotNull(), _identity(override, F.lit(1.0), F.lit(False), "override")),
+        let(
+            email_to_username(email),
+            lambda u: F.when(u.isNotNull(), _identity(u, F.lit(0.9), F.lit(False), "email")),
+        ),
     )
+    return F.coalesce(known, name_to_identity(name))

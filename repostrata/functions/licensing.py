@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import dims
-from .common import blank_to_null, lookup, strip
+from .common import blank_to_null, let, lookup, strip
 
 # Shapes of a licence string and notes attached to it.
 COMPOUND = r"\bOR\b|\bAND\b|\bWITH\b"
@@ -27,7 +27,10 @@ def _bare(c: Column) -> Column:
 
 def normalise_spdx(raw: Column) -> Column:
     """F16: struct(spdx, expression, notes)."""
-    cleaned = _bare(raw)
+    return let(_bare(F.coalesce(raw, F.lit(""))), lambda c: _normalised(c))
+
+
+def _normalised(cleaned: Column) -> Column:
     compound = cleaned.rlike(COMPOUND)
     first = _bare(F.get(F.split(cleaned, COMPOUND_SPLIT, 2), F.lit(0)))
     token = F.when(first.rlike(SPDX_TOKEN), first)
@@ -44,7 +47,7 @@ def normalise_spdx(raw: Column) -> Column:
     none = F.lit(None).cast("string")
     ambiguous = F.concat(F.lit(NOTE_AMBIGUOUS[0]), cleaned, F.lit(NOTE_AMBIGUOUS[1]))
     return (
-        F.when(F.coalesce(raw, F.lit("")) == "", result(none))
+        F.when(cleaned == "", result(none))
         .when(
             compound,
             result(
@@ -113,7 +116,13 @@ LICENSE_INFO = (
 
 def license_info(raw: Column, confidence: str, source: str | None) -> Column:
     """normalised licence with risk; ambiguity lowers the confidence."""
-    norm = normalise_spdx(raw)
+    return let(
+        F.struct(raw.alias("raw"), normalise_spdx(raw).alias("norm")),
+        lambda x: _license_struct(x["raw"], x["norm"], confidence, source),
+    )
+
+
+def _license_struct(raw: Column, norm: Column, confidence: str, source: str | None) -> Column:
     return F.struct(
         norm["spdx"].alias("spdx"),
         raw.alias("raw"),

@@ -69,24 +69,13 @@ def _flags() -> dict[str, Column]:
 
 def _text_flags() -> dict[str, Column]:
     """Per-file tests on the text of a root file."""
-    path, text = F.col("path"), F.col("content")
-    lowered = F.lower(text)
+    path, text, lowered = F.col("path"), F.col("content"), F.col("lowered")
 
     def of(*names: str) -> Column:
         return path.isin(*names)
 
     def npm(key: str) -> Column:
-        sections = [
-            F.map_contains_key(
-                F.coalesce(
-                    F.from_json(F.get_json_object(text, f"$.{s}"), "map<string,string>"),
-                    F.create_map().cast("map<string,string>"),
-                ),
-                key,
-            )
-            for s in ("dependencies", "devDependencies")
-        ]
-        return of("package.json") & (sections[0] | sections[1])
+        return of("package.json") & F.array_contains("npm_names", key)
 
     pyproject, python = of("pyproject.toml"), of("requirements.txt", "pyproject.toml")
     flags = {f"js_{i}": npm(k) for i, (k, _) in enumerate(dims.NPM_FRAMEWORKS)}
@@ -108,6 +97,17 @@ def _text_flags() -> dict[str, Column]:
     return flags
 
 
+def _npm_names() -> Column:
+    """Packages named by a package.json, read once per file."""
+    sections = [
+        F.map_keys(F.from_json(F.get_json_object("content", f"$.{s}"), "map<string,string>"))
+        for s in ("dependencies", "devDependencies")
+    ]
+    none = F.array().cast("array<string>")
+    both = F.concat(*[F.coalesce(s, none) for s in sections])
+    return F.when(F.col("path") == "package.json", both)
+
+
 def _has_value(*json_paths: str) -> Column:
     values = [F.get_json_object("content", p) for p in json_paths]
     return reduce(
@@ -123,6 +123,7 @@ def stack_flags(source_files: DataFrame) -> DataFrame:
     )
     by_text = (
         source_files.filter(F.col("path").isin(*TEXT_FILES))
+        .select("repo_id", "path", "content", F.lower("content").alias("lowered"), _npm_names().alias("npm_names"))
         .groupBy("repo_id")
         .agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in _text_flags().items()])
     )

@@ -24,6 +24,7 @@ from ..functions.licensing import (
     normalise_spdx,
     trove_to_spdx,
 )
+from ..session import cut
 from . import manifests as m
 
 KEY = ["repo_id", "name", "ecosystem"]
@@ -217,8 +218,21 @@ def license_precedence(*sources: DataFrame) -> DataFrame:
     ).select(*KEY, "_l.*")
 
 
+def license_files(source_files: DataFrame) -> DataFrame:
+    """The files that any licence source reads, stored once for its eight readers."""
+    path = F.col("path")
+    wanted = (
+        m.is_manifest(path)
+        | path.endswith("/pom.xml")
+        | path.rlike(r"^vendor/(gems/.*\.gemspec|[^/]+/Cargo\.toml|modules\.txt)$")
+        | (path.startswith("vendor/") & F.substring_index(path, "/", -1).isin(*dims.LICENSE_FILE_NAMES))
+        | path.rlike(r"\.dist-info/METADATA$")
+    )
+    return cut(source_files.filter(wanted).select("repo_id", "path", "content"))
+
+
 def repository_licenses(source_files: DataFrame) -> DataFrame:
-    """Offline licences of every package of every repository."""
+    """Offline licences of every package of every repository (of `license_files`)."""
     return license_precedence(
         pyproject_license(source_files), pom_licenses(source_files),
         gemfile_lock_placeholders(source_files), gemspec_licenses(source_files),

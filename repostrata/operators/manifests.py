@@ -22,6 +22,7 @@ from pyspark.sql.types import StringType
 from ..functions import dims, text
 from ..functions.common import blank_to_null, strip
 from ..functions.scalars import requirement_name, requirement_version
+from ..session import cut
 
 ENTRY = (
     "array<struct<name:string,version:string,dep_type:string,is_direct:boolean,is_optional:boolean>>"
@@ -696,9 +697,19 @@ def go_sum(source_files: DataFrame) -> DataFrame:
 TOML_NAMES = ["pyproject.toml", "Cargo.toml", "poetry.lock", "Cargo.lock"]
 
 
-def all_dependencies(source_files: DataFrame, strict_compat: bool = False) -> DataFrame:
-    """Every reader over one files table."""
-    manifests = source_files.filter(is_manifest(F.col("path")))
+def manifest_files(source_files: DataFrame) -> DataFrame:
+    """The manifests of every repository, stored once.
+
+    They are a sliver of the files table but have eighteen readers; without this
+    each reader would scan the whole table for its own file name.
+    """
+    return cut(
+        source_files.filter(is_manifest(F.col("path"))).select("repo_id", "path", "content")
+    )
+
+
+def all_dependencies(manifests: DataFrame, strict_compat: bool = False) -> DataFrame:
+    """Every reader over the manifests."""
     toml = toml_files(manifests, *TOML_NAMES)
     parts = [
         package_json(manifests), requirements(manifests), pyproject(manifests, toml),
@@ -747,4 +758,4 @@ def dedup_dependencies(rows: DataFrame) -> DataFrame:
 
 def dependencies(source_files: DataFrame, strict_compat: bool = False) -> DataFrame:
     """The dependency inventory of every repository."""
-    return dedup_dependencies(all_dependencies(source_files, strict_compat))
+    return dedup_dependencies(all_dependencies(manifest_files(source_files), strict_compat))

@@ -12,6 +12,7 @@ from ..operators import licences as li
 from ..operators import manifests as ma
 from ..operators import pdn, risks, scores
 from ..operators import stack as st
+from ..session import cut
 
 
 def repo_facts(source_files: DataFrame, commits: DataFrame) -> dict[str, DataFrame]:
@@ -20,7 +21,7 @@ def repo_facts(source_files: DataFrame, commits: DataFrame) -> dict[str, DataFra
     Repositories come from the files; one without commits keeps null shares, so
     the bus-factor rule still sees it.
     """
-    files = fl.analysed_files(source_files)
+    files = cut(fl.analysed_files(source_files))
     languages = fl.language_stats(files)
     code = cx.complexity_files(source_files, languages)
     contribs = co.contributions(commits)
@@ -37,13 +38,19 @@ def repo_facts(source_files: DataFrame, commits: DataFrame) -> dict[str, DataFra
 
 def profile(source_files: DataFrame, commits: DataFrame, pdn_types: list[tuple[str, str]],
             overrides: DataFrame | None = None, registry: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Every fact table of the portfolio, lazily; write each with `append_facts`."""
+    """Every fact table of the portfolio; write each with `append_facts`.
+
+    The files table is read by four jobs: line counts (kept without the text), the
+    few manifests and licence files (kept with it), code lines, and personal data.
+    """
     named = co.with_identity(commits, overrides)
     base = repo_facts(source_files, named)
     modules = co.module_contributions(named)
     all_languages = co.language_contributions(named)
     contribs = base["contributions"]
-    deps = li.license_lookup(ma.dependencies(source_files), li.repository_licenses(source_files))
+    special = li.license_files(source_files)
+    inventory = ma.dedup_dependencies(ma.all_dependencies(special))
+    deps = li.license_lookup(inventory, li.repository_licenses(special))
     if registry is not None:
         deps = li.registry_fallback(deps, registry)
     largest = fl.top_large_files(base["code"], "lines")

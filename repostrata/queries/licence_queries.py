@@ -274,7 +274,7 @@ QUERIES = {
     "l7_go_vendor_licenses": (_source(li.go_vendor_licenses), GO),
     "l8_dist_info_licenses": (_source(li.dist_info_licenses), (DIST)),
     "w9_license_precedence": (
-        lambda t: li.repository_licenses(licence_trees(t)).select("repo_id", "name", "ecosystem", "license.source"),
+        lambda t: li.repository_licenses(li.license_files(licence_trees(t))).select("repo_id", "name", "ecosystem", "license.source"),
         """SELECT p_partkey AS repo_id, unnest(['py' || p_partkey, 'py-' || p_partkey, 'org.acme:lib' || p_partkey, 'gem' || p_partkey, 'other',
              'npm' || p_partkey, 'deep', 'crate' || p_partkey, 'example.com/m' || p_partkey]) AS name,
              unnest(['pip', 'pip', 'maven', 'bundler', 'bundler', 'npm', 'npm', 'cargo', 'go']) AS ecosystem,

@@ -211,7 +211,7 @@ QUERIES = dict([
             UNION ALL SELECT repo_id, name, 'pip', CASE flag WHEN 'A' THEN '==' || v END, 'requirements.txt', 'declared_only', NULL, 'prod', true FROM items WHERE flag <> 'N'""", "lines"),
     ),
     "u1_all_dependencies": (
-        lambda t: ma.all_dependencies(manifest_trees(t, *FILES, "package-lock.json")).groupBy("ecosystem", "manifest_file", "discovery_mode").agg(
+        lambda t: ma.all_dependencies(ma.manifest_files(manifest_trees(t, *FILES, "package-lock.json"))).groupBy("ecosystem", "manifest_file", "discovery_mode").agg(
             F.count("*").alias("entries"), F.count_distinct("repo_id").alias("repositories")),
         oracle(ITEMS + ", f(ecosystem, manifest_file, discovery_mode, flags) AS (VALUES " + ", ".join(
             f"('{e}', '{m}', '{d}', '{fl}')" for e, m, d, fl in [

@@ -7,8 +7,9 @@ there, and the checkpoint folder is always read from the session first.
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -45,6 +46,26 @@ def tuned(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """The shared folder named by the cluster, or `fallback` where none is named."""
-    return spark.conf.get("spark.checkpoint.dir", None) or fallback
+def checkpoint_dir(spark: SparkSession) -> str:
+    """Folder for intermediate results: the shared one the cluster names.
+
+    Where none is named, a local session gets a folder of its own and any other
+    one uses the warehouse, which every executor can reach.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if spark.sparkContext.master.startswith("local"):
+        return tempfile.mkdtemp(prefix="repostrata-checkpoint-")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_repostrata_checkpoints"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Store a small intermediate once, so that its many readers do not rescan the source.
+
+    A reliable checkpoint: the rows live in shared storage and survive lost executors.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
+    return df.checkpoint(eager=True)

@@ -113,7 +113,7 @@ def comment_style(path: Column) -> Column:
 
 def marked_content(content: Column, style: Column) -> Column:
     """The text with every comment wrapped in control characters."""
-    clean = F.translate(text.unix_newlines(content), OPEN + CLOSE, "  ")
+    clean = F.regexp_replace(text.unix_newlines(content), f"[{OPEN}{CLOSE}]", " ")
 
     def rebuilt(pattern: str, fix) -> Column:
         tokens = F.regexp_extract_all(clean, F.lit(pattern), F.lit(0))
@@ -128,13 +128,14 @@ def marked_content(content: Column, style: Column) -> Column:
 
 
 def code_part(line: Column) -> Column:
-    return F.regexp_replace(line, f"{OPEN}[^{CLOSE}]*{CLOSE}", "")
+    return F.when(
+        line.contains(OPEN), F.regexp_replace(line, f"{OPEN}[^{CLOSE}]*{CLOSE}", "")
+    ).otherwise(line)
 
 
 def comment_part(line: Column) -> Column:
-    return F.array_join(
-        F.regexp_extract_all(line, F.lit(f"{OPEN}([^{CLOSE}]*){CLOSE}"), F.lit(1)), ""
-    )
+    marked = F.regexp_extract_all(line, F.lit(f"{OPEN}([^{CLOSE}]*){CLOSE}"), F.lit(1))
+    return F.when(line.contains(OPEN), F.array_join(marked, "")).otherwise("")
 
 
 def comment_split(source_files: DataFrame) -> DataFrame:
@@ -153,7 +154,7 @@ def numbered_lines(source_files: DataFrame) -> DataFrame:
     marked = marked_content(F.col("content"), comment_style(F.col("path")))
     return (
         source_files.select("repo_id", "path", marked.alias("marked"))
-        .select("repo_id", "path", F.posexplode_outer(text.file_lines(F.col("marked"))).alias("pos", "line"))
+        .select("repo_id", "path", F.posexplode_outer(text.unix_lines(F.col("marked"))).alias("pos", "line"))
         .filter(F.col("pos").isNotNull())
         .select("repo_id", "path", (F.col("pos") + 1).cast("long").alias("line_number"), "line")
     )

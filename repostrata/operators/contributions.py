@@ -80,21 +80,26 @@ def _sum_of(field: str) -> Column:
 def contributions(commits: DataFrame) -> DataFrame:
     """One row per repository and user.
 
-    `files_changed` adds up the distinct paths of each commit. Days are counted by
-    grouping on the day first, so no distinct set is built for a busy user.
+    `files_changed` adds up the distinct paths of each commit. Commits are first
+    summed by day and author spelling: numbers only, so it is a hash aggregate, and
+    whatever follows sees a row per day. Counting those days needs no distinct set.
     """
-    per_day = (
+    spelling = ["author_name", "author_email", "confidence", "is_ambiguous"]
+    by_spelling = (
         commits.select(
             *USER,
+            "author_name",
+            "author_email",
+            "identity.confidence",
+            "identity.is_ambiguous",
             day_of(F.col("ts_raw")).alias("day"),
             "ts",
             _sum_of("insertions").alias("ins"),
             _sum_of("deletions").alias("del"),
             F.size(F.array_distinct("file_changes.path")).alias("files"),
             "seq",
-            F.struct("author_name", "author_email", "identity").alias("who"),
         )
-        .groupBy(*USER, "day")
+        .groupBy(*USER, *spelling, "day")
         .agg(
             F.count("*").alias("commits"),
             F.sum("ins").alias("ins"),
@@ -102,12 +107,21 @@ def contributions(commits: DataFrame) -> DataFrame:
             F.sum("files").alias("files"),
             F.min("ts").alias("first"),
             F.max("ts").alias("last"),
-            F.min_by("who", "seq").alias("who"),
             F.min("seq").alias("seq"),
         )
     )
+    by_day = by_spelling.groupBy(*USER, "day").agg(
+        F.sum("commits").alias("commits"),
+        F.sum("ins").alias("ins"),
+        F.sum("del").alias("del"),
+        F.sum("files").alias("files"),
+        F.min("first").alias("first"),
+        F.max("last").alias("last"),
+        F.min_by(F.struct(*spelling), "seq").alias("who"),
+        F.min("seq").alias("seq"),
+    )
     return (
-        per_day.groupBy(*USER)
+        by_day.groupBy(*USER)
         .agg(
             F.sum("commits").alias("commit_count"),
             F.sum("ins").alias("insertions"),
@@ -129,8 +143,8 @@ def contributions(commits: DataFrame) -> DataFrame:
             "last_commit_at",
             F.col("who.author_name").alias("display_name"),
             F.col("who.author_email").alias("primary_email"),
-            F.col("who.identity.confidence").alias("confidence"),
-            F.col("who.identity.is_ambiguous").alias("is_ambiguous"),
+            F.col("who.confidence").alias("confidence"),
+            F.col("who.is_ambiguous").alias("is_ambiguous"),
         )
     )
 

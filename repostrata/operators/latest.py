@@ -1,8 +1,8 @@
 """The latest completed scan and the joins around scans.
 
-The latest scan is a `max_by` aggregate and not a ranking window: partial
-aggregation leaves one candidate per task and repository, so a repository that
-owns most of the scans is no hot spot.
+Only the ids of the latest scans are aggregated, with one fixed-width key per
+scan, so that a hash aggregate with a partial step does it: a repository that owns
+most of the scans sends one row per task. The wide rows are then picked by id.
 """
 
 from __future__ import annotations
@@ -13,18 +13,30 @@ from pyspark.sql import functions as F
 PR = "project_repository_id"
 
 
-def latest_scan(scans: DataFrame) -> DataFrame:
-    """Per repository the completed scan with the greatest (started_at, id)."""
-    row = F.struct(*[F.col(c) for c in scans.columns if c != PR])
+ID_SPAN = "10000000000000000000"
+
+
+def latest_scan_ids(scans: DataFrame) -> DataFrame:
+    """Per repository the id of the completed scan with the greatest (started_at, id).
+
+    Both parts are packed into one decimal; a missing start comes before any other.
+    """
+    start = F.coalesce(F.unix_micros(F.col("started_at").cast("timestamp")), F.lit(-(10**17)))
+    span = F.lit(ID_SPAN).cast("decimal(20,0)")
+    key = (start.cast("decimal(18,0)") * span + F.col("id").cast("decimal(19,0)")).cast("decimal(38,0)")
     return (
         scans.filter(F.col("status") == "completed")
         .groupBy(PR)
-        .agg(F.max_by(row, F.struct("started_at", "id")).alias("_s"))
-        .select(PR, "_s.*")
-        .select(*scans.columns)
+        .agg(F.max(key).alias("key"))
+        .select(F.pmod("key", span).cast("long").alias("id"))
     )
 
 
+def latest_scan(scans: DataFrame) -> DataFrame:
+    """The rows of the latest completed scans, at most one per repository."""
+    return scans.join(latest_scan_ids(scans), "id", "left_semi").select(*scans.columns)
+
+
 def pr_latest_scan(prs: DataFrame, scans: DataFrame, how: str = "left") -> DataFrame:
     """Repositories with their latest scan under `scan_*` free names."""
     latest = latest_scan(scans).withColumnRenamed("id", "scan_id")

@@ -64,13 +64,19 @@ def pdn_findings(
     numbered = numbered_lines(candidates).filter(
         (F.col("line_number") <= dims.PDN_MAX_LINES) & F.col("line").rlike(any_of)
     )
-    hits = _hits(code_part(F.col("line")), "code", types)
+    # The parts are columns of their own, so that each is cut out once per line.
+    split = numbered.select(
+        "repo_id",
+        "path",
+        "line_number",
+        code_part(F.col("line")).alias("code"),
+        (comment_part(F.col("line")) if include_comments else F.lit(None).cast("string")).alias("comment"),
+    )
+    hits = _hits(F.col("code"), "code", types)
     if include_comments:
-        hits = F.concat(hits, _hits(comment_part(F.col("line")), "comment", types))
+        hits = F.concat(hits, _hits(F.col("comment"), "comment", types))
     return (
-        numbered.select(
-            "repo_id", "path", "line_number", F.filter(hits, lambda h: h.isNotNull()).alias("hits")
-        )
+        split.select("repo_id", "path", "line_number", F.array_compact(hits).alias("hits"))
         .select("repo_id", "path", "line_number", F.inline_outer("hits"))
         .filter(F.col("pdn_type").isNotNull())
     )

@@ -23,23 +23,30 @@ def read_log_text(spark: SparkSession, path: str, mark: str = COMMIT_MARK) -> Da
     """One row per commit block of every log file `<repo_id>.log` under `path`.
 
     Blocks are cut by the reader, so a log is split over tasks like any text.
-    `seq` orders the blocks of one log, newest first: offset of the file split,
-    then the position inside it.
+    `seq` orders the blocks of one log, newest first.
     """
     return (
         spark.read.option("lineSep", mark + "\n")
         .text(path)
         .select(
             F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.log$", 1).alias("repo_id"),
-            F.struct(
-                F.col("_metadata.file_block_start").alias("block"),
-                F.monotonically_increasing_id().alias("row"),
-            ).alias("seq"),
+            _position().alias("seq"),
             "value",
         )
     )
 
 
+def _position() -> Column:
+    """File offset of the split and row in the task, as one number.
+
+    Rows of one split come in file order; the row part of the generated id stays
+    below 2^33.
+    """
+    block = F.col("_metadata.file_block_start").cast("decimal(19,0)")
+    row = F.pmod(F.monotonically_increasing_id(), F.lit(2**33)).cast("decimal(12,0)")
+    return (block * F.lit(10**12).cast("decimal(13,0)") + row).cast("decimal(38,0)")
+
+
 def _numstat(lines: Column) -> Column:
     """Change lines to an array of structs; lines that are none are left out.
 

@@ -43,7 +43,3 @@ def text_lines(content: Column) -> Column:
 def unix_newlines(content: Column) -> Column:
     return F.regexp_replace(content, r"\r\n?", "\n")
 
-
-def unix_lines(content: Column) -> Column:
-    """Lines of a text that has unix newlines already."""
-    return _lines(content, r"\n")

@@ -113,7 +113,8 @@ def comment_style(path: Column) -> Column:
 
 def marked_content(content: Column, style: Column) -> Column:
     """The text with every comment wrapped in control characters."""
-    clean = F.regexp_replace(text.unix_newlines(content), f"[{OPEN}{CLOSE}]", " ")
+    unix = F.regexp_replace(text.unix_newlines(content), f"[{OPEN}{CLOSE}]", " ")
+    clean = F.when(unix.endswith("\n"), unix).otherwise(F.concat(unix, F.lit("\n")))
 
     def rebuilt(pattern: str, fix) -> Column:
         tokens = F.regexp_extract_all(clean, F.lit(pattern), F.lit(0))
@@ -149,12 +150,18 @@ def comment_split(source_files: DataFrame) -> DataFrame:
     )
 
 
+def marked_lines(marked: Column) -> Column:
+    """Lines of a marked text, which ends in a newline, perhaps inside a comment."""
+    return F.split(F.regexp_replace(marked, f"\n[{OPEN}{CLOSE}]*\\z", ""), "\n", -1)
+
+
 def numbered_lines(source_files: DataFrame) -> DataFrame:
     """Marked lines with their numbers. The text is marked once, in its own column."""
     marked = marked_content(F.col("content"), comment_style(F.col("path")))
     return (
-        source_files.select("repo_id", "path", marked.alias("marked"))
-        .select("repo_id", "path", F.posexplode_outer(text.unix_lines(F.col("marked"))).alias("pos", "line"))
+        source_files.filter(F.col("content") != "")
+        .select("repo_id", "path", marked.alias("marked"))
+        .select("repo_id", "path", F.posexplode_outer(marked_lines(F.col("marked"))).alias("pos", "line"))
         .filter(F.col("pos").isNotNull())
         .select("repo_id", "path", (F.col("pos") + 1).cast("long").alias("line_number"), "line")
     )

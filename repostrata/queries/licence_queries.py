@@ -146,14 +146,14 @@ PYPROJECT = f"""
 UNION ALL {_expected("'py' || k", 'medium', 'manifest')} WHERE k % 3 <> 0 AND k % {N + 1} <> {N}
 """
 POMS = _expected("'org.acme:lib' || k", "medium", "manifest", f"coalesce({_sql(SPELLINGS)}, '')")
-GEM_LOCK = f"""SELECT k AS repo_id, unnest(['gem' || k, 'other']) AS name, NULL AS spdx, NULL AS raw, 'unknown' AS risk, NULL AS expression,
+GEM_LOCK = f"""SELECT k AS repo_id, unnest(['gem' || k, 'other']) AS name, NULL::VARCHAR AS spdx, NULL::VARCHAR AS raw, 'unknown' AS risk, NULL::VARCHAR AS expression,
   'unknown' AS confidence, 'lockfile' AS source, '{li.GEM_LOCK_NOTE}' AS notes FROM (SELECT p_partkey AS k FROM part)"""
 GEMSPEC = _expected("'gem' || k", "medium", "vendor_gemspec")
 # A list of two licences is a compound expression whose first part is looked up.
 NPM_LIST = f"CASE WHEN k % 4 = 0 THEN {EMPTY_RAW} || ' OR Zlib' ELSE nullif({_sql(SPELLINGS)}, '') END"
 CRATES = _expected("'crate' || k", "high", "vendor_manifest", EMPTY_RAW)
-GO = """SELECT p_partkey AS repo_id, 'example.com/m' || p_partkey AS name, CASE WHEN p_partkey % 5 <> 0 THEN 'MIT' END AS spdx, NULL AS raw,
-  CASE WHEN p_partkey % 5 <> 0 THEN 'safe' ELSE 'unknown' END AS risk, NULL AS expression, 'medium' AS confidence, 'license_file' AS source, NULL AS notes FROM part"""
+GO = """SELECT p_partkey AS repo_id, 'example.com/m' || p_partkey AS name, CASE WHEN p_partkey % 5 <> 0 THEN 'MIT' END AS spdx, NULL::VARCHAR AS raw,
+  CASE WHEN p_partkey % 5 <> 0 THEN 'safe' ELSE 'unknown' END AS risk, NULL::VARCHAR AS expression, 'medium' AS confidence, 'license_file' AS source, NULL::VARCHAR AS notes FROM part"""
 DIST = f"""
 {_trove_rows("'py-' || k", f"trim({EMPTY_RAW})", 'dist_info', 'k % 2 = 0')}
 UNION ALL {_expected("'py-' || k", 'high', 'dist_info', f"trim({EMPTY_RAW})")} WHERE k % 2 <> 0

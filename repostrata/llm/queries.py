@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, packing, secrets
-from .common import new_path
+from . import langid, mixing, packing, quality, secrets
+from .common import crc32_of_id, new_path
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,6 +25,25 @@ def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(found)
 
 
+def op7_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = crc32_of_id(F.col("doc_id")) % 4 == 2
+    model = langid.train(docs, ~held_out)
+    predicted = langid.predict(docs.select("doc_id", "text"), model)
+    ids = predicted.select(F.col("row.doc_id").alias("doc_id"), "lang_pred", "score")
+    return ids.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    learned = quality.train(docs, _table(spark, folder, "labels"), crc32_of_id(F.col("id")) % 5 != 0)
+    ids = quality.score(docs, learned).select(F.col("row.doc_id").alias("doc_id"), "score")
+    return ids.select(
+        "doc_id", (crc32_of_id(F.col("doc_id")) % 5 == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"))
 
@@ -31,7 +51,9 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_secrets": op6_secrets,
+    "op7_language": op7_language,
     "op8_packing": op8_packing,
+    "op10_quality": op10_quality,
 }
 
 #: The first kind's hits are searched in the text as it is; positions are running sums of

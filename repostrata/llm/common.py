@@ -125,44 +125,45 @@ def components(edges: DataFrame) -> DataFrame:
 
 def bucket_links(
     members: DataFrame,
-    payload: list[str],
+    facts: DataFrame,
     possible: Callable[[str, str], Column],
-    verify: Callable[[DataFrame], DataFrame],
+    prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],
 ) -> DataFrame:
     """Links (a, b) that connect all that any verified pair of a common bucket connects.
 
-    `members` has (key, id, payload...), stored. First each member meets the smallest of
-    its bucket. Then, in buckets that still hold several components, every member outside
-    the bucket's largest component meets the members of other components. A pair inside
-    one component would add nothing, so components come out as if all pairs had been
-    verified, while a large group of copies costs only one pair per member.
-    `possible(x, y)` is a condition on the columns prefixed x and y that every link meets.
+    `members` has (key, id), `facts` one row per id with what `possible` needs. First each
+    member meets the smallest of its bucket. Then, in buckets that still hold several
+    components, every member outside the bucket's largest component meets the members of
+    other components. A pair inside one component would add nothing, so components come
+    out as if all pairs had been verified, while a large group of copies costs only one
+    pair per member. `possible(x, y)` is a condition on the columns prefixed x and y that
+    every link meets; `prepare` gets the ids of buckets of more than one and returns the
+    function that reduces pairs (a, b) of ids to the verified ones.
     """
 
-    def pairs(df: DataFrame) -> DataFrame:
-        return df.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
+    def checked(pairs: DataFrame) -> DataFrame:
+        def side(x: str) -> DataFrame:
+            return facts.select(*[F.col(c).alias(x if c == "id" else f"{x}_{c}") for c in facts.columns])
 
-    def side(df: DataFrame, x: str, *more: str) -> DataFrame:
-        return df.select("key", *[F.col(c).alias(f"{x}{c}") for c in ("id", *payload, *more)])
+        both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        both = both.join(side("a"), "a").join(side("b"), "b").where(possible("a_", "b_"))
+        return store(verify(store(both.select("a", "b"), "pairs")), "links")
 
-    heads = members.groupBy("key").agg(
-        F.count("*").alias("n"), F.min_by(F.struct("id", *payload), "id").alias("h")
-    ).where("n > 1").select("key", "h.*")
-    heads = store(heads, "heads")
-    crowded = store(members.join(heads.select("key"), "key", "left_semi"), "crowded")
-    first = pairs(
-        side(crowded, "a_").join(side(heads, "b_"), "key").where("a_id <> b_id").where(possible("a_", "b_"))
-    )
-    links = store(verify(first), "links")
+    dealt = members.repartition("key")  # one exchange for the count and for the join with it
+    heads = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("head")).where("n > 1")
+    crowded = store(dealt.join(heads.select("key", "head"), "key"), "crowded")
+    verify = prepare(store(crowded.select("id").distinct(), "crowded"))
+    links = checked(crowded.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")))
     parts = store(components(links), "parts")
-    labelled = crowded.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    labelled = crowded.drop("head").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
-    major = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("parts"))
-    mixed = store(labelled.join(major.where("parts > 1").drop("parts"), "key"), "mixed")
-    second = pairs(
-        side(mixed.where("component <> major"), "a_", "component")
-        .join(side(mixed, "b_", "component"), "key")
-        .where("a_component <> b_component").where(possible("a_", "b_"))
+    major = sizes.groupBy("key").agg(
+        F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("parts")
+    ).where("parts > 1").select("key", "major")
+    mixed = store(labelled.join(major, "key"), "mixed")
+    others = mixed.select("key", F.col("id").alias("b"), F.col("component").alias("other"))
+    # those pairs were met before in which one is the bucket's smallest, but they are few
+    more = mixed.where("component <> major").select("key", F.col("id").alias("a"), "component").join(others, "key").where(
+        "component <> other"
     )
-    more = store(verify(second), "links")
-    return links.unionByName(more)
+    return links.unionByName(checked(more.select("a", "b")))

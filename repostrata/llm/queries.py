@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, quality, secrets
+from . import dartminhash, langid, linedup, mixing, packing, quality, secrets
 from .common import crc32_of_id, new_path
 
 
@@ -15,6 +15,15 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = linedup.line_groups(_table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "line_no", F.col("group").alias("group_id"), "kept")
+
+
+def op3_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return dartminhash.near_duplicates(_table(spark, folder, "documents"))
+
+
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, folder, "documents"))
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
@@ -49,6 +58,8 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op3_near_dedup": op3_near_dedup,
     "op5_mixing": op5_mixing,
     "op6_secrets": op6_secrets,
     "op7_language": op7_language,

@@ -47,7 +47,8 @@ MORE = [
 ]
 RULES = [*BASE, *MORE]
 
-LEDGER = "blob binary, rule string, version int, spans array<struct<start:int,end:int>>"
+LEDGER_COLUMNS = ["blob binary", "rule string", "version int", "spans array<struct<start:int,end:int>>"]
+LEDGER = ", ".join(LEDGER_COLUMNS)
 
 
 def blob_id(text: Column) -> Column:
@@ -96,7 +97,8 @@ def update_ledger(docs: DataFrame, ledger: str, text: str = "text", rules: list[
     versions = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("blob", blob_id(F.col("text")))
     current = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version")) for r in rules])
     # an empty append makes the folder a table on the first run
-    spark.createDataFrame([], LEDGER).write.mode("append").parquet(ledger)
+    empty = spark.range(0).selectExpr(*[f"cast(null as {kind}) as `{name}`" for name, kind in (c.split(" ", 1) for c in LEDGER_COLUMNS)])
+    empty.write.mode("append").parquet(ledger)
     known = spark.read.schema(LEDGER).parquet(ledger).groupBy("blob").agg(
         F.collect_set(F.struct("rule", "version")).alias("known")
     )

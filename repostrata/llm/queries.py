@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dartminhash, langid, linedup, mixing, packing, quality, secrets
+from . import ann, dartminhash, hnsw, langid, linedup, mixing, packing, quality, secrets
 from .common import crc32_of_id, new_path
 
 
@@ -20,6 +20,14 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "line_no", F.col("group").alias("group_id"), "kept")
 
 
+def op2_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest(_table(spark, folder, "embeddings"), F.col("id") % 50 == 0)
+
+
+def op4_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return hnsw.near_vectors(_table(spark, folder, "embeddings"))
+
+
 def op3_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return dartminhash.near_duplicates(_table(spark, folder, "documents"))
 
@@ -59,7 +67,9 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_nearest": op2_nearest,
     "op3_near_dedup": op3_near_dedup,
+    "op4_near_vectors": op4_near_vectors,
     "op5_mixing": op5_mixing,
     "op6_secrets": op6_secrets,
     "op7_language": op7_language,

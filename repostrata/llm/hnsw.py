@@ -64,13 +64,13 @@ class Graph:
         """The `width` best nodes found for each query from its start nodes, and their cosines."""
         links, n = self.links[level], len(q)
         visited = np.zeros((n, len(links)), dtype=bool)
-        every = np.arange(n)[:, None]
         nodes = np.full((n, width), -1, dtype=np.int32)
         near = np.full((n, width), -np.inf, dtype=np.float32)
         fresh = np.zeros((n, width), dtype=bool)
         first = start[:, :width]
         valid = first >= 0
-        visited[every, np.where(valid, first, 0)] |= valid
+        row, column = np.nonzero(valid)
+        visited[row, first[row, column]] = True
         nodes[:, : first.shape[1]] = first
         near[:, : first.shape[1]] = np.where(valid, np.einsum("qmd,qd->qm", self.unit[first], q), -np.inf)
         fresh[:, : first.shape[1]] = valid
@@ -85,7 +85,8 @@ class Graph:
             fresh[active, pick] = False
             met = links[nodes[active, pick]]
             new = (met >= 0) & ~visited[active[:, None], met]
-            visited[active[:, None], np.where(new, met, met[:, :1])] |= new
+            row, column = np.nonzero(new)
+            visited[active[row], met[row, column]] = True
             cos = np.where(new, np.einsum("qmd,qd->qm", self.unit[met], q[active]), -np.inf)
             better = cos > near[active].min(1, keepdims=True)
             some = better.any(1)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, dartminhash, hnsw, langid, linedup, mixing, packing, quality, secrets
+from . import ann, dartminhash, hnsw, langid, licences, linedup, mixing, packing, quality, secrets
 from .common import crc32_of_id, new_path
 
 
@@ -51,6 +51,15 @@ def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     return ids.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_licences(spark: SparkSession, folder: str) -> DataFrame:
+    found = licences.scan(_table(spark, folder, "documents").select("doc_id", "text"))
+    best = F.array_sort("found", lambda a, b: F.when(a["dice"] != b["dice"], F.signum(b["dice"] - a["dice"])).otherwise(a["template"] - b["template"]).cast("int"))
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"), F.try_element_at(best, F.lit(1))["license"].alias("license"),
+        F.try_element_at(best, F.lit(1))["dice"].alias("dice"), F.size("found").alias("n_templates"), "found",
+    )
+
+
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     learned = quality.train(docs, _table(spark, folder, "labels"), crc32_of_id(F.col("id")) % 5 != 0)
@@ -74,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secrets": op6_secrets,
     "op7_language": op7_language,
     "op8_packing": op8_packing,
+    "op9_licences": op9_licences,
     "op10_quality": op10_quality,
 }
 

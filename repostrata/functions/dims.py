@@ -105,9 +105,6 @@ PLAIN_DOC_EXTENSIONS = [".txt", ".adoc", ".wiki"]
 LARGE_FILE_LINES = 500
 LARGE_FUNCTION_LINES = 50
 TOP_FILES = 10
-PDN_MAX_BYTES = 1024 * 1024
-PDN_MAX_LINES = 100_000
-TAG_MAX_CHARS = 128
 
 # Languages the complexity job looks at, by extension.
 COMPLEXITY_EXTENSIONS = {
@@ -117,17 +114,18 @@ COMPLEXITY_EXTENSIONS = {
     ".rs": "Rust", ".rb": "Ruby", ".cs": "C#",
 }
 
-# A line that starts a function, per language.
+# A line that starts a function, per language. One modifier or blank before
+# the type is enough for a search, and a repeated group would overflow Java's stack.
 FUNCTION_PATTERNS = {
     "Python": r"^\s{0,4}(async\s+)?def\s+\w+",
     "JavaScript": r"(function\s+\w+|\w+\s*[:=]\s*(async\s*)?(function|\([^)]*\)\s*=>))",
     "TypeScript": r"(function\s+\w+|\w+\s*[:=]\s*(async\s*)?(function|\([^)]*\)\s*=>))",
-    "Java": r"(public|private|protected|static|final|\s)+[\w<>\[\]]+\s+\w+\s*\(",
+    "Java": r"(public|private|protected|static|final|\s)[\w<>\[\]]+\s+\w+\s*\(",
     "Go": r"^func\s+",
     "Kotlin": r"^\s*(override\s+)?fun\s+\w+",
     "Rust": r"^\s*(pub\s+)?(async\s+)?fn\s+\w+",
     "Ruby": r"^\s*def\s+\w+",
-    "C#": r"(public|private|protected|internal|static|virtual|override|async|\s)+[\w<>\[\]?]+\s+\w+\s*\(",
+    "C#": r"(public|private|protected|internal|static|virtual|override|async|\s)[\w<>\[\]?]+\s+\w+\s*\(",
 }
 
 # A line that imports, per language.
@@ -138,7 +136,6 @@ IMPORT_PATTERNS = {
     "Go": r'^\s*"[\w./-]+"',
     "Java": r"^import\s+[\w.]+",
 }
-IMPORT_MAX_CHARS = 80
 
 # Comment style by extension.
 HASH_EXTENSIONS = [".py", ".rb", ".sh", ".bash", ".zsh", ".yml", ".yaml", ".toml", ".r", ".coffee"]
@@ -243,22 +240,22 @@ CYRILLIC_TO_LATIN = {
 def diacritic_tables() -> tuple[str, str, dict[str, str]]:
     """(from, to, multi): characters whose compatibility decomposition leaves ASCII.
 
-    Built from the Unicode rule rather than listed: one-letter results go into a
-    `translate` pair, the few longer ones of the Latin blocks into a map.
+    Built from the Unicode rule rather than listed, over all planes: one-character results
+    go into a `translate` pair, longer ones into a map.
     """
     src, dst, multi = [], [], {}
-    for cp in range(0x80, 0xFFFF):
-        if 0xD800 <= cp <= 0xDFFF:
+    for cp in range(0x80, 0x110000):
+        if 0xD800 <= cp <= 0xDFFF or unicodedata.decomposition(chr(cp)) == "":
             continue
         ch = chr(cp)
         kept = "".join(
             c for c in unicodedata.normalize("NFKD", ch)
             if c.isascii() and unicodedata.category(c) != "Mn"
         )
-        if len(kept) == 1 and kept.isalnum():
+        if len(kept) == 1:
             src.append(ch)
             dst.append(kept)
-        elif len(kept) > 1 and (cp < 0x250 or 0xFB00 <= cp <= 0xFB06):
+        elif len(kept) > 1:
             multi[ch] = kept
     return "".join(src), "".join(dst), multi
 
@@ -399,7 +396,6 @@ TROVE_LICENSES = {
 }
 
 # Phrases that identify a licence text, first match wins.
-LICENSE_TEXT_CHARS = 3000
 LICENSE_TEXT_PATTERNS = [
     (r"permission is hereby granted.*?without restriction", "MIT"),
     (r"apache license.*?version 2\.0", "Apache-2.0"),

@@ -28,9 +28,11 @@ def strip_diacritics(name: Column) -> Column:
 
 
 def _ascii(name: Column) -> Column:
+    # the longer forms are looked up by character, in names that have any of them
     has_long = name.rlike("[" + "".join(_LONG) + "]")
-    long_forms = reduce(
-        lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), _LONG.items(), name
+    table = F.create_map(*[F.lit(x) for kv in _LONG.items() for x in kv])
+    long_forms = F.array_join(
+        F.transform(F.split(name, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), ""
     )
     plain = F.translate(F.when(has_long, long_forms).otherwise(name), _FROM, _TO)
     latin = F.regexp_replace(plain, r"[^\x00-\x7F]", "")

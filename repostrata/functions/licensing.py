@@ -90,10 +90,9 @@ def classify_license(spdx: Column) -> Column:
 
 
 def classify_license_text(text: Column) -> Column:
-    """the leading part of a licence text is what identifies it."""
-    head = F.substring(text, 1, dims.LICENSE_TEXT_CHARS)
+    """the first pattern that a licence text matches, anywhere in it."""
     return F.coalesce(
-        *[F.when(head.rlike("(?is)" + p), F.lit(spdx)) for p, spdx in dims.LICENSE_TEXT_PATTERNS]
+        *[F.when(text.rlike("(?is)" + p), F.lit(spdx)) for p, spdx in dims.LICENSE_TEXT_PATTERNS]
     )
 
 

@@ -11,9 +11,9 @@ from . import dims
 from .common import strip
 
 
-def normalise_tags(tags: Column) -> Column:
-    """stripped, cut, no empties, first of duplicates."""
-    cut = F.transform(tags, lambda t: F.substring(strip(t), 1, dims.TAG_MAX_CHARS))
+def normalise_tags(tags: Column, max_chars: int | None = None) -> Column:
+    """stripped, cut where a length is given, no empties, first of duplicates."""
+    cut = F.transform(tags, lambda t: strip(t) if max_chars is None else F.substring(strip(t), 1, max_chars))
     return F.array_distinct(F.filter(cut, lambda t: t.isNotNull() & (t != "")))
 
 

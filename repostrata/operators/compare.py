@@ -1,7 +1,8 @@
 """Differences between pairs of scans.
 
 `pairs` holds (scan_a, scan_b) rows, so any number of comparisons is one job.
-Each side is joined to the pairs by scan and then matched on its key.
+The pairs are exploded to one row per side, joined to the facts once, and the two sides
+of a key meet in one grouping.
 """
 
 from __future__ import annotations
@@ -12,17 +13,22 @@ from pyspark.sql import functions as F
 PAIR = ["scan_a", "scan_b"]
 
 
-def _side(rows: DataFrame, pairs: DataFrame, side: str, key: str, values: list[str]) -> DataFrame:
-    picked = rows.select(
-        F.col("scan_id").alias(side), key, F.struct(*values).alias("a" if side == "scan_a" else "b")
-    )
-    return pairs.join(picked, side)
-
-
 def _matched(rows: DataFrame, pairs: DataFrame, key: str, values: list[str]) -> DataFrame:
-    a = _side(rows, pairs, "scan_a", key, values)
-    b = _side(rows, pairs, "scan_b", key, values)
-    return a.join(b, [*PAIR, key], "full")
+    """Pairs and keys with the values of either side as structs `a` and `b`, null where missing."""
+    sides = pairs.select(
+        *PAIR,
+        F.inline(F.array(*[F.struct(F.col(s).alias("scan_id"), F.lit(s == "scan_a").alias("_a")) for s in PAIR])),
+    )
+    met = sides.join(rows.select("scan_id", key, *values), "scan_id").where(F.col(key).isNotNull())
+    of = {"a": F.col("_a"), "b": ~F.col("_a")}
+    both = met.groupBy(*PAIR, key).agg(
+        *[F.max(own).alias(f"_has_{side}") for side, own in of.items()],
+        *[F.max(F.when(own, F.col(v))).alias(f"_{side}_{v}") for side, own in of.items() for v in values],
+    )
+    return both.select(
+        *PAIR, key,
+        *[F.when(F.col(f"_has_{s}"), F.struct(*[F.col(f"_{s}_{v}").alias(v) for v in values])).alias(s) for s in of],
+    )
 
 
 def metrics_diff(scans: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -39,18 +39,17 @@ def function_lengths(starts: Column, line_count: Column) -> Column:
 
 
 def import_lines(lines: Column, language: Column) -> Column:
-    """Distinct trimmed import lines of one file, cut to 80 characters."""
+    """Distinct trimmed import lines of one file."""
     found = F.filter(lines, lambda l: _matches(l, language, dims.IMPORT_PATTERNS))
-    return F.array_distinct(
-        F.transform(found, lambda l: F.substring(strip(l), 1, dims.IMPORT_MAX_CHARS))
-    )
+    return F.array_distinct(F.transform(found, lambda l: strip(l)))
 
 
 def complexity_files(source_files: DataFrame, languages: DataFrame) -> DataFrame:
     """Per file: lines, large functions and import lines.
 
     `languages` names the languages of each repository; a file counts only when
-    its language is among them.
+    its language is among them. The text is reduced to numbers and imports in its row
+    before that join, so no text is shuffled.
     """
     path = F.col("path")
     language = lookup(dims.COMPLEXITY_EXTENSIONS, paths.suffix(path))
@@ -58,7 +57,6 @@ def complexity_files(source_files: DataFrame, languages: DataFrame) -> DataFrame
         source_files.filter(~paths.in_complexity_skipped_dir(path))
         .select("repo_id", "path", "content", language.alias("language"))
         .filter(F.col("language").isNotNull())
-        .join(languages.select("repo_id", "language").distinct(), ["repo_id", "language"], "left_semi")
         .withColumn("lines", text.text_lines(F.col("content")))
     )
     # Starts and imports are columns of their own, so that each is found once.
@@ -71,6 +69,7 @@ def complexity_files(source_files: DataFrame, languages: DataFrame) -> DataFrame
         import_lines(F.col("lines"), F.col("language")).alias("imports"),
     )
     lengths = function_lengths(F.col("starts"), F.col("lines"))
+    known = languages.select("repo_id", "language").distinct()
     return found.select(
         "repo_id",
         "path",
@@ -80,7 +79,7 @@ def complexity_files(source_files: DataFrame, languages: DataFrame) -> DataFrame
         .cast("long")
         .alias("large_functions"),
         "imports",
-    )
+    ).join(known, ["repo_id", "language"], "left_semi").select("repo_id", "path", "language", "lines", "large_functions", "imports")
 
 
 def fan_out(files: DataFrame) -> DataFrame:

@@ -111,6 +111,11 @@ def dir_count(source_files: DataFrame) -> DataFrame:
     return dirs.filter(~hidden).groupBy("repo_id").agg(F.count("*").alias("dir_count"))
 
 
+def large_files(files: DataFrame, lines: str = "loc") -> DataFrame:
+    """Files with at least 500 lines."""
+    return files.filter(F.col(lines) >= dims.LARGE_FILE_LINES).select("repo_id", "path", lines)
+
+
 def top_large_files(files: DataFrame, lines: str = "loc") -> DataFrame:
     """Ten largest files of each repository with at least 500 lines.
 
@@ -118,8 +123,7 @@ def top_large_files(files: DataFrame, lines: str = "loc") -> DataFrame:
     """
     rank = F.row_number().over(W.partitionBy("repo_id").orderBy(F.desc(lines), "path"))
     return (
-        files.filter(F.col(lines) >= dims.LARGE_FILE_LINES)
-        .select("repo_id", "path", lines)
+        large_files(files, lines)
         .withColumn("rank", rank)
         .filter(F.col("rank") <= dims.TOP_FILES)
     )

@@ -1,8 +1,7 @@
 """The latest completed scan and the joins around scans.
 
-Only the ids of the latest scans are aggregated, with one fixed-width key per
-scan, so that a hash aggregate with a partial step does it: a repository that owns
-most of the scans sends one row per task. The wide rows are then picked by id.
+Only the ids of the latest scans are aggregated, with a partial step, so a repository
+that owns most of the scans sends one row per task. The wide rows are then picked by id.
 """
 
 from __future__ import annotations
@@ -13,22 +12,16 @@ from pyspark.sql import functions as F
 PR = "project_repository_id"
 
 
-ID_SPAN = "10000000000000000000"
-
-
 def latest_scan_ids(scans: DataFrame) -> DataFrame:
     """Per repository the id of the completed scan with the greatest (started_at, id).
 
-    Both parts are packed into one decimal; a missing start comes before any other.
+    A missing start comes before any other; ids may be negative.
     """
-    start = F.coalesce(F.unix_micros(F.col("started_at").cast("timestamp")), F.lit(-(10**17)))
-    span = F.lit(ID_SPAN).cast("decimal(20,0)")
-    key = (start.cast("decimal(18,0)") * span + F.col("id").cast("decimal(19,0)")).cast("decimal(38,0)")
     return (
         scans.filter(F.col("status") == "completed")
         .groupBy(PR)
-        .agg(F.max(key).alias("key"))
-        .select(F.pmod("key", span).cast("long").alias("id"))
+        .agg(F.max(F.struct("started_at", "id")).alias("key"))
+        .select("key.id")
     )
 
 

@@ -563,10 +563,10 @@ def pnpm_lock(source_files: DataFrame) -> DataFrame:
         yaml_section(F.col("content"), "importers").alias("importers"),
     )
     # Names below dependencies / devDependencies of an importer: six spaces deep.
-    listed = F.regexp_extract_all(
-        "importers",
-        F.lit(r"(?m)^    (?:dependencies|devDependencies):[ \t]*\n((?:      [^\n]*\n?)+)"),
-        F.lit(1),
+    # The section is cut at the shallower keys; a repeated group would overflow Java's stack.
+    listed = F.filter(
+        F.split("importers", r"(?m)(?=^ {0,4}\S)"),
+        lambda b: b.rlike(r"\A    (?:dependencies|devDependencies):[ \t]*\n"),
     )
     direct = F.flatten(F.transform(
         listed,
@@ -683,14 +683,14 @@ def composer_lock(source_files: DataFrame) -> DataFrame:
 def go_sum(source_files: DataFrame) -> DataFrame:
     """Distinct (module, version) of a file, first appearance first."""
     words = F.transform(text.text_lines(F.col("content")), lambda l: F.split(strip(l), r"\s+"))
+    # one string per pair: Spark finds distinct strings by hash, distinct structs by comparing all
     pairs = F.array_distinct(F.transform(
         F.filter(words, lambda w: F.size(w) >= 2),
-        lambda w: F.struct(
-            F.get(w, F.lit(0)).alias("module"),
-            F.substring_index(F.get(w, F.lit(1)), "/", 1).alias("version"),
-        ),
+        lambda w: F.concat(F.get(w, F.lit(0)), F.lit(" "), F.substring_index(F.get(w, F.lit(1)), "/", 1)),
     ))
-    entries = F.transform(pairs, lambda p: _entry(p["module"], p["version"]))
+    entries = F.transform(
+        pairs, lambda p: _entry(F.substring_index(p, " ", 1), F.substring_index(p, " ", -1))
+    )
     return _rows(at_root(source_files, "go.sum"), entries, 18, "go", "locked")
 
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dims, paths
+from ..functions import paths
 from .comments import code_part, comment_part, numbered_lines
 
 
@@ -16,12 +16,16 @@ def identifier_pattern(identifier: str) -> str:
     return r"(?U)\b" + re.sub(r"([^\w])", r"\\\1", identifier, flags=re.ASCII) + r"\b"
 
 
-def pdn_targets(source_files: DataFrame) -> DataFrame:
+def within_size(source_files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Files up to a size, all of them where none is given."""
+    return source_files if max_bytes is None else source_files.filter(F.col("size_bytes") <= max_bytes)
+
+
+def pdn_targets(source_files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Files that are scanned; all but `content` is needed."""
     path = F.col("path")
-    return source_files.filter(
-        (F.col("size_bytes") <= dims.PDN_MAX_BYTES)
-        & paths.not_test_path(path)
+    return within_size(source_files, max_bytes).filter(
+        paths.not_test_path(path)
         & ~paths.in_skipped_dir(path)
         & paths.is_pdn_target(path)
     )
@@ -45,7 +49,8 @@ def _hits(part: Column, name: str, types: list[tuple[str, str]]) -> Column:
 
 
 def pdn_findings(
-    source_files: DataFrame, types: list[tuple[str, str]], include_comments: bool = False
+    source_files: DataFrame, types: list[tuple[str, str]], include_comments: bool = False,
+    max_bytes: int | None = None, max_lines: int | None = None,
 ) -> DataFrame:
     """C11: one row per line, identifier and part.
 
@@ -53,6 +58,7 @@ def pdn_findings(
     a parameter of the job, so the theta join becomes a fixed list of tests on
     each line; one alternation over the whole file and again over the line keeps
     those tests to the few lines that can match. There is no join and no shuffle.
+    Files and lines of any size and number are scanned unless a bound is given.
     """
     columns = "repo_id string, path string, line_number long, pdn_type string, matched_identifier string, part string"
     if not types:
@@ -60,10 +66,9 @@ def pdn_findings(
     any_of = "|".join(
         sorted({re.sub(r"([^\w])", r"\\\1", i, flags=re.ASCII) for _, i in types}, key=len)
     )
-    candidates = pdn_targets(source_files).filter(F.col("content").rlike(any_of))
-    numbered = numbered_lines(candidates).filter(
-        (F.col("line_number") <= dims.PDN_MAX_LINES) & F.col("line").rlike(any_of)
-    )
+    numbered = numbered_lines(pdn_targets(source_files, max_bytes))
+    if max_lines is not None:
+        numbered = numbered.filter(F.col("line_number") <= max_lines)
     # The parts are columns of their own, so that each is cut out once per line.
     split = numbered.select(
         "repo_id",
@@ -71,7 +76,7 @@ def pdn_findings(
         "line_number",
         code_part(F.col("line")).alias("code"),
         (comment_part(F.col("line")) if include_comments else F.lit(None).cast("string")).alias("comment"),
-    )
+    ).filter(F.col("code").rlike(any_of) | F.coalesce(F.col("comment").rlike(any_of), F.lit(False)))
     hits = _hits(F.col("code"), "code", types)
     if include_comments:
         hits = F.concat(hits, _hits(F.col("comment"), "comment", types))

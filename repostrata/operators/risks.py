@@ -159,11 +159,11 @@ def mono_owner_risks(owners: DataFrame, key: str) -> DataFrame:
     )
 
 
-def module_avg_loc(top_files: DataFrame, lines: str = "lines") -> DataFrame:
-    """Files and mean lines of each module among the largest files."""
+def module_avg_loc(large_files: DataFrame, lines: str = "lines") -> DataFrame:
+    """Files and mean lines of each module, over all its large files."""
     parts = F.split("path", "/")
     return (
-        top_files.filter((F.size(parts) > 1) & (F.get(parts, F.lit(0)) != ""))
+        large_files.filter((F.size(parts) > 1) & (F.get(parts, F.lit(0)) != ""))
         .groupBy("repo_id", F.get(parts, F.lit(0)).alias("module"))
         .agg(F.count("*").alias("files"), F.sum(lines).alias("total_lines"))
         .withColumn("avg_lines", F.col("total_lines") / F.col("files"))

@@ -58,7 +58,7 @@ def profile(source_files: DataFrame, commits: DataFrame, pdn_types: list[tuple[s
         risks.repo_risks(base["facts"]),
         risks.mono_owner_risks(co.owner_shares(all_languages, "language"), "language"),
         risks.mono_owner_risks(co.owner_shares(modules, "module"), "module"),
-        risks.high_complexity_modules(risks.module_avg_loc(largest)),
+        risks.high_complexity_modules(risks.module_avg_loc(fl.large_files(base["code"], "lines"))),
         risks.orphan_module_risks(risks.orphan_modules(modules, contribs)),
     )
     return {

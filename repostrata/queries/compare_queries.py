@@ -11,8 +11,8 @@ from .canonical_sql import oracle
 
 
 def _pairs(t: Tables):
-    """Every scan with the next scan of its repository and day of the month."""
-    key = W.partitionBy("project_repository_id", F.date_format("created_at", "yyyy-MM")).orderBy("created_at", "id")
+    """Every scan with the next scan of its repository."""
+    key = W.partitionBy("project_repository_id").orderBy("created_at", "id")
     return (
         t.scans().withColumn("scan_b", F.lead("id").over(key))
         .filter(F.col("scan_b").isNotNull())
@@ -22,7 +22,7 @@ def _pairs(t: Tables):
 
 PAIRS = """
 WITH pairs AS (SELECT scan_a, scan_b FROM (SELECT id AS scan_a, lead(id) OVER (
-  PARTITION BY project_repository_id, strftime(created_at, '%Y-%m') ORDER BY created_at, id) AS scan_b FROM scans)
+  PARTITION BY project_repository_id ORDER BY created_at, id) AS scan_b FROM scans)
   WHERE scan_b IS NOT NULL)
 """
 

@@ -63,7 +63,7 @@ cl AS (SELECT c.repo_id, c.path, c.language, s.line_number, s.line, count(*) OVE
   FROM code c JOIN split_lines s ON s.repo_id = c.repo_id AND s.path = c.path),
 starts AS (SELECT *, coalesce(lead(line_number) OVER (PARTITION BY repo_id, path ORDER BY line_number), n + 1) - line_number AS length
   FROM cl WHERE {_any(SQL_FUNCTIONS, 'line')}),
-imports AS (SELECT DISTINCT repo_id, path, substr(trim(line, ' \t'), 1, 80) AS imp FROM cl WHERE {_any(SQL_IMPORTS, 'line')}),
+imports AS (SELECT DISTINCT repo_id, path, trim(line, ' \t') AS imp FROM cl WHERE {_any(SQL_IMPORTS, 'line')}),
 per_file AS (SELECT c.repo_id, c.path, c.language, coalesce(max(n), 0) AS lines FROM code c LEFT JOIN cl USING (repo_id, path) GROUP BY ALL)
 """
 
@@ -87,7 +87,7 @@ def _findings_sql(part: str, name: str) -> str:
     return f"""SELECT s.repo_id, s.path, s.line_number, pdn_type, ident AS matched_identifier, '{name}' AS part
       FROM ({SPLIT}) s JOIN files f ON f.repo_id = s.repo_id AND f.path = s.path JOIN {TYPES_SQL}
         ON regexp_matches({part}, '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])' || ident || '($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])')
-      WHERE f.folder NOT IN ('node_modules/x/', '.github/') AND f.size_bytes <= 1048576 AND NOT contains(lower(f.path), 'test')"""
+      WHERE f.folder NOT IN ('node_modules/x/', '.github/') AND NOT contains(lower(f.path), 'test')"""
 
 
 
@@ -262,7 +262,7 @@ QUERIES = {
     "p4_is_source_file": _flag("is_source"),
     "p5_is_pdn_target": _flag("is_target"),
     "p6_size_cap": (
-        lambda t: t.source_files().filter(F.col("size_bytes") <= dims.PDN_MAX_BYTES).select("repo_id", "path"),
+        lambda t: pdn.within_size(t.source_files(), 1048576).select("repo_id", "path"),
         oracle("SELECT repo_id, path FROM files WHERE size_bytes <= 1048576"),
     ),
     "p7_not_test_path": _flag("not_test"),
@@ -369,6 +369,6 @@ QUERIES = {
     ),
     "f19_classify_license_text": (
         lambda t: t.raw("documents").select("doc_id", classify_license_text(F.col("text")).alias("spdx")),
-        f"SELECT doc_id, CASE {LICENCE_CASES} END AS spdx FROM (SELECT doc_id, substr(text, 1, 3000) AS head FROM documents)",
+        f"SELECT doc_id, CASE {LICENCE_CASES} END AS spdx FROM (SELECT doc_id, text AS head FROM documents)",
     ),
 }

@@ -113,8 +113,8 @@ QUERIES = {
                    AND (contains(lower(coalesce(name, '')), 'a') OR contains(lower(coalesce(description, '')), 'a'))"""),
     ),
     "t4_projects_sorted": (
-        lambda t: p.projects_summary(_summary(t), "loc", "desc").limit(3),
-        oracle(f"SELECT * FROM ({SUMMARY}) ORDER BY total_loc DESC NULLS LAST, id LIMIT 3"),
+        lambda t: p.projects_summary(_summary(t), "loc", "desc"),
+        oracle(f"SELECT * FROM ({SUMMARY})"),
     ),
     "p9_contains_any": (
         lambda t: p.projects_summary(_summary(t), q="folio").select("id", "name"),
@@ -126,9 +126,8 @@ QUERIES = {
     ),
     "e7_repos_with_latest_scan": (_repos, oracle(REPOS)),
     "t5_repos_sorted": (
-        lambda t: p.repos_sorted(_repos(t), "last_updated", "desc").limit(10).select("id", "name", "completed_at"),
-        oracle(f"""SELECT id, name, completed_at FROM ({REPOS})
-                   ORDER BY coalesce(completed_at, started_at) DESC NULLS LAST, id LIMIT 10"""),
+        lambda t: p.repos_sorted(_repos(t), "last_updated", "desc").select("id", "name", "completed_at"),
+        oracle(f"""SELECT id, name, completed_at FROM ({REPOS})"""),
     ),
     "a11_treemap": (
         lambda t: p.treemap(t.projects(), t.project_repositories(), t.scans(), "loc"),

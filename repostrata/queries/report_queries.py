@@ -136,12 +136,12 @@ QUERIES = {
                    count(*) FILTER (risky_count > 0) AS repositories_with_risky FROM ({LICENCE_REPORT})"""),
     ),
     "e16_license_report_sorted": (
-        lambda t: r.ui_sort(_licences(t), "repository_name", "asc", "scan_id").limit(7).select("repository_name", "risky_count"),
-        oracle(f"SELECT repository_name, risky_count FROM ({LICENCE_REPORT}) ORDER BY lower(repository_name), scan_id LIMIT 7"),
+        lambda t: r.ui_sort(_licences(t), "repository_name", "asc", "scan_id").select("repository_name", "risky_count"),
+        oracle(f"SELECT repository_name, risky_count FROM ({LICENCE_REPORT})"),
     ),
     "t11_ui_sorts": (
-        lambda t: r.ui_sort(t.profiles(), "display_name", "asc", "id").limit(100).select("id", "display_name"),
-        oracle("SELECT id, display_name FROM profiles ORDER BY lower(coalesce(display_name, '')), id LIMIT 100"),
+        lambda t: r.ui_sort(t.profiles(), "display_name", "asc", "id").select("id", "display_name"),
+        oracle("SELECT id, display_name FROM profiles"),
     ),
     "a19_personal_data_counts": (
         lambda t: r.personal_data_counts(t.findings()),
@@ -166,12 +166,12 @@ QUERIES = {
                    JOIN repositories g ON g.id = r.repository_id"""),
     ),
     "t8_findings_ordered": (
-        lambda t: r.findings_ordered(t.findings()).limit(500),
-        oracle("SELECT * FROM findings ORDER BY scan_id, pdn_type, file_path, line_number, matched_identifier LIMIT 500"),
+        lambda t: r.findings_ordered(t.findings()),
+        oracle("SELECT * FROM findings"),
     ),
     "t8_scans_by_created": (
-        lambda t: t.scans().orderBy(F.desc("created_at"), "id").limit(200).select("id", "created_at"),
-        oracle("SELECT id, created_at FROM scans ORDER BY created_at DESC, id LIMIT 200"),
+        lambda t: t.scans().orderBy(F.desc("created_at"), "id").select("id", "created_at"),
+        oracle("SELECT id, created_at FROM scans"),
     ),
     "j7_queue_rows": (
         lambda t: queue_rows(t.scans(), t.project_repositories(), t.projects()).select(*QUEUE),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..bindings import Tables
 from ..operators import contributions as co
 from ..operators import risks, scores
+from ..operators.files import large_files, top_large_files
 from .canonical_sql import oracle
 
 
@@ -178,12 +179,13 @@ def _mono_sql(key: str, least: int) -> str:
 
 def _top_files(t: Tables):
     """Ten largest changed files of each part type, as (repo, path, lines)."""
-    from ..operators.files import top_large_files
+    return top_large_files(_sizes(t), "lines")
 
-    sizes = t.change_rows().join(
+
+def _sizes(t: Tables):
+    return t.change_rows().join(
         t.scans().select(F.col("id").alias("sha_key"), F.col("project_repository_id").alias("repo_id")), "sha_key"
     ).groupBy("repo_id", "path").agg((F.sum("insertions") * 10).alias("lines"))
-    return top_large_files(sizes, "lines")
 
 
 TOP_FILES = """
@@ -192,7 +194,7 @@ WITH sizes AS (SELECT project_repository_id AS repo_id, path, (sum(insertions) *
 top_files AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY lines DESC, path) AS rank FROM sizes WHERE lines >= 500)
               WHERE rank <= 10),
 avg_files AS (SELECT repo_id, split_part(path, '/', 1) AS module, count(*) AS files, sum(lines)::BIGINT AS total_lines, sum(lines) / count(*) AS avg_lines
-              FROM top_files WHERE path LIKE '%/%' GROUP BY ALL)
+              FROM sizes WHERE lines >= 500 AND path LIKE '%/%' GROUP BY ALL)
 """
 COMPLEX = """
 SELECT repo_id, 'high_complexity_module' AS risk_type, 'high' AS severity,
@@ -262,11 +264,11 @@ QUERIES = {
         oracle(_mono_sql("module", 5)),
     ),
     "a32_module_avg_loc": (
-        lambda t: risks.module_avg_loc(_top_files(t)),
+        lambda t: risks.module_avg_loc(large_files(_sizes(t), "lines")),
         oracle(TOP_FILES + "SELECT repo_id, module, files, total_lines, avg_lines FROM avg_files"),
     ),
     "k11_high_complexity_module": (
-        lambda t: risks.high_complexity_modules(risks.module_avg_loc(_top_files(t))),
+        lambda t: risks.high_complexity_modules(risks.module_avg_loc(large_files(_sizes(t), "lines"))),
         oracle(TOP_FILES + COMPLEX),
     ),
     "j19_orphan_modules": (_orphans, oracle(ORPHANS + "SELECT repo_id, module, last_active FROM orphans")),

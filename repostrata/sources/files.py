@@ -1,7 +1,8 @@
 """A checkout tree, or a table of files, as `source_files`.
 
-One scan feeds every consumer. The path filter runs before the content column is
-decoded, so pruned directories cost a listing only.
+One scan feeds every consumer. A byte sequence that is not UTF-8 becomes the replacement
+character, as in images or Latin-1 files, so any checkout can be read. Consumers that do
+not select the content do not read it.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
         F.substring(relative, F.lit(1), cut - 1).alias("repo_id"),
         F.substring(relative, cut + 1, F.length(relative)).alias("path"),
         "size_bytes",
-        F.decode("content", "UTF-8").alias("content"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
     )
 
 

@@ -146,7 +146,7 @@ def parse_tags(lines: DataFrame) -> DataFrame:
     return lines.filter(F.size(parts) >= 7).select(
         "repository_id",
         field(0).alias("name"),
-        blank_to_null(F.substring(sha, 1, 40)).alias("sha"),
+        blank_to_null(sha).alias("sha"),
         blank_to_null(field(6)).alias("message"),
         blank_to_null(field(4)).alias("tagger_name"),
         blank_to_null(email).alias("tagger_email"),

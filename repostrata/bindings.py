@@ -119,15 +119,12 @@ class Tables:
         )
 
     def scan_languages(self) -> DataFrame:
-        from .functions.common import share
+        from .functions.common import with_share
 
         rows = self.lines().groupBy(F.col("l_orderkey").alias("scan_id"), F.col("p_brand").alias("language")).agg(
             F.count("*").alias("file_count"), (F.sum("qty") * 10).alias("loc")
         )
-        totals = rows.groupBy("scan_id").agg(F.sum("loc").alias("_t"))
-        return rows.join(totals, "scan_id").select(
-            "scan_id", "language", "file_count", "loc", share(F.col("loc"), F.col("_t")).alias("percentage")
-        )
+        return with_share(rows, ["scan_id"], "loc")
 
     def scan_scores(self) -> DataFrame:
         key = F.col("o_orderkey")
@@ -170,7 +167,7 @@ class Tables:
         return rows.withColumn("module_id", module_id(F.col(PR), F.col("module_path"))).drop("module_path", PR)
 
     def _contributed(self, column: str, name: str) -> DataFrame:
-        from .functions.common import share
+        from .functions.common import with_share
 
         keys = ["scan_id", "profile_id"]
         rows = self.lines().groupBy(
@@ -179,10 +176,7 @@ class Tables:
             F.count("*").alias("commit_count"), F.count("*").alias("files_changed"),
             F.sum("qty").alias("loc_added"), F.sum("l_linenumber").alias("loc_deleted"),
         )
-        totals = rows.groupBy(*keys).agg(F.sum("files_changed").alias("_t"))
-        return rows.join(totals, keys).withColumn(
-            "percentage", share(F.col("files_changed"), F.col("_t"))
-        ).drop("_t")
+        return with_share(rows, keys, "files_changed")
 
     def modules(self) -> DataFrame:
         scans = self.scans().select(F.col("id").alias("l_orderkey"), PR)

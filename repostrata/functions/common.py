@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -63,3 +63,13 @@ def let(value: Column, body) -> Column:
     one, and it keeps plans small where a value is needed many times.
     """
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def with_share(rows: DataFrame, keys: list[str], part: str) -> DataFrame:
+    """`part` as a percentage of its sum over the keys.
+
+    The rows are grouped already, one per member of a key, so a window sum costs one
+    exchange and no second reading of what they were made from.
+    """
+    whole = F.sum(part).over(Window.partitionBy(*keys))
+    return rows.withColumn("_whole", whole).withColumn("percentage", share(F.col(part), F.col("_whole"))).drop("_whole")

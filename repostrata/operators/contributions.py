@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import paths
-from ..functions.common import share
+from ..functions.common import with_share
 from ..functions.identity import name_key, resolve_identity
 from ..functions.scalars import day_of
 
@@ -170,13 +170,8 @@ def _changes(commits: DataFrame) -> DataFrame:
 
 
 def with_user_share(rows: DataFrame, part: str = "files_changed") -> DataFrame:
-    """`part` as a percentage of the user's total, joined back by key."""
-    totals = rows.groupBy(*USER).agg(F.sum(part).alias("_total"))
-    return (
-        rows.join(totals, USER)
-        .withColumn("percentage", share(F.col(part), F.col("_total")))
-        .drop("_total")
-    )
+    """`part` as a percentage of the user's total."""
+    return with_share(rows, USER, part)
 
 
 def language_contributions(commits: DataFrame, head_languages: DataFrame | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.common import blank_to_null, share, total
+from ..functions.common import blank_to_null, share, total, with_share
 from ..functions.scalars import ilike_any
 from ..operators.latest import PR, latest_scan
 
@@ -169,12 +169,7 @@ def developer_summary(contribs: DataFrame, profiles: DataFrame, scans: DataFrame
 
 def _developer_share(rows: DataFrame) -> DataFrame:
     """Share of the developer's added lines."""
-    whole = rows.groupBy("developer_id").agg(F.sum("loc_added").alias("_whole"))
-    return (
-        rows.join(whole, "developer_id")
-        .withColumn("percentage", share(F.col("loc_added"), F.col("_whole")))
-        .drop("_whole")
-    )
+    return with_share(rows, ["developer_id"], "loc_added")
 
 
 _SUMMED = ("commit_count", "files_changed", "loc_added")

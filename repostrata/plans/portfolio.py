@@ -256,6 +256,18 @@ def tech_repos(projects: DataFrame, prs: DataFrame, scans: DataFrame) -> DataFra
     )
 
 
+def scan_language_names(scan_languages: DataFrame, languages: DataFrame) -> DataFrame:
+    """Language rows of a scan, by language id, with the names of the dimension."""
+    names = languages.select(F.col("id").alias("language_id"), F.col("name").alias("language"))
+    return scan_languages.join(names, "language_id").select("scan_id", "language", "file_count", "loc", "percentage")
+
+
+def repository_modules(modules: DataFrame, prs: DataFrame) -> DataFrame:
+    """The modules of each repository, by path."""
+    named = prs.select(F.col("id").alias("project_repository_id"), "repository_id", F.col("name").alias("repository_name"))
+    return modules.join(named, "project_repository_id").select("repository_id", "repository_name", "id", "path", "name")
+
+
 def tech_lang_stats(repos: DataFrame, scan_languages: DataFrame) -> DataFrame:
     """Lines, files and repositories by language over latest scans."""
     return (

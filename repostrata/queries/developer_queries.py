@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..bindings import Tables
 from ..plans import developers as d
+from ..plans.portfolio import repository_modules
 from .canonical_sql import oracle, share_sql
 
 TOTALS = """
@@ -155,8 +156,9 @@ QUERIES = {
                   FROM module_contributions c JOIN profiles p ON p.id = c.profile_id JOIN modules m ON m.id = c.module_id"""),
     ),
     "e18_modules_of_repository": (
-        lambda t: t.modules(),
-        oracle("SELECT id, project_repository_id, path, name FROM modules"),
+        lambda t: repository_modules(t.modules(), t.project_repositories()),
+        oracle("""SELECT r.repository_id, r.name AS repository_name, m.id, m.path, m.name FROM modules m
+                  JOIN prs r ON r.id = m.project_repository_id"""),
     ),
     "j9_project_developers": (
         lambda t: d.project_developers(t.contributions(), t.profiles(), t.scans(), t.project_repositories()),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..bindings import AS_OF, Tables
 from ..operators import latest
+from ..operators.merges import natural_id
 from ..plans import portfolio as p
 from .canonical_sql import oracle
 
@@ -194,7 +195,9 @@ QUERIES = {
                   FROM latest l JOIN prs r ON r.id = l.project_repository_id JOIN projects p ON p.id = r.project_id"""),
     ),
     "j4_scan_lang_names": (
-        lambda t: t.scan_languages(),
+        lambda t: p.scan_language_names(
+            t.scan_languages().withColumn("language_id", natural_id("language")).drop("language"),
+            t.raw("part").select(F.col("p_brand").alias("name")).distinct().withColumn("id", natural_id("name"))),
         oracle("SELECT scan_id, language, file_count, loc, percentage FROM scan_languages"),
     ),
     "j20_size_asof": (

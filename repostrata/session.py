@@ -49,15 +49,15 @@ def tuned(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Folder for intermediate results: the shared one the cluster names.
 
-    Where none is named, a local session gets a folder of its own and any other
-    one uses the warehouse, which every executor can reach.
+    Where none is named, only a local session, whose one process is all executors, gets
+    a folder of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="repostrata-checkpoint-")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_repostrata_checkpoints"
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="repostrata-checkpoint-")
 
 
 def cut(df: DataFrame) -> DataFrame:

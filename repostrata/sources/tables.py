@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,27 +38,34 @@ def table_scan(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def append_facts(rows: DataFrame, target: str, key: str = "scan_id", bucket: int = 1000) -> None:
+def append_facts(
+    rows: DataFrame, target: str, key: str = "scan_id", bucket: int = 1000, scans: DataFrame | None = None
+) -> None:
     """Write result rows so that running a scan again replaces its rows.
 
-    Partitions hold a range of scan ids (`key_bucket`), not one id each, which
-    keeps the number of folders bounded at any number of scans. Rows of the
-    scans being written replace earlier ones; other scans of the bucket stay.
+    `scans` names the scans that were run, in a column `key`; without it they are those of
+    the rows, and a scan whose result is now empty keeps its earlier rows. Partitions hold
+    a range of scan ids (`key_bucket`), not one id each, which keeps the number of folders
+    bounded at any number of scans. Other scans of a bucket stay. A bucket that would be
+    left without rows holds one with a null key, which `read_facts` leaves out. One writer
+    at a time.
     """
     spark = rows.sparkSession
-    fresh = rows.withColumn("key_bucket", F.floor(F.col(key) / bucket).cast("long"))
+    number = F.floor(F.col(key) / bucket).cast("long")
+    fresh = rows.withColumn("key_bucket", number)
+    done = (rows if scans is None else scans).select(key).distinct()
     try:
-        old = spark.read.parquet(target)
-    except Exception as missing:  # first write: the folder does not exist yet
-        if "PATH_NOT_FOUND" not in str(missing):
+        old = spark.read.schema(fresh.schema).parquet(target)
+    except AnalysisException as missing:  # first write: the folder does not exist yet
+        if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         merged = fresh
     else:
-        touched = fresh.select("key_bucket").distinct()
-        kept = old.join(touched, "key_bucket", "left_semi").join(
-            fresh.select(key).distinct(), key, "left_anti"
-        )
-        merged = kept.unionByName(fresh)
+        touched = done.select(number.alias("key_bucket")).distinct()
+        kept = old.join(touched, "key_bucket", "left_semi").join(done, key, "left_anti").where(F.col(key).isNotNull())
+        whole = kept.select(*fresh.columns).unionByName(fresh)
+        empty = touched.join(whole.select("key_bucket").distinct(), "key_bucket", "left_anti")
+        merged = whole.unionByName(empty, allowMissingColumns=True)
         merged = _materialised(merged, target)
     (
         merged.write.mode("overwrite")
@@ -67,6 +75,11 @@ def append_facts(rows: DataFrame, target: str, key: str = "scan_id", bucket: int
     )
 
 
+def read_facts(spark: SparkSession, target: str, key: str = "scan_id") -> DataFrame:
+    """The rows that `append_facts` has written."""
+    return spark.read.parquet(target).where(F.col(key).isNotNull()).drop("key_bucket")
+
+
 def _materialised(df: DataFrame, target: str) -> DataFrame:
     """Stage rows in a folder beside the target, as a table cannot replace itself."""
     staged = target.rstrip("/") + "__staged"

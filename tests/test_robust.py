@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from repostrata.functions import identity
 from repostrata.operators import complexity, latest, manifests, pdn
-from repostrata.sources import files as source_files
+from repostrata.sources import files as source_files, tables
 
 
 def test_long_blank_runs_in_code(spark, files):
@@ -63,3 +63,14 @@ def test_large_files_are_scanned_for_personal_data(files):
     text = "x = 1\n" * 110_000 + "passport = 1\nus/*x*/er = 2\n"
     found = pdn.pdn_findings(files([("r", "src/A.java", text + " " * 1_100_000)]), [("id", "passport"), ("name", "user")]).collect()
     assert {(r["line_number"], r["pdn_type"]) for r in found} == {(110_001, "id"), (110_002, "name")}
+
+
+def test_a_scan_with_an_empty_result_loses_its_rows(spark, tmp_path):
+    target = str(tmp_path / "facts")
+    some = spark.createDataFrame([(1, "a"), (2, "b"), (5000, "c")], "scan_id long, v string")
+    tables.append_facts(some, target)
+    again = spark.createDataFrame([(1,), (5000,)], "scan_id long")
+    tables.append_facts(some.where("false"), target, scans=again)
+    assert [tuple(r) for r in tables.read_facts(spark, target).collect()] == [(2, "b")]
+    tables.append_facts(spark.createDataFrame([(5001, "d")], "scan_id long, v string"), target)
+    assert {tuple(r) for r in tables.read_facts(spark, target).collect()} == {(2, "b"), (5001, "d")}

@@ -125,44 +125,46 @@ def components(edges: DataFrame) -> DataFrame:
 
 def bucket_links(
     members: DataFrame,
-    facts: DataFrame,
-    possible: Callable[[str, str], Column],
-    prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],
+    verify: Callable[[DataFrame], DataFrame],
+    near: Callable[[Column, Column], Column] | None = None,
+    across: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Links (a, b) that connect all that any verified pair of a common bucket connects.
 
-    `members` has (key, id), `facts` one row per id with what `possible` needs. First each
-    member meets the smallest of its bucket. Then, in buckets that still hold several
-    components, every member outside the bucket's largest component meets the members of
-    other components. A pair inside one component would add nothing, so components come
-    out as if all pairs had been verified, while a large group of copies costs only one
-    pair per member. `possible(x, y)` is a condition on the columns prefixed x and y that
-    every link meets; `prepare` gets the ids of buckets of more than one and returns the
-    function that reduces pairs (a, b) of ids to the verified ones.
+    `members` has (key, id), each pair once. First each member meets the smallest of its
+    bucket. Then, in buckets of three and more that still hold several components, every
+    member outside the bucket's largest component meets the members of other components.
+    A pair inside one component would add nothing, so components come out as if all pairs
+    had been verified, while a large group of copies costs only one pair per member.
+    `near(a, b)` is a condition on two ids that every link meets; `verify` reduces pairs
+    (a, b), a < b, each once, to the links among them. `across`, where given, takes the
+    second step over: from the mixed buckets (key, id, component, major) to links.
     """
 
     def checked(pairs: DataFrame) -> DataFrame:
-        def side(x: str) -> DataFrame:
-            return facts.select(*[F.col(c).alias(x if c == "id" else f"{x}_{c}") for c in facts.columns])
-
-        both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        both = both.join(side("a"), "a").join(side("b"), "b").where(possible("a_", "b_"))
-        return store(verify(store(both.select("a", "b"), "pairs")), "links")
+        if near is not None:
+            pairs = pairs.where(near(F.col("a"), F.col("b")))
+        once = store(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        return once if once.isEmpty() else store(verify(once), "links")
 
     dealt = members.repartition("key")  # one exchange for the count and for the join with it
     heads = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("head")).where("n > 1")
-    crowded = store(dealt.join(heads.select("key", "head"), "key"), "crowded")
-    verify = prepare(store(crowded.select("id").distinct(), "crowded"))
+    crowded = store(dealt.join(heads, "key"), "crowded")
     links = checked(crowded.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")))
-    parts = store(components(links), "parts")
-    labelled = crowded.drop("head").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    parts = components(links)
+    labelled = crowded.where("n > 2").select("key", "id").join(parts, "id", "left").withColumn(
+        "component", F.coalesce("component", "id")
+    )
     sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
     major = sizes.groupBy("key").agg(
         F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("parts")
     ).where("parts > 1").select("key", "major")
     mixed = store(labelled.join(major, "key"), "mixed")
+    if mixed.isEmpty():
+        return links
+    if across is not None:
+        return links.unionByName(store(across(mixed), "links"))
     others = mixed.select("key", F.col("id").alias("b"), F.col("component").alias("other"))
-    # those pairs were met before in which one is the bucket's smallest, but they are few
     more = mixed.where("component <> major").select("key", F.col("id").alias("a"), "component").join(others, "key").where(
         "component <> other"
     )

@@ -10,7 +10,10 @@ the earliest of each coordinate is kept: two documents agree in a coordinate wit
 probability of their weighted Jaccard similarity.
 
 Documents with equal shingles are one class from the start. Classes that share a band of
-the signature are compared exactly, on all their shingles, and linked from 0.8 on.
+the signature are compared exactly, on all their shingles, and linked from 0.8 on: first
+with the smallest id of the band's bucket, then, where a bucket still holds several
+components, all outside its largest one with the others. That second step deals a bucket
+to blocks of bounded size and compares inside them, so only links leave a task, never pairs.
 
 Defined cases: a text of one to four words is one shingle, a text without words equals
 only the same text, a null text links with nothing; rows that share an id are one
@@ -22,7 +25,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,8 @@ COORDINATES = BANDS * ROWS
 DARTS = COORDINATES * math.log(COORDINATES) + 2 * COORDINATES
 #: Ranks below 1 are split at powers of two down to this one, above at whole numbers.
 FINEST = 8
+#: Elements of one side of a block.
+BLOCK = 1_000_000
 KEEP_WORDS = 1_000_000
 WORD = re.compile(r"\w+")
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -182,13 +187,83 @@ def _elements_of(rows: DataFrame) -> DataFrame:
                 own = elements(t, hashes)
                 f1 = int(np.add.reduce(mixed(own ^ GOLDEN)).astype(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([key.as_py()], key.type), pa.array([f1]), pa.array([own.view(np.int64)], pa.list_(pa.int64()))],
+                    [pa.array([key.as_py()], key.type), pa.array([f1]), pa.array([np.sort(own.view(np.int64))], pa.list_(pa.int64()))],
                     names=["id", "f1", "own"],
                 )
 
     return map_arrow(rows, work, f"id {rows.schema['id'].dataType.simpleString()}, f1 long, own array<long>")
 
 
+def _block_links(mixed: DataFrame, facts: DataFrame, threshold: float) -> DataFrame:
+    """Links of members outside their bucket's largest component with members of others.
+
+    `mixed` has (key, id, component, major), `facts` (id, n, bands, own). Either side of a
+    bucket is dealt to blocks of about BLOCK elements, and each pair of blocks is a group
+    that a task holds by itself. A pair of documents is compared only in the first band
+    that they share, and for a document one link per component is enough.
+    """
+    rows = mixed.join(facts.select("id", "n"), "id").withColumn("loner", F.col("component") != F.col("major"))
+    blocks = rows.groupBy("key").agg(
+        (1 + F.floor(F.sum("n") / BLOCK)).cast("int").alias("blocks"),
+        (1 + F.floor(F.sum(F.when(F.col("loner"), F.col("n"))) / BLOCK)).cast("int").alias("loner_blocks"),
+    )
+    dealt = rows.join(blocks, "key")
+    h = F.xxhash64("id")
+    left = dealt.where("loner").select(
+        "key", "id", "component", F.lit(0).alias("side"), F.pmod(h, "loner_blocks").cast("int").alias("x"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"),
+    )
+    right = dealt.select(
+        "key", "id", "component", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("loner_blocks") - 1)).alias("x"),
+        F.pmod(h, "blocks").cast("int").alias("y"),
+    )
+    placed = left.unionByName(right).join(facts.select("id", "bands", "own"), "id").select(
+        "key", "x", "y", "side", "id", "component", "bands", "own"
+    ).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side", "id")
+
+    def compare(key: int, own: list[list], others: list[list]) -> Iterator[tuple]:
+        if not own or not others:
+            return
+        bands = np.stack([o[2] for o in others])
+        band = int(np.flatnonzero(bands[0] == key)[0])
+        size = np.array([len(o[3]) for o in others])
+        groups = np.array([o[1] for o in others])
+        ids = np.array([o[0] for o in others])
+        for name, component, keys, mine in own:
+            first = (bands[:, : band + 1] == keys[: band + 1]).argmax(1) == band
+            least = np.minimum(size, len(mine)) >= threshold * np.maximum(size, len(mine))
+            at = np.flatnonzero(first & least & (groups != component))
+            if not len(at):
+                continue
+            every = np.concatenate([others[i][3] for i in at])
+            place = np.minimum(np.searchsorted(mine, every), len(mine) - 1)
+            shared = np.add.reduceat((mine[place] == every).astype(np.int64), np.concatenate([[0], np.cumsum(size[at])[:-1]]))
+            linked = at[shared / (size[at] + len(mine) - shared) >= threshold]
+            _, one = np.unique(groups[linked], return_index=True)
+            yield from ((min(name, int(ids[i])), max(name, int(ids[i]))) for i in linked[one])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides = None, ([], [])
+
+        def done() -> Iterator[pa.RecordBatch]:
+            found = list(compare(now[0], *sides)) if now else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+        for batch in batches:
+            marks = zip(*(batch.column(c).to_pylist() for c in ("key", "x", "y")), strict=True)
+            facts = zip(*(batch.column(c).to_pylist() for c in ("side", "id", "component")), strict=True)
+            for i, (mark, (side, name, component)) in enumerate(zip(marks, facts, strict=True)):
+                if mark != now:
+                    yield from done()
+                    now, sides = mark, ([], [])
+                bands, own = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("bands", "own"))
+                sides[side].append([name, component, bands, own])
+        yield from done()
+
+    return map_arrow(placed, work, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: its id, component (smallest id reachable over links of the
     threshold or more; its own where it has none) and kept (it is that smallest id)."""
@@ -198,25 +273,33 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
     members = classes.select(F.explode("bands").alias("key"), "id")
 
-    def prepare(crowded: DataFrame) -> Callable[[DataFrame], DataFrame]:
-        wanted = classes.join(crowded, "id", "left_semi").select("id", "f1")
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """(id, own) of some classes."""
+        wanted = store(classes.join(ids, "id", "left_semi").select("id", "f1"), "wanted")
         rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text is not null")
         rows = rows.join(wanted.select("id").distinct(), "id", "left_semi")
-        sets = store(_elements_of(rows).join(wanted, ["id", "f1"], "left_semi").dropDuplicates(["id", "f1"]).select("id", "own"), "elements")
-
-        def verify(pairs: DataFrame) -> DataFrame:
-            both = pairs.join(sets.select(F.col("id").alias("a"), F.col("own").alias("x")), "a").join(
-                sets.select(F.col("id").alias("b"), F.col("own").alias("y")), "b"
-            )
-            shared = F.size(F.array_intersect("x", "y"))
-            return both.where(shared / (F.size("x") + F.size("y") - shared) >= threshold).select("a", "b")
-
-        return verify
-
-    def possible(x: str, y: str):
-        return F.least(F.col(f"{x}n"), F.col(f"{y}n")) / F.greatest(F.col(f"{x}n"), F.col(f"{y}n")) >= threshold
-
-    links = bucket_links(members, classes.groupBy("id").agg(F.max("n").alias("n")), possible, prepare)
+        found = _elements_of(rows).join(wanted, ["id", "f1"], "left_semi").dropDuplicates(["id", "f1"])
+        return store(found.select("id", "own"), "elements")
+
+    sizes = classes.groupBy("id").agg(F.max("n").alias("n"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("m")), "a").join(
+            sizes.select(F.col("id").alias("b"), "n"), "b"
+        ).where(F.least("m", "n") / F.greatest("m", "n") >= threshold).select("a", "b")
+        both = store(both, "alike")
+        sets = sets_of(both.select(F.col("a").alias("id")).unionByName(both.select(F.col("b").alias("id"))).distinct())
+        met = both.join(sets.select(F.col("id").alias("a"), F.col("own").alias("x")), "a").join(
+            sets.select(F.col("id").alias("b"), F.col("own").alias("y")), "b"
+        )
+        shared = F.size(F.array_intersect("x", "y"))
+        return met.where(shared / (F.size("x") + F.size("y") - shared) >= threshold).select("a", "b").distinct()
+
+    def across(mixed: DataFrame) -> DataFrame:
+        facts = classes.select("id", "n", "bands").join(sets_of(mixed.select("id").distinct()), "id")
+        return _block_links(mixed, facts, threshold)
+
+    links = bucket_links(members, verify, across=across)
     # rows of one id are one document
     own = signs.select("id", "f1", "f2", "n").join(classes.select("f1", "f2", "n", F.col("id").alias("first")), ["f1", "f2", "n"])
     several = own.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()

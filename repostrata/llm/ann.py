@@ -2,9 +2,9 @@
 
 Unit vectors are projected on a few Gaussian directions; the projected squared distance
 of two vectors, over their true one, follows a chi-square law of that many degrees. Each
-shard holds a kd-tree of its projected points. A query takes them in the order of
-projected distance, verifies each by its exact cosine, and stops when the law says that a
-vector nearer than the k-th best so far would, with probability CONFIDENCE, have come up
+shard holds a kd-tree of its projected points. A query takes its leaves in the order of
+projected distance, verifies their vectors by exact cosine, and stops when the law says that
+a vector nearer than the k-th best so far would, with probability CONFIDENCE, have come up
 already. The shards' answers are merged.
 
 Of bit-equal vectors only the k + 1 smallest ids are indexed: with ties to the smaller id
@@ -20,7 +20,6 @@ of the input are never looked at.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,41 +55,32 @@ class Tree:
 
     def __init__(self, points: np.ndarray):
         self.points, self.order = points, np.arange(len(points))
-        self.low, self.high, self.span, self.children = [], [], [], []
-        self.root = self._grow(0, len(points))
-
-    def _grow(self, start: int, end: int) -> int:
-        own, node = self.points[self.order[start:end]], len(self.span)
-        low, high = own.min(0), own.max(0)
-        self.low.append(low), self.high.append(high), self.span.append((start, end)), self.children.append(None)
-        if end - start > LEAF:
-            middle = (end - start) // 2
-            by = np.argpartition(own[:, int(np.argmax(high - low))], middle)
-            self.order[start:end] = self.order[start:end][by]
-            self.children[node] = (self._grow(start, start + middle), self._grow(start + middle, end))
-        return node
-
-    def nearest_first(self, q: np.ndarray) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
-        """Rows in the order of squared distance, a block at a time: no later block holds
-        anything nearer than the bound given with a block."""
-        waiting = [(0.0, 0, self.root)]
-        rows, distances = np.empty(0, dtype=np.int64), np.empty(0)
-        while waiting or len(rows):
-            while waiting and (not len(rows) or waiting[0][0] <= distances.min()):
-                _, _, node = heapq.heappop(waiting)
-                if self.children[node] is None:
-                    start, end = self.span[node]
-                    own = self.order[start:end]
-                    rows = np.concatenate([rows, own])
-                    distances = np.concatenate([distances, ((self.points[own] - q) ** 2).sum(1)])
-                else:
-                    for child in self.children[node]:
-                        gap = np.maximum(np.maximum(self.low[child] - q, q - self.high[child]), 0)
-                        heapq.heappush(waiting, (float((gap * gap).sum()), child, child))
-            bound = waiting[0][0] if waiting else np.inf
-            ready = distances <= bound
-            yield min(bound, float(distances[~ready].min()) if (~ready).any() else np.inf), rows[ready], distances[ready]
-            rows, distances = rows[~ready], distances[~ready]
+        self.leaves: list[tuple[int, int]] = []
+        self._split(0, len(points))
+        self.low = np.stack([points[self.order[a:b]].min(0) for a, b in self.leaves])
+        self.high = np.stack([points[self.order[a:b]].max(0) for a, b in self.leaves])
+
+    def _split(self, start: int, end: int) -> None:
+        if end - start <= LEAF:
+            self.leaves.append((start, end))
+            return
+        own, middle = self.points[self.order[start:end]], (end - start) // 2
+        by = np.argpartition(own[:, int(np.argmax(own.max(0) - own.min(0)))], middle)
+        self.order[start:end] = self.order[start:end][by]
+        self._split(start, start + middle)
+        self._split(start + middle, end)
+
+    def nearest_first(self, q: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
+        """Rows by leaf, nearest boxes first, a few leaves and then twice as many at a time:
+        no later row is nearer, by squared distance, than the bound given with them."""
+        gap = np.maximum(np.maximum(self.low - q, q - self.high), 0)
+        distance = (gap * gap).sum(1)
+        order = np.argsort(distance, kind="stable")
+        at, many = 0, 4
+        while at < len(order):
+            rows = np.concatenate([self.order[slice(*self.leaves[leaf])] for leaf in order[at : at + many]])
+            at, many = at + many, many * 2
+            yield float(distance[order[at]]) if at < len(order) else np.inf, rows
 
 
 def search(tree: Tree, unit: np.ndarray, ids: np.ndarray, vectors: np.ndarray, q_id: int, q: np.ndarray,
@@ -98,7 +88,7 @@ def search(tree: Tree, unit: np.ndarray, ids: np.ndarray, vectors: np.ndarray, q
     """The k best (minus cosine, id) of one shard for one query."""
     best: list[tuple[float, int]] = []
     unit_q = q.astype(np.float64) / np.linalg.norm(q.astype(np.float64))
-    for bound, rows, _ in tree.nearest_first(unit_q @ directions):
+    for bound, rows in tree.nearest_first(unit_q @ directions):
         rows = rows[ids[rows] != q_id]
         if len(rows):
             near = unit[rows] @ unit_q

@@ -87,6 +87,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-#: The first kind's hits are searched in the text as it is; positions are running sums of
-#: the pieces between hits and the hits themselves.
-SQL: dict[str, str] = {}
+
+
+def _spans_sql() -> str:
+    """Each kind's hits and the pieces between them; positions are running sums of lengths."""
+    kinds = []
+    for number, rule in enumerate(secrets.RULES):
+        pattern = rule.pattern.replace("'", "''")
+        kinds.append(f"""SELECT doc_id, {number} AS number, '{rule.name}' AS kind, i, hit,
+            end_at - length(hit) AS start_at, end_at FROM (
+          SELECT doc_id, i, hits[i] AS hit, (list_sum([length(x) FOR x IN hits[1:i]]) + list_sum([length(x) FOR x IN gaps[1:i]]))::BIGINT AS end_at FROM (
+            SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (
+              SELECT doc_id, regexp_extract_all(t, '{pattern}') AS hits, string_split_regex(t, '{pattern}') AS gaps FROM d WHERE regexp_matches(t, '{pattern}'))))
+          WHERE length(regexp_extract(hit, '{pattern}', {rule.group})) >= {rule.least}""")
+    return " UNION ALL ".join(kinds)
+
+
+SECRETS_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({_spans_sql()}),
+told AS (SELECT doc_id, string_agg(kind || ':' || start_at || ':' || end_at, ',' ORDER BY start_at, number) AS spans,
+    string_agg(kind || ':' || start_at || ':' || end_at, ',' ORDER BY start_at, number) FILTER (number < {len(secrets.BASE)}) AS base,
+    {", ".join(f"count(*) FILTER (kind = '{r.name}') AS n_{r.name}" for r in secrets.BASE)}
+  FROM found GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{r.name}, 0) AS n_{r.name}" for r in secrets.BASE)},
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN told USING (doc_id)
+"""
+
+#: All links by brute force, and the smallest id that they reach.
+NEAR_VECTORS_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+parts AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM parts
+"""
+
+SQL: dict[str, str] = {"op4_near_vectors": NEAR_VECTORS_SQL, "op6_secrets": SECRETS_SQL}

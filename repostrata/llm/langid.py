@@ -137,22 +137,20 @@ def build(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarra
 
 def code_lengths(model: Model, texts: list[str]) -> np.ndarray:
     """Bits of every text under every language."""
-    raw = [t.lower().encode() for t in texts]
-    sizes = np.array([len(r) + ORDER for r in raw])
-    data = np.frombuffer(b"".join(b"\0\0\0" + r.replace(b"\0", b" ") for r in raw), dtype=np.uint8)
-    owner = np.repeat(np.arange(len(raw)), sizes)
-    out = np.zeros((len(raw), len(model.languages)))
+    data = np.frombuffer(b"".join(b"\0\0\0" + t.lower().encode().replace(b"\0", b" ") for t in texts), dtype=np.uint8)
+    ends = np.cumsum([len(t.lower().encode()) + ORDER for t in texts])
+    out = np.zeros((len(texts), len(model.languages)))
     for at in range(0, len(data), SLICE):
         sym = model.symbols[data[max(0, at - ORDER) : at + SLICE]]
-        skip = min(at, ORDER)
-        if not skip:
-            sym, skip = np.concatenate([np.zeros(ORDER, dtype=sym.dtype), sym]), ORDER
+        if at < ORDER:
+            sym = np.concatenate([np.zeros(ORDER - at, dtype=sym.dtype), sym])
         w = model.width
         node = model.contexts[(sym[:-3] * w + sym[1:-2]) * w + sym[2:-1]]
         bits = model.bits[node * w + sym[3:]]
-        own = owner[at : at + SLICE]
-        starts = np.flatnonzero(np.diff(own, prepend=-1))
-        out[own[starts]] += np.add.reduceat(bits, starts, axis=0, dtype=np.float64)
+        # the texts that begin before the slice ends, and where
+        first, last = np.searchsorted(ends, [at, at + len(bits) - 1], side="right")
+        starts = np.concatenate([[0], ends[first:last] - at])
+        out[first : last + 1] += np.add.reduceat(bits, starts, axis=0, dtype=np.float64)
     return out
 
 

@@ -329,6 +329,49 @@ def test_lines(docs, rows, spark):
     assert not {60, 61, 62} & {i for i, _ in out} and all(any(i == d for d, _ in out) for i in (0, 1, 5))
 
 
+def character_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def typed(rng, line, k):
+    """The line with k letters replaced, left out or put in."""
+    for _ in range(k):
+        at, how = int(rng.integers(len(line))), rng.integers(3)
+        line = line[:at] + ("#" if how else "") + line[at + (how != 1) :]
+    return line
+
+
+def test_lines_by_characters(spark):
+    """Every pair of short lines and those of one hash: as brute force in characters."""
+    rng = np.random.default_rng(61)
+    lines = ["a b c d e f g h", "abcdefghi", "abcdefghij", "这是一个没有空格的中文句子真的很短", "这是一个没有空格的中文句子真的很長", "aaaaaaaaaaaaaaaaaaaa", "aaaaaaaaaaaaaaaaaa"]
+    for n in rng.integers(1, 10, 60):
+        first = sentence(rng, n)[:59]
+        lines += [first, *(typed(rng, first, int(k)) for k in (1, len(first) // 10, len(first) // 10 + 1))]
+    lines = sorted({x.strip() for x in lines if len(x.strip()) < linedup.SHORT} - {""})
+    long = " ".join(f"word{i}" for i in range(300))
+    swapped = " ".join(["x" + long.split(" ")[0][1:], *long.split(" ")[1:-1], long.split(" ")[-1] + "y"])
+    table = spark.createDataFrame([(i, t) for i, t in enumerate([*lines, long, swapped])], "doc_id long, text string")
+    group = {r["id"]: r["group"] for r in linedup.line_groups(table).collect()}
+    links = [(i, j) for i, j in combinations(range(len(lines)), 2)
+             if character_distance(lines[i], lines[j]) <= 0.1 * max(len(lines[i]), len(lines[j])) + 1e-9]
+    truth = union_find(range(len(lines)), links)
+    assert len(links) > 60
+    for i, j in combinations(range(len(lines)), 2):
+        assert (group[i] == group[j]) == (truth[i] == truth[j])
+    assert group[len(lines)] == group[len(lines) + 1]
+    pairs = [("a" * 1500 + "b" * k + "c" * 900, "a" * 1500 + "d" * m + "c" * 900) for k in (0, 100, 290) for m in (0, 90, 300)]
+    pairs += [(a.replace("c", "ab", 100), b) for a, b in pairs] + [("ü" + a, a + "é") for a, _ in pairs]
+    made = spark.createDataFrame(pairs, "x string, y string").select(linedup.within_room("x", "y", 0.9).alias("near"), F.expr("levenshtein(x, y) <= 0.1 * greatest(length(x), length(y)) + 1e-9").alias("truth"))
+    got = made.collect()
+    assert all(r["near"] == r["truth"] for r in got) and len({r["near"] for r in got}) == 2
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(7)

@@ -372,6 +372,32 @@ def test_lines_by_characters(spark):
     assert all(r["near"] == r["truth"] for r in got) and len({r["near"] for r in got}) == 2
 
 
+def test_isolated_pairs_of_lines_meet(spark):
+    """Pairs without a third line, up to a tenth of whose words differ."""
+    rng = np.random.default_rng(62)
+
+    def words(n, wide=6):
+        return ["".join(map(chr, rng.integers(97, 123, wide))) for _ in range(n)]
+
+    kinds, lines = [(10, 1), (20, 1), (20, 2), (30, 3), (60, 6)], []
+    for n, k in kinds * 60:
+        first = words(n)
+        second = list(first)
+        for at, w in zip(rng.choice(n, k, replace=False), words(k), strict=True):
+            second[at] = w
+        lines += [" ".join(first), " ".join(second)]
+    # no blanks: one letter of 80
+    for _ in range(60):
+        first = words(1, 80)[0]
+        lines += [first, first[:40] + "#" + first[41:]]
+    group = {r["id"]: r["group"] for r in linedup.line_groups(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    met = [group[i] == group[i + 1] for i in range(0, len(lines), 2)]
+    share = {k: np.mean(met[i:300:5]) for i, k in enumerate(kinds)} | {"no blanks": np.mean(met[300:])}
+    print(share)
+    assert min(share.values()) >= 0.85 and np.mean(met) >= 0.93
+    assert len(set(group.values())) == len(lines) - sum(met)
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(7)

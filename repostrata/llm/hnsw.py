@@ -4,8 +4,10 @@ Bit-equal vectors are one class, counted by its size. Classes are dealt to shard
 hash; a task builds the graph of its shard and then gets all classes, batch by batch, as
 queries. A beam search descends the levels and collects what is near on the lowest; a
 query whose beam holds nothing below the threshold goes on with a wider one. Before
-that, the shard audits itself: the links that the beams find for a sample of its points are held
-against brute force over the shard, and beams are doubled until the recall is reached;
+that, the shard audits itself: the links that the beams find for a sample of its points, and
+then of each batch of queries, most of which are of other shards, are held
+against brute force over the shard, and beams are doubled until the recall is reached, as a mean
+over the points that have links, and for points of few links apart;
 a beam as wide as the shard is brute force itself. What is found is verified by cosine in
 double precision. A task returns, for each query, how many vectors it links with and
 edges to the shard's components only, so a group of n copies costs about n edges.
@@ -35,7 +37,9 @@ LINKS = 12
 BUILD_BEAM, SEARCH_BEAM = 40, 32
 BATCH = 256
 LEAST_SHARDS, SHARD_ROWS = 8, 100_000
-AUDIT, AUDIT_RECALL = 256, 0.99
+#: Points of a shard, at least and at most, and queries of a batch that are held against brute force.
+AUDIT, AUDIT_MOST, AUDIT_ASKED = 256, 2048, 64
+AUDIT_RECALL, AUDIT_KEPT, FEW, BLOCK = 0.99, 2048, 16, 64
 #: How many visited marks a block of queries may take.
 MARKS = 8_000_000
 FOUND = "id long, links long, other long"
@@ -175,19 +179,57 @@ class Graph:
         return out
 
 
+class Audit:
+    """Beam width for which the links of sampled queries, held against brute force, are found.
+
+    The recall is a mean over queries that have a link besides themselves, so no large
+    group outweighs the others, and it has to be reached by those of FEW links by themselves.
+    """
+
+    def __init__(self, graph: Graph, least: float, width: int = SEARCH_BEAM):
+        self.graph, self.least, self.width = graph, least, width
+        self.asked: list[np.ndarray] = []
+        self.truth: list[np.ndarray] = []
+        self.shares: list[float] = []
+
+    def sample(self, q: np.ndarray, own: np.ndarray, enough: int, most: int) -> int:
+        """Add `enough` of the queries and, until as many with few links are known, up to
+        `most`; `own` is each one's node, -1 for none. Returns the width."""
+        order = np.random.default_rng(len(q)).permutation(len(q))[:most]
+        for at in range(0, len(order), BLOCK):
+            if at >= enough and sum(len(t) <= FEW for t in self.truth) >= enough:
+                break
+            some = order[at : at + BLOCK]
+            # a hair above, as sums are rounded in another order
+            for i, near in zip(some, q[some] @ self.graph.unit.T >= self.least + 1e-6, strict=True):
+                links = np.flatnonzero(near).astype(np.int32)
+                links = links[links != own[i]]
+                if len(links) and (at < enough or len(links) <= FEW):
+                    self.asked.append(q[i])
+                    self.truth.append(links)
+        # the newest stay
+        drop = max(0, len(self.asked) - AUDIT_KEPT)
+        del self.asked[:drop], self.truth[:drop], self.shares[:drop]
+        self._settle()
+        return self.width
+
+    def _settle(self) -> None:
+        while True:
+            at = len(self.shares)
+            if at < len(self.asked):
+                found = self.graph.within(np.stack(self.asked[at:]), self.least, self.width)
+                self.shares += [float(np.isin(t, f).mean()) for t, f in zip(self.truth[at:], found, strict=True)]
+            shares, few = np.array(self.shares), np.array([len(t) <= FEW for t in self.truth], dtype=bool)
+            low = any(len(own) and own.mean() < AUDIT_RECALL for own in (shares[few], shares[~few]))
+            if not low or self.width >= len(self.graph.unit):
+                return
+            self.width *= 2
+            self.shares = []
+
+
 def audited_width(graph: Graph, least: float) -> int:
-    """The beam's width for which the links of a sample of points are found."""
-    n = len(graph.unit)
-    sample = np.unique(np.linspace(0, n - 1, min(AUDIT, n)).astype(int))
-    truth = graph.unit[sample] @ graph.unit.T >= least
-    width = SEARCH_BEAM
-    while width < n:
-        found = graph.within(graph.unit[sample], least, width)
-        hits = sum(int(truth[i, f].sum()) for i, f in enumerate(found))
-        if hits >= AUDIT_RECALL * truth.sum():
-            break
-        width *= 2
-    return width
+    """The beam's width for which the links of a sample of the graph's own points are found."""
+    return Audit(graph, least).sample(graph.unit, np.arange(len(graph.unit)), AUDIT, AUDIT_MOST)
 
 
 def near_vectors(embeddings: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
@@ -206,7 +248,9 @@ def near_vectors(embeddings: DataFrame, vec_id: str = "vec_id", vector: str = "e
         graph = Graph(unit(held["v"]), shard)
         ids, sizes, vectors = (held[c][graph.node_of] for c in ("id", "w", "v"))
         least = np.float32(threshold - 1e-5)
-        width = audited_width(graph, least)
+        audit = Audit(graph, least)
+        audit.sample(graph.unit, np.arange(len(ids)), AUDIT, AUDIT_MOST)
+        by_id = np.argsort(ids)
         parent = np.arange(len(ids))
 
         def root(x: int) -> int:
@@ -216,8 +260,10 @@ def near_vectors(embeddings: DataFrame, vec_id: str = "vec_id", vector: str = "e
             return x
 
         for batch in asked:
-            out = []
-            for key, q, own in zip(batch["id"], batch["v"], graph.within(unit(batch["v"]), least, width), strict=True):
+            out, asking = [], unit(batch["v"])
+            place = by_id[np.minimum(np.searchsorted(ids, batch["id"], sorter=by_id), len(ids) - 1)]
+            width = audit.sample(asking, np.where(ids[place] == batch["id"], place, -1), AUDIT_ASKED, AUDIT_ASKED)
+            for key, q, own in zip(batch["id"], batch["v"], graph.within(asking, least, width), strict=True):
                 own = own[ids[own] != key]
                 if len(own):
                     own = own[cosine(vectors[own], np.broadcast_to(q, (len(own), len(q)))) >= threshold]

@@ -461,6 +461,32 @@ def test_graph_finds_what_brute_force_finds():
     assert hits >= 0.99 * truth.sum() and all(len(set(f)) == len(f) for f in found)
 
 
+def test_audit_sees_lost_links_of_small_groups():
+    """Beams that lose every link but those of a hot group, or of queries without a node, are widened."""
+    rng = np.random.default_rng(81)
+    points = rng.standard_normal((2000, 32)).astype(np.float32)
+    points[:1500] = points[0] + rng.standard_normal((1500, 32)).astype(np.float32) * 0.05
+    points[1600:1800] = points[1800:2000] + rng.standard_normal((200, 32)).astype(np.float32) * 0.05
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    graph = hnsw.Graph(points, 1)
+    real, n = graph.within, len(points)
+    pair = np.flatnonzero((graph.unit @ graph.unit.T >= 0.9).sum(1) == 2)
+    assert len(pair) > 300
+
+    def lossy(q, least, width):
+        """Without other points than the nearest, where few are near and the beam is narrow."""
+        out = real(q, least, n)
+        return out if width >= 256 else [f if len(f) > 16 else f[np.argsort(-(graph.unit[f] @ x))[:1]] for f, x in zip(out, q)]
+
+    graph.within = lossy
+    assert hnsw.audited_width(graph, 0.9) >= 256
+    graph.within = lambda q, least, width: real(q, least, n) if width >= 256 or len(q) and np.abs(graph.unit @ q.T).max(0).min() > 0.9999999 else [f[:0] for f in real(q, least, n)]
+    foreign = graph.unit[pair] + rng.standard_normal((len(pair), 32)).astype(np.float32) * 0.01
+    foreign /= np.linalg.norm(foreign, axis=1, keepdims=True)
+    audit = hnsw.Audit(graph, 0.9)
+    assert audit.sample(foreign, np.full(len(pair), -1), 64, 64) >= 256
+
+
 def test_licences(docs, rows):
     got = licences.scan(docs).select("row.text", "found").collect()
     matcher = licences.Matcher(licences.TEMPLATES, 0.8)

@@ -16,6 +16,7 @@ empty result; other columns of the input are never looked at.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,6 +36,9 @@ RANKS = "byte_bpe_50k.tiktoken"
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, place long"
 
+#: Longer runs of white space may overflow the stack of the faster library.
+LONG_SPACE = re.compile(r"\s{20000}")
+
 _encoders: dict = {}
 
 
@@ -42,8 +46,9 @@ def encoder(tokenizer_path: str, ranks_path: str):
     """A function from texts to lists of ids, those of the tokenizer file.
 
     The ranks file holds the same vocabulary and merges several times faster. The first
-    text of every batch, and each one that names a special token, goes through the
-    tokenizer itself; should the two ever differ, all texts do.
+    text of every batch, and each one that names a special token, has a very long run of white space
+    or fails in the faster library, goes through the tokenizer itself; should the two ever
+    differ, all texts do.
     """
     if (key := (tokenizer_path, ranks_path)) in _encoders:
         return _encoders[key]
@@ -63,10 +68,15 @@ def encoder(tokenizer_path: str, ranks_path: str):
 
     def encode(texts: list[str]) -> Iterator[list[int]]:
         for i, text in enumerate(texts):
-            if not state["same"] or any(s in text for s in special):
+            if not state["same"] or any(s in text for s in special) or LONG_SPACE.search(text):
                 yield whole(text)
                 continue
-            ids = fast.encode_ordinary(text)
+            try:
+                ids = fast.encode_ordinary(text)
+            except BaseException as error:  # a panic of the library is no Exception
+                if isinstance(error, (KeyboardInterrupt, SystemExit, GeneratorExit)):
+                    raise
+                ids = whole(text)
             if i == 0 and ids != (exact := whole(text)):
                 state["same"], ids = False, exact
             yield ids

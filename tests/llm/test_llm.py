@@ -162,6 +162,29 @@ def test_packing_round_trip(docs, rows):
     assert len(sequences) <= -(-tokens // 1024) + 4
 
 
+def test_packing_of_long_white_space(monkeypatch):
+    import public_tokenizers
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    paths = [public_tokenizers.path(n) for n in (packing.TOKENIZER, packing.RANKS)]
+    slow = Tokenizer.from_file(paths[0])
+    texts = ["first", "a" + "\n" * 1_000_000 + "b", " " * 1_000_000, "x " * 50, "\t \n" * 400_000 + "end"]
+    want = [slow.encode(t, add_special_tokens=False).ids for t in texts]
+    assert list(packing.encoder(*paths)(texts)) == want
+    # whatever else makes the faster library fail
+    panic = type("PanicException", (BaseException,), {})
+    real = tiktoken.Encoding.encode_ordinary
+
+    def failing(self, text):
+        if text.startswith("x"):
+            raise panic("StackOverflow")
+        return real(self, text)
+
+    monkeypatch.setattr(tiktoken.Encoding, "encode_ordinary", failing)
+    assert list(packing.encoder(*paths)(texts)) == want
+
+
 def test_secrets(docs, rows, spark):
     patterns = [
         ("assign", re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A), 2, 12),

@@ -534,6 +534,23 @@ def test_licences(docs, rows):
     assert {f["license"] for r in got for f in r["found"]} == {"Apache-2.0"}
 
 
+def test_licences_of_more_kinds():
+    """Licences beyond those of the test data, and notices inside of longer sentences."""
+    matcher = licences.Matcher(licences.TEMPLATES, 0.8)
+
+    def names(text):
+        return {f[1] for f in matcher.find(text)}
+
+    assert {"BSD-2-Clause", "BSD-3-Clause", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "EPL-2.0", "BSL-1.0", "GPL-2.0"} <= set(matcher.names)
+    filler = "Some words of a page before it.\n"
+    for name, text in licences.TEMPLATES:
+        assert name in names(f"{filler}{text}\n{filler}"), name
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"} <= {n for n, t in licences.TEMPLATES if len(t) > 5000}
+    assert "MIT" in names("Copyright 2019 Foo, released under the MIT License")
+    assert "MIT" in names("Foo 1.2 (released under the MIT License) is a tool for bars")
+    assert "Apache-2.0" in names("Foo is a tool - licensed under the Apache License, Version 2.0 - for bars")
+
+
 def test_empty_tables(spark, none, tmp_path):
     none.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))

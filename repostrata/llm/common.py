@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _local_folder: list[str] = []
 
@@ -61,7 +62,7 @@ def _ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(path)
 
 
-def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """`mapInArrow` with this package at hand in the workers."""
     _ship(df.sparkSession)
     return df.mapInArrow(work, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, dartminhash, hnsw, langid, licences, linedup, mixing, packing, quality, secrets
+from . import ann, collocations, dartminhash, fmindex, hnsw, langid, licences, linedup, mixing, packing, quality, ranking, secrets
 from .common import crc32_of_id, new_path
 
 
@@ -74,6 +74,22 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"))
 
 
+def op11_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = fmindex.find(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), ["doc_id"])
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranking.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_nearest": op2_nearest,
@@ -85,10 +101,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_licences": op9_licences,
     "op10_quality": op10_quality,
+    "op11_decontamination": op11_decontamination,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_collocations": op13_collocations,
 }
 
 
-
 def _spans_sql() -> str:
     """Each kind's hits and the pieces between them; positions are running sums of lengths."""
     kinds = []
@@ -124,4 +142,61 @@ parts AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM parts
 """
 
-SQL: dict[str, str] = {"op4_near_vectors": NEAR_VECTORS_SQL, "op6_secrets": SECRETS_SQL}
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+
+#: Every window of every document, joined with those of the items.
+DECONTAMINATION_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS i, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item_id, w, least({fmindex.WINDOW}, len(w)) AS k FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, k, list_slice(w, p, p + k - 1) AS phrase FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS p FROM b)),
+places AS (SELECT i, k, p, list_slice(w, p, p + k - 1) AS phrase FROM (
+  SELECT i, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM windows))),
+hits AS (SELECT i, p, k, item_id FROM places JOIN windows USING (k, phrase)),
+words AS (SELECT i, count(DISTINCT place) AS n_hit FROM (SELECT i, unnest(range(p, p + k)) AS place FROM (SELECT DISTINCT i, p, k FROM hits)) GROUP BY i),
+items AS (SELECT i, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT i, item_id FROM hits) GROUP BY i)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN words USING (i) LEFT JOIN items USING (i)
+"""
+
+#: Every document scored for every item.
+RANKED_SEARCH_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS i, doc_id, {_WORDS} AS w FROM documents),
+t AS (SELECT count(*) FILTER (len(w) > 0)::BIGINT AS big_n, sum(len(w))::BIGINT AS big_l FROM d),
+m AS (SELECT i, doc_id, 10 + (90 * len(w) * big_n) // big_l AS m FROM d, t WHERE len(w) > 0),
+tf AS (SELECT i, word, count(*) AS tf FROM (SELECT i, unnest(w) AS word FROM d) GROUP BY ALL),
+weights AS (SELECT word, floor(1000 * ln((2.0::DOUBLE * big_n + 2) / (2.0::DOUBLE * df + 1)))::BIGINT AS w FROM (SELECT word, count(*) AS df FROM tf GROUP BY word), t),
+items AS (SELECT DISTINCT k, item_id, word FROM (SELECT k, item_id, unnest(w) AS word FROM (SELECT row_number() OVER () AS k, item_id, {_WORDS} AS w FROM benchmark))),
+scores AS (SELECT k, item_id, doc_id, i, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM items JOIN weights USING (word) JOIN tf USING (word) JOIN m USING (i) GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= {ranking.TOP}
+"""
+
+#: All phrases counted, whatever their number.
+COLLOCATIONS_SQL = rf"""
+WITH pieces AS (SELECT row_number() OVER () AS i, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+grams AS (SELECT lang, k, list_slice(w, p, p + k - 1) AS g FROM (
+  SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM pieces, (SELECT unnest(range(1, {collocations.LONGEST + 1})) AS k))),
+f AS (SELECT lang, k, g, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= {collocations.LEAST}),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+c AS (SELECT lang, k, g, f AS a FROM f WHERE k > 1),
+inner_parts AS (SELECT lang, list_slice(g, p, p + s - 1) AS g, max(a) AS longer FROM (
+  SELECT *, unnest(range(1, k - s + 2)) AS p FROM (SELECT *, unnest(range(2, k)) AS s FROM c WHERE k > 2)) GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN inner_parts USING (lang, g) WHERE longer IS NULL OR 100 * longer < 100 * a),
+cuts AS (SELECT kept.*, cut, x.f AS l, y.f AS r, n, ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept) kept JOIN n USING (lang)
+  JOIN f x ON x.lang = kept.lang AND x.g = list_slice(kept.g, 1, cut) JOIN f y ON y.lang = kept.lang AND y.g = list_slice(kept.g, cut + 1, kept.k)),
+best AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1)
+SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM best) WHERE rank <= {collocations.TOP}
+"""
+
+SQL: dict[str, str] = {
+    "op4_near_vectors": NEAR_VECTORS_SQL,
+    "op6_secrets": SECRETS_SQL,
+    "op11_decontamination": DECONTAMINATION_SQL,
+    "op12_ranked_search": RANKED_SEARCH_SQL,
+    "op13_collocations": COLLOCATIONS_SQL,
+}

@@ -281,7 +281,7 @@ def proposals(docs: DataFrame, sample_least: int, bounds: Bounds) -> DataFrame:
         frequent = filter_.has(hashes(2))
         out = frequent
         for j in range(1, k - 1):
-            out = out & np.concatenate([frequent[j:], np.zeros(j, dtype=bool)])
+            out = out & np.concatenate([frequent[j:], np.zeros(j, dtype=bool)])[: len(out)]
         return out
 
     longer = count_phrases(docs, tuple(range(3, LONGEST + 1)), all_pairs, spark.sparkContext.broadcast(now), bounds).where(

@@ -8,57 +8,122 @@ The statistics are frozen, so each language's exact code length of a document is
 table entries, and the shortest names the language. The score is the probability of that
 language if all were equally likely before.
 
-Learning is bounded by `train_rows` documents per language, by hash order, and the model
-by `MODEL_CELLS` table entries: the rarest contexts are left out, and their work falls to
-their suffixes. Every document is scored over its whole text.
-
-Defined cases: a null text or one without a letter gets `und` with score 0, as does every
-text when there is nothing to learn from; a tie goes to the language first by code point;
-rows with equal ids are scored each by itself; an empty table gives an empty result;
-other columns of the input are never looked at.
+A text that fits no learned language still has a shortest code. `known` tells whether its
+code is about as short, by byte, as that of learned documents of the language found: a
+fifth of the sample is kept out of the trees and gives each language's usual bits a byte.
+
+Learning is bounded by about `train_rows` documents per language, drawn by hash. A tree
+holds what was seen and nothing else, so its size follows from its own sample, whatever
+the number of languages, and no context is left out. Every document is scored over its
+whole text, `SLICE` bytes at a time.
+
+Defined cases: a null text or one without a letter gets `und` with score 0 and isn't
+known, as does every text when there is nothing to learn from; a tie goes to the language
+first by code point; rows with equal ids are scored each by itself; a language of too few
+documents to keep some out takes every text for known; an empty table gives an empty
+result; other columns of the input are never looked at.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import map_arrow, store
+from .common import _ship, map_arrow, store
 
 ORDER = 3
 TRAIN_ROWS = 1000
-MODEL_CELLS = 8_000_000
-#: Grams of a language that are fetched; the most frequent ones.
-MAX_GRAMS = 200_000
+#: One in so many sampled documents measures what is usual instead of being learned from.
+KEPT_OUT = 5
+#: A known text has at most so many times the bits a byte that only one in a hundred of
+#: the language's own documents exceeds, after `FREE_BITS` for names and short texts.
+LOOSE, FREE_BITS = 1.5, 64
 UNDETERMINED = "und"
-SLICE = 1 << 20
+SLICE = 1 << 22
 LETTER = re.compile(r"[^\W\d_]")
 
 
+@dataclass
+class Tree:
+    """Frozen statistics of a language. `dense` are the bits of each byte after each other
+    one; for each longer context length, the bits of what was seen (sorted codes of context
+    and byte) and those of the escape (sorted codes of contexts)."""
+
+    dense: np.ndarray
+    seen: list[tuple[np.ndarray, np.ndarray]]
+    escapes: list[tuple[np.ndarray, np.ndarray]]
+
+    def bits(self, grams: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of four after the others."""
+        out = self.dense[grams & 0xFFFF]
+        for length, own, escape in zip(range(2, ORDER + 1), self.seen, self.escapes, strict=True):
+            part = grams & ((1 << 8 * (length + 1)) - 1)
+            out = out + _found(escape, part >> 8, 0.0)
+            here = _found(own, part, np.nan)
+            out = np.where(np.isnan(here), out, here)
+        return out
+
+
 @dataclass
 class Model:
-    """Frozen statistics: byte to symbol, three symbols to context, (context, symbol) to
-    the code length in bits for each language. Symbol 0 stands before a text's start."""
+    """A tree for each language, and the most bits a byte of a text that fits it."""
 
     languages: list[str]
-    symbols: np.ndarray
-    contexts: np.ndarray
-    bits: np.ndarray
-    width: int
+    trees: list[Tree]
+    limits: np.ndarray = field(default_factory=lambda: np.empty(0))
+
+
+def _found(table: tuple[np.ndarray, np.ndarray], codes: np.ndarray, missing: float) -> np.ndarray:
+    keys, values = table
+    at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
+    return np.where(keys[at] == codes, values[at], missing)
+
 
+def _lowered(text: str) -> bytes:
+    return text.lower().encode("utf-8", "surrogatepass").replace(b"\0", b" ")
 
-def _grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Four-byte windows of all texts, each with three zero bytes before it, and counts."""
-    data = np.frombuffer(b"".join(b"\0\0\0" + (t or "").lower().encode().replace(b"\0", b" ") for t in texts), dtype=np.uint8)
-    data = data.astype(np.uint32)
+
+def _parts(text: str) -> Iterator[bytes]:
+    """A text in slices, each with the three bytes before it; zeros stand before the start."""
+    data = b"\0" * ORDER + _lowered(text)
+    for at in range(0, len(data) - ORDER, SLICE):
+        yield data[at : at + SLICE + ORDER]
+
+
+def _windows(parts: list[bytes]) -> np.ndarray:
+    """The four bytes that end at each byte of the parts, as numbers, but for those before a part."""
+    data = np.frombuffer(b"".join(parts), dtype=np.uint8).astype(np.uint32)
     codes = data[:-3] << 24 | data[1:-2] << 16 | data[2:-1] << 8 | data[3:]
-    return np.unique(codes[codes & 255 > 0], return_counts=True)
+    lens = np.array([len(p) for p in parts])
+    starts = np.cumsum(lens) - lens
+    keep = np.ones(len(codes), dtype=bool)
+    for before in range(1, ORDER + 1):
+        keep[starts[1:] - before] = False
+    return codes[keep]
+
+
+def _blocks(texts: list[str]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Slices of texts, with the numbers of their texts, in blocks of about `SLICE` bytes."""
+    owners, parts, size = [], [], 0
+    for i, text in enumerate(texts):
+        for part in _parts(text):
+            owners.append(i)
+            parts.append(part)
+            size += len(part)
+            if size >= SLICE:
+                yield owners, parts
+                owners, parts, size = [], [], 0
+    if parts:
+        yield owners, parts
 
 
 def count_grams(sample: DataFrame) -> DataFrame:
@@ -68,135 +133,139 @@ def count_grams(sample: DataFrame) -> DataFrame:
         for batch in batches:
             rows: dict[str, list] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows.setdefault(lang, []).append(text)
+                rows.setdefault(lang, []).append(text or "")
             for lang, texts in rows.items():
-                grams, n = _grams(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64))],
-                    names=["lang", "gram", "n"],
-                )
+                for _, parts in _blocks(texts):
+                    grams, n = np.unique(_windows(parts), return_counts=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64))],
+                        names=["lang", "gram", "n"],
+                    )
 
     counted = map_arrow(sample.select("lang", "text"), work, "lang string, gram long, n long")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def build(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, cells: int = MODEL_CELLS) -> Model:
-    """The model of counted grams; `lang` are numbers of `languages`."""
-    part = np.stack([gram >> 24 & 255, gram >> 16 & 255, gram >> 8 & 255, gram & 255])
-    known = np.unique(part[3])
-    symbols = np.full(256, len(known) + 1, dtype=np.int64)
-    symbols[known], symbols[0] = np.arange(1, len(known) + 1), 0
-    width = len(known) + 2
-    c3, c2, c1, s = symbols[part]
-    count = len(languages)
-    room = max(1, cells // (width * count))
-    contexts = np.zeros((width, width, width), dtype=np.int32)
-    tables = []
-
-    def order(codes: np.ndarray, place, parent: np.ndarray | None, most: int) -> None:
-        """One node for each of the commonest codes, its counts taken from their grams."""
-        found, inverse = np.unique(codes, return_inverse=True)
-        weight = np.bincount(inverse, weights=n)
-        keep = np.sort(np.argsort(-weight, kind="stable")[: max(0, most)])
-        node = np.full(len(found), -1)
-        node[keep] = np.arange(len(keep))
-        own = node[inverse] >= 0
-        counts = np.zeros((len(keep), width, count))
-        np.add.at(counts, (node[inverse][own], s[own], lang[own]), n[own])
-        below = np.full((1, width, count), 1 / (width - 1)) if parent is None else parent[place(found[keep])]
-        total, seen = counts.sum(1, keepdims=True), counts > 0
-        kinds = seen.sum(1, keepdims=True)
-        rest = 1 - np.where(seen, below, 0).sum(1, keepdims=True)
-        lower = np.where(rest > 1e-12, below * kinds / np.maximum(total + kinds, 1) / np.maximum(rest, 1e-12), 0)
-        tables.append(np.where(total == 0, below, np.where(seen, counts / np.maximum(total + kinds, 1), np.maximum(lower, 1e-9))))
-        base = sum(len(t) for t in tables[:-1])
-        if parent is not None:
-            fill(found[keep], base + np.arange(len(keep)))
-
-    def fill(codes: np.ndarray, nodes: np.ndarray) -> None:
-        level = len(tables) - 1
-        a, b, c = codes // width**2, codes // width % width, codes % width
-        if level == 1:
-            contexts[:, :, c] = nodes
-        elif level == 2:
-            contexts[:, b, c] = nodes
+def grow(gram: np.ndarray, n: np.ndarray) -> Tree:
+    """The tree of counted four-byte windows."""
+    below = np.full(256, 1 / 255)  # of a byte after no context
+    seen, escapes, last = [], [], None
+    dense = np.empty(0)
+    for length in range(ORDER + 1):
+        codes, inverse = np.unique(gram & ((1 << 8 * (length + 1)) - 1), return_inverse=True)
+        counts = np.bincount(inverse, weights=n)
+        contexts, at = np.unique(codes >> 8, return_inverse=True)
+        total, kinds = np.bincount(at, weights=counts), np.bincount(at)
+        shorter = below[codes & 255] if last is None else last[1][np.searchsorted(last[0], codes & ((1 << 8 * length) - 1))]
+        rest = 1 - np.bincount(at, weights=shorter)
+        own = counts / (total + kinds)[at]
+        escape = kinds / (total + kinds) / np.maximum(rest, 1e-6)
+        if length == 0:
+            table = below * escape[0]
+            table[codes] = own
+        elif length == 1:
+            spread = np.ones(256)
+            spread[contexts] = escape
+            dense = (spread[:, None] * table[None, :]).reshape(-1)
+            dense[codes] = own
         else:
-            contexts[a, b, c] = nodes
-
-    def suffix(drop: int):
-        return lambda codes: contexts[0, codes // width % width if drop > 1 else 0, codes % width]
-
-    order(np.zeros_like(c1), None, None, 1)
-    for level, codes in ((1, c1), (2, c2 * width + c1), (3, c3 * width**2 + c2 * width + c1)):
-        made = np.concatenate(tables)
-        order(codes, suffix(level - 1) if level > 1 else (lambda codes: np.zeros(len(codes), dtype=int)), made, room - len(made))
-    bits = -np.log2(np.concatenate(tables)).astype(np.float32)
-    bits[:, 0, :] = 0
-    return Model(languages, symbols.astype(np.int64), contexts.reshape(-1), bits.reshape(-1, count), width)
+            seen.append((codes.astype(np.uint32), -np.log2(own).astype(np.float32)))
+            escapes.append((contexts.astype(np.uint32), -np.log2(escape).astype(np.float32)))
+        last = codes, own
+    return Tree(-np.log2(np.maximum(dense, 1e-12)).astype(np.float32), seen, escapes)
 
 
 def code_lengths(model: Model, texts: list[str]) -> np.ndarray:
     """Bits of every text under every language."""
-    data = np.frombuffer(b"".join(b"\0\0\0" + t.lower().encode().replace(b"\0", b" ") for t in texts), dtype=np.uint8)
-    ends = np.cumsum([len(t.lower().encode()) + ORDER for t in texts])
-    out = np.zeros((len(texts), len(model.languages)))
-    for at in range(0, len(data), SLICE):
-        sym = model.symbols[data[max(0, at - ORDER) : at + SLICE]]
-        if at < ORDER:
-            sym = np.concatenate([np.zeros(ORDER - at, dtype=sym.dtype), sym])
-        w = model.width
-        node = model.contexts[(sym[:-3] * w + sym[1:-2]) * w + sym[2:-1]]
-        bits = model.bits[node * w + sym[3:]]
-        # the texts that begin before the slice ends, and where
-        first, last = np.searchsorted(ends, [at, at + len(bits) - 1], side="right")
-        starts = np.concatenate([[0], ends[first:last] - at])
-        out[first : last + 1] += np.add.reduceat(bits, starts, axis=0, dtype=np.float64)
+    out = np.zeros((len(texts), len(model.trees)))
+    for owners, parts in _blocks(texts):
+        kinds, which = np.unique(_windows(parts), return_inverse=True)
+        lens = np.array([len(p) - ORDER for p in parts])
+        starts, kinds = np.cumsum(lens) - lens, kinds.astype(np.uint32)
+        for number, tree in enumerate(model.trees):
+            np.add.at(out[:, number], owners, np.add.reduceat(tree.bits(kinds)[which], starts, dtype=np.float64))
     return out
 
 
 def train(docs: DataFrame, eligible: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id",
-          train_rows: int = TRAIN_ROWS, cells: int = MODEL_CELLS) -> Model | None:
-    """Learn from the first `train_rows` eligible documents of each language by hash order."""
-    first = Window.partitionBy("lang").orderBy("h", "id")
+          train_rows: int = TRAIN_ROWS) -> Model | None:
+    """Learn from about `train_rows` eligible documents of each language, by hash."""
     named = docs.where(eligible).select(
-        F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(doc_id).alias("id"),
-        F.xxhash64(F.lit("langid"), F.col(doc_id)).alias("h"),
-    ).where("lang is not null and text is not null")
-    chosen = named.select("lang", "id", "h").withColumn("r", F.row_number().over(first)).where(F.col("r") <= train_rows)
-    sample = named.join(chosen.select("id", "lang").distinct(), ["id", "lang"], "left_semi")
-    most = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    grams = count_grams(sample).withColumn("r", F.row_number().over(most)).where(F.col("r") <= MAX_GRAMS).drop("r")
-    counted = grams.orderBy("lang", "gram").toPandas()  # bounded: languages x MAX_GRAMS
-    if counted.empty:
+        F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.lit("langid"), F.col(f"`{doc_id}`")).alias("h"),
+    ).where("lang is not null")
+    share = named.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(train_rows)) / F.count("*")).alias("share"))
+    drawn = named.where("text is not null").join(F.broadcast(share), "lang").where(  # a row for each language, as in the model
+        F.pmod("h", F.lit(1_000_003)) < F.col("share") * 1_000_003
+    )
+    sample = store(drawn.select("lang", "text", (F.pmod(F.xxhash64("h"), F.lit(KEPT_OUT)) == 0).alias("out")), "sample")
+    counted = count_grams(sample.where("not out"))
+    _ship(docs.sparkSession)
+    grown = counted.groupBy("lang").applyInPandas(_grow_rows, "lang string, tree binary")
+    trees = {r["lang"]: pickle.loads(r["tree"]) for r in grown.toLocalIterator()}  # as large as the sample allows
+    if not trees:
         return None
-    languages = sorted(counted["lang"].unique())
-    number = counted["lang"].map({name: i for i, name in enumerate(languages)}).to_numpy()
-    return build(languages, number, counted["gram"].to_numpy(), counted["n"].to_numpy(dtype=float), cells)
+    languages = sorted(trees)
+    model = Model(languages, [trees[x] for x in languages], np.full(len(languages), np.inf))
+    usual = _bits_a_byte(sample.where("out"), model).groupBy("lang").agg(F.percentile_approx("rate", 0.99).alias("rate"), F.count("*").alias("n"))
+    for r in usual.where("n >= 20").toLocalIterator():
+        model.limits[languages.index(r["lang"])] = LOOSE * r["rate"]
+    return model
+
+
+def _grow_rows(rows: pd.DataFrame) -> pd.DataFrame:
+    tree = grow(rows["gram"].to_numpy(), rows["n"].to_numpy(dtype=float))
+    return pd.DataFrame({"lang": rows["lang"].iloc[:1], "tree": [pickle.dumps(tree)]})
+
+
+def _bits_a_byte(sample: DataFrame, model: Model) -> DataFrame:
+    """(lang, rate) of labelled documents under their own language, less the free bits."""
+    shared = sample.sparkSession.sparkContext.broadcast(model)  # of bounded size
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        number = {x: i for i, x in enumerate(model.languages)}
+        for batch in batches:
+            own = [(x, t) for x, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if x in number and LETTER.search(t)]
+            bits = code_lengths(model, [t for _, t in own])
+            rates = [_rate(bits[i, number[x]], t) for i, (x, t) in enumerate(own)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in own], pa.string()), pa.array(rates, pa.float64())], names=["lang", "rate"])
+
+    return map_arrow(sample.select("lang", "text"), work, "lang string, rate double")
+
+
+def _rate(bits: float, text: str) -> float:
+    return max(0.0, bits - FREE_BITS) / len(text.encode("utf-8", "surrogatepass"))
 
 
-def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """Every row as the struct `row` with lang_pred and score."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # bounded by MODEL_CELLS
+def predict(docs: DataFrame, model: Model | None, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """Every row as the struct `row` of the columns `carry` (all, if not given) with
+    lang_pred, score and known."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of bounded size
+    carry = docs.columns if carry is None else carry
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+            rows = batch.column(0)
+            texts = (rows.field(carry.index(text)) if text in carry else batch.column(1)).to_pylist()
+            names, scores, known = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), dtype=bool)
             own = [i for i, t in enumerate(texts) if model and t and LETTER.search(t)]
             if own:
                 bits = code_lengths(model, [texts[i] for i in own])
-                best = bits.argmin(1)
-                odds = np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1)
-                for i, b, o in zip(own, best, odds, strict=True):
-                    names[i], scores[i] = model.languages[b], 1 / o
+                best, least = bits.argmin(1), bits.min(1)
+                odds = np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
+                for at, (i, b) in enumerate(zip(own, best, strict=True)):
+                    names[i], scores[i] = model.languages[b], 1 / odds[at]
+                    known[i] = _rate(least[at], texts[i]) <= model.limits[b]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names, pa.string()), pa.array(scores)], names=["row", "lang_pred", "score"]
+                [rows, pa.array(names, pa.string()), pa.array(scores), pa.array(known)], names=["row", "lang_pred", "score", "known"]
             )
 
-    keep = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
-    return map_arrow(keep, work, f"row {keep.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+    keep = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), *([] if text in carry else [F.col(f"`{text}`").alias("text")]))
+    found = T.StructType([
+        keep.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("known", T.BooleanType()),
+    ])
+    return map_arrow(keep, work, found)
 
 
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", eligible: Column | None = None) -> DataFrame:

@@ -46,7 +46,7 @@ def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
     held_out = crc32_of_id(F.col("doc_id")) % 4 == 2
     model = langid.train(docs, ~held_out)
-    predicted = langid.predict(docs.select("doc_id", "text"), model)
+    predicted = langid.predict(docs, model, carry=["doc_id"])
     ids = predicted.select(F.col("row.doc_id").alias("doc_id"), "lang_pred", "score")
     return ids.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 

@@ -209,19 +209,17 @@ def test_secrets(docs, rows, spark):
 def test_code_lengths():
     """Table entries against the recursive definition of the prediction."""
     texts = ["abracadabra abrakadabra", "barbara", "cab"]
-    grams, n = langid._grams(texts)
-    model = langid.build(["l"], np.zeros(len(grams), dtype=int), grams, n.astype(float))
+    grams, n = np.unique(langid._windows([part for t in texts for part in langid._parts(t)]), return_counts=True)
+    model = langid.Model(["l"], [langid.grow(grams.astype(np.int64), n.astype(float))])
     counts = [Counter() for _ in range(4)]
     for t in texts:
         data = b"\0\0\0" + t.encode()
         for i in range(3, len(data)):
             for order in range(4):
                 counts[order][data[i - order : i + 1]] += 1
-    alphabet = {b for t in texts for b in t.encode()}
-
     def probability(context, byte):
         if context is None:
-            return 1 / (len(alphabet) + 1)
+            return 1 / 255
         below = context[1:] if context else None
         here = {k[-1]: c for k, c in counts[len(context)].items() if k[:-1] == context}
         if not here:
@@ -254,6 +252,35 @@ def test_language(docs, rows):
     assert np.mean([r["lang_pred"] == ("de" if r["doc_id"] % 3 == 0 else "en") for r in clear]) == 1
 
 
+def test_texts_of_no_learned_language_are_not_known(spark, tmp_path):
+    """Gibberish and an unlearned language go; clean documents, however short, stay."""
+    rng = np.random.default_rng(41)
+    clean = [(i, sentence(rng, int(rng.integers(1, 80)), FOREIGN if i % 2 else WORDS), "de" if i % 2 else "en") for i in range(600)]
+    base64 = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 600))
+    russian = "мама мыла раму и смотрела в окно на большой зелёный сад за рекой " * 4
+    odd = [(1000, base64, None), (1001, russian, None), (1002, base64[:200] + " " + base64[200:400], None), (1003, "zqxj vwkq " * 30, None)]
+    docs = spark.createDataFrame(clean + odd, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in langid.identify(docs, eligible=F.col("doc_id") % 3 != 0).select("row.doc_id", "known", "lang_pred").collect()}
+    assert all(got[i]["known"] for i in range(600)) and not any(got[i]["known"] for i in (1000, 1001, 1002, 1003))
+    assert all(got[i]["lang_pred"] in ("de", "en") for i in got)
+    kept = {r["doc_id"] for r in corpus_pipeline.language_stage(spark, docs, str(tmp_path)).collect()}
+    assert kept == set(range(600))
+
+
+def test_many_languages_keep_their_depth():
+    """The tree of a language is the same, whatever the number of others."""
+    rng = np.random.default_rng(42)
+    trees = []
+    for _ in range(50):
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzäöüéñ"), 4)) for _ in range(300)]
+        grams, n = np.unique(langid._windows([p for _ in range(20) for p in langid._parts(" ".join(rng.choice(words, 200)))]), return_counts=True)
+        trees.append((words, grams, langid.grow(grams.astype(np.int64), n.astype(float))))
+    assert all(len(t.seen[1][0]) == len(g) for _, g, t in trees)
+    model = langid.Model([str(i) for i in range(50)], [t for _, _, t in trees])
+    texts = [" ".join(rng.choice(w, 12)) for w, _, _ in trees]
+    assert (langid.code_lengths(model, texts).argmin(1) == np.arange(50)).all()
+
+
 def test_quality(spark, docs):
     rng = np.random.default_rng(4)
     made = [(i, sentence(rng, 50) if i % 2 else sentence(rng, 50).upper().replace(" ", "!! ")) for i in range(300)] + [(300, None), (301, "")]
@@ -555,6 +582,7 @@ def test_empty_tables(spark, none, tmp_path):
     none.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     for query in queries.QUERIES.values():
         assert query(spark, str(tmp_path)).count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
@@ -578,4 +606,4 @@ def test_registered_names():
     import __spark_entry__ as entry
 
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()

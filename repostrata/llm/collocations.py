@@ -1,6 +1,6 @@
 """Phrase collocations by Toivonen's mining.
 
-A sample of the documents proposes the phrases that may be frequent (at a lowered bound).
+A sample of the text, sentence by sentence, proposes the phrases that may be frequent (at a lowered bound).
 The full pass counts exactly those and their negative border: the phrases that aren't
 proposed although both phrases one word shorter inside them are. Where one of the border
 proves frequent, the proposal was too small; it is taken in, and a further pass counts the
@@ -42,10 +42,14 @@ from .words import SLICE, Numbers, cut_at, texts_of
 LONGEST = 5
 LEAST = 100
 TOP = 2000
-#: One in so many documents is in the sample, and what a phrase needs there.
-SAMPLED, SAMPLE_LEAST = 8, 4
+#: One in so many sentences is in the sample, and what a phrase needs there.
+SAMPLED, SAMPLE_LEAST = 8, 3
+#: Up to so many new phrases are looked for in a text before its words are numbered.
+PROBES = 100_000
 FILTER_BITS = 26
-BATCH_WORDS = 2_000_000
+BATCH_WORDS = 1_000_000
+#: Rows that leave a task at a time.
+ROWS = 1 << 16
 NO_LANGUAGE = "und"
 
 #: Marks between pieces become line feeds, tabs blanks, A-Z small.
@@ -87,15 +91,7 @@ def tokens_of(part: bytes, numbers: Tokens) -> np.ndarray:
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A hash of a phrase from that of all but its last word and that of the last."""
     with np.errstate(over="ignore"):
-        x = (a ^ (b + np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
-        return x ^ (x >> np.uint64(29))
-
-
-def _slots(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two places in a filter of `size` (a power of two) bits."""
-    shift = np.uint64(65 - size.bit_length())
-    with np.errstate(over="ignore"):
-        return (h * np.uint64(0x94D049BB133111EB)) >> shift, (h * np.uint64(0xD6E8FEB86659FD93)) >> shift
+        return (a ^ b) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
@@ -107,45 +103,47 @@ def _start(lang: str) -> np.uint64:
 
 
 class Filter:
-    """Proposed phrases as bits; phrases that are taken in only add bits."""
+    """Phrases as bits; phrases that are taken in only add bits."""
 
     def __init__(self, bits: np.ndarray):
         self.bits = bits
+        self.shift = np.uint64(65 - (64 * len(bits)).bit_length())
 
     @staticmethod
     def none(filter_bits: int = FILTER_BITS) -> Filter:
         return Filter(np.zeros(1 << (filter_bits - 6), dtype=np.int64))
 
     def has(self, h: np.ndarray) -> np.ndarray:
-        words = self.bits.view(np.uint64)
-        out = np.ones(len(h), dtype=bool)
-        for slot in _slots(h, 64 * len(words)):
-            out &= (words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
-        return out
+        slot = h >> self.shift
+        return (self.bits.view(np.uint64)[(slot >> np.uint64(6)).view(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).view(np.int64) > 0
 
     def plus(self, phrases: DataFrame) -> Filter:
         """With the phrases (lang, phrase) added. The bits are united by Spark; the driver
         gets at most as many numbers as the filter has."""
-        size = 64 * len(self.bits)
+        shift = self.shift
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                places = []
-                for lang, phrase in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-                    h = np.array([_start(lang)])
-                    for word in _word_hashes(phrase.split(b" ")):
-                        h = _mixed(h, word)
-                    places += [int(s[0]) for s in _slots(h, size)]
-                slots = np.array(places, dtype=np.uint64)
-                bits = np.uint64(1) << (slots & np.uint64(63))
+                langs = batch.column(0).dictionary_encode()
+                starts = np.array([_start(x) for x in langs.dictionary.to_pylist()], dtype=np.uint64)
+                h = starts[langs.indices.to_numpy()]
+                words = pc.split_pattern(batch.column(1).cast(pa.binary()), " ")
+                sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+                coded = words.flatten().dictionary_encode()
+                own = _word_hashes(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+                first = np.cumsum(sizes) - sizes
+                for j in range(LONGEST):
+                    at = np.flatnonzero(sizes > j)
+                    h[at] = _mixed(h[at], own[first[at] + j])
+                slot = h >> shift
+                bits = np.uint64(1) << (slot & np.uint64(63))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((slots >> np.uint64(6)).astype(np.int64)), pa.array(bits.view(np.int64))], names=["slot", "bits"]
+                    [pa.array((slot >> np.uint64(6)).view(np.int64)), pa.array(bits.view(np.int64))], names=["slot", "bits"]
                 )
 
         placed = map_arrow(phrases.select("lang", "phrase"), work, "slot long, bits long")
-        united = placed.groupBy("slot").agg(F.bit_or("bits").alias("bits"))
         out = self.bits.copy()
-        for row in united.toLocalIterator():
+        for row in placed.groupBy("slot").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
             out[row["slot"]] |= row["bits"]
         return Filter(out)
 
@@ -201,11 +199,13 @@ def _count(tokens: np.ndarray, upto: int, lang: str, numbers: Tokens, levels: tu
         yield k, pc.binary_join_element_wise(*taken, pa.scalar(b" ", pa.binary())) if k > 1 else taken[0], counts
 
 
-def count_phrases(docs: DataFrame, levels: tuple[int, ...], chosen, shared, bounds: Bounds) -> DataFrame:
+def count_phrases(docs: DataFrame, levels: tuple[int, ...], chosen, shared, bounds: Bounds,
+                  probes: dict[str, set[tuple[bytes, ...]]] | None = None) -> DataFrame:
     """Exact counts (lang, k, phrase, f) of the chosen phrases of (lang, text).
 
     `shared` is a broadcast that `chosen(value, hashes, k)` gets. A row with k = 0 holds
-    the words of a language.
+    the words of a language. Where `probes` are given, one- and two-word beginnings by language, texts that hold
+    none of them have no chosen phrase.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,9 +225,9 @@ def count_phrases(docs: DataFrame, levels: tuple[int, ...], chosen, shared, boun
                     upto = max(0, upto - LONGEST + 1)
                     carried = tokens[upto:]
                 begun = int((tokens[:upto] > 0).sum())
-                yield _rows(lang, 0, pa.array([b""], pa.binary()), np.array([begun]))
+                yield from _rows(lang, 0, pa.array([b""], pa.binary()), np.array([begun]))
                 for k, phrases, counts in _count(tokens, upto, lang, numbers, levels, lambda h, k: chosen(value, h, k)):
-                    yield _rows(lang, k, phrases, counts)
+                    yield from _rows(lang, k, phrases, counts)
             names = numbers.words()
             held.clear()
             numbers, words = Tokens(), 0
@@ -237,7 +237,10 @@ def count_phrases(docs: DataFrame, levels: tuple[int, ...], chosen, shared, boun
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-                for part in cut_at(text.translate(_TABLE), b"\n ", bounds.slice_bytes):
+                text = text.translate(_TABLE)
+                if probes is not None and not _holds(text, probes.get(lang)):
+                    continue
+                for part in cut_at(text, b"\n ", bounds.slice_bytes):
                     tokens = tokens_of(part, numbers)
                     held.setdefault(lang, []).append(tokens)
                     words += len(tokens)
@@ -250,14 +253,16 @@ def count_phrases(docs: DataFrame, levels: tuple[int, ...], chosen, shared, boun
     return map_arrow(own, work, COUNTS).groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
 
 
-def _rows(lang: str, k: int, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([lang] * len(phrases), pa.string()), pa.array(np.full(len(phrases), k, dtype=np.int32)),
-            phrases.cast(pa.string()), pa.array(counts.astype(np.int64)),
-        ],
-        names=["lang", "k", "phrase", "f"],
-    )
+def _rows(lang: str, k: int, phrases: pa.Array, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(phrases), ROWS):
+        part, f = phrases.slice(at, ROWS), counts[at : at + ROWS]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([lang] * len(f), pa.string()), pa.array(np.full(len(f), k, dtype=np.int32)),
+                part.cast(pa.string()), pa.array(f.astype(np.int64)),
+            ],
+            names=["lang", "k", "phrase", "f"],
+        )
 
 
 def _both(filter_: Filter, hashes, k: int) -> np.ndarray:
@@ -267,6 +272,17 @@ def _both(filter_: Filter, hashes, k: int) -> np.ndarray:
     return proposed & np.append(proposed[1:], False)
 
 
+def _fresh(filters: tuple[Filter, Filter], hashes, k: int) -> np.ndarray:
+    """Of those, the ones in which one of the two is new."""
+    now, new = filters
+    h = hashes(k - 1)
+    one = new.has(h)
+    at = np.flatnonzero((one | np.append(one[1:], False))[:-1])
+    out = np.zeros(len(h), dtype=bool)
+    out[at] = now.has(h[at]) & now.has(h[at + 1])
+    return out
+
+
 def proposals(docs: DataFrame, sample_least: int, bounds: Bounds) -> DataFrame:
     """Phrases (lang, k, phrase) frequent in a sample of (lang, text), level by level."""
     spark = docs.sparkSession
@@ -290,14 +306,37 @@ def proposals(docs: DataFrame, sample_least: int, bounds: Bounds) -> DataFrame:
     return store(words.unionByName(pairs).unionByName(longer), "proposed")
 
 
+def _probes(phrases: DataFrame) -> dict[str, set[tuple[bytes, ...]]] | None:
+    """The first two words of each of some phrases, by language; none if they are too many."""
+    few = phrases.select("lang", "phrase").limit(PROBES + 1).collect()
+    if len(few) > PROBES:
+        return None
+    found: dict[str, set[tuple[bytes, ...]]] = {}
+    for row in few:
+        found.setdefault(row["lang"], set()).add(tuple(row["phrase"].encode().split(b" ")[:2]))
+    return found
+
+
+def _holds(text: bytes, probes: set[tuple[bytes, ...]] | None) -> bool:
+    """Whether words or pairs of a text are among the probes."""
+    if not probes:
+        return False
+    words = text.split()
+    return not (probes.isdisjoint(zip(words, words[1:])) and probes.isdisjoint(zip(words)))
+
+
 def frequent_phrases(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least: int = LEAST,
                      sampled: int = SAMPLED, sample_least: int = SAMPLE_LEAST, bounds: Bounds = Bounds()) -> DataFrame:
     """(lang, k, phrase, f) of all phrases of 1 to 5 words with f >= least, and per language
     the number of all its words as the row with k = 0."""
     spark = docs.sparkSession
     own = docs.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
-    drawn = F.pmod(F.xxhash64(F.lit("collocations"), F.col(f"`{doc_id}`")), F.lit(sampled)) == 0
-    sample = store(docs.where(drawn).select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")), "sample")
+    # a text's sentences are drawn one by one, so that phrases that keep to few texts are met too
+    drawn = F.filter(
+        F.split(F.col(f"`{text}`"), r"[.\n]"),
+        lambda _, i: F.pmod(F.xxhash64(F.lit("collocations"), F.col(f"`{doc_id}`"), i), F.lit(sampled)) == 0,
+    )
+    sample = store(docs.select(F.col(f"`{lang}`").alias("lang"), F.array_join(drawn, "\n").alias("text")).where("text <> ''"), "sample")
     proposed = proposals(sample, sample_least, bounds)
     now = Filter.none(bounds.filter_bits).plus(proposed)
     full = count_phrases(own, tuple(range(1, LONGEST + 1)), _both, spark.sparkContext.broadcast(now), bounds)
@@ -305,13 +344,10 @@ def frequent_phrases(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     # failures of the border that can lie in a longer phrase
     missed = store(found.where(F.col("k").between(1, LONGEST - 1)).join(proposed, ["lang", "k", "phrase"], "left_anti"), "missed")
     while not missed.isEmpty():
-        before, now = now, now.plus(missed)
-
-        def fresh(filters: tuple[Filter, Filter], hashes, k: int) -> np.ndarray:
-            return _both(filters[1], hashes, k) & ~_both(filters[0], hashes, k)
-
-        more = count_phrases(own, tuple(range(2, LONGEST + 1)), fresh, spark.sparkContext.broadcast((before, now)), bounds)
-        more = store(more.where((F.col("k") > 0) & (F.col("f") >= least)), "frequent")
+        now, new = now.plus(missed), Filter.none(bounds.filter_bits).plus(missed)
+        more = count_phrases(own, tuple(range(2, LONGEST + 1)), _fresh, spark.sparkContext.broadcast((now, new)), bounds, _probes(missed))
+        more = more.where((F.col("k") > 0) & (F.col("f") >= least)).join(found.select("lang", "k", "phrase"), ["lang", "k", "phrase"], "left_anti")
+        more = store(more.select("lang", "k", "phrase", "f"), "frequent")
         found = found.unionByName(more)
         missed = more.where(F.col("k") < LONGEST)
     return found

@@ -46,7 +46,7 @@ TRAIN_ROWS = 1000
 KEPT_OUT = 5
 #: A known text has at most so many times the bits a byte that only one in a hundred of
 #: the language's own documents exceeds, after `FREE_BITS` for names and short texts.
-LOOSE, FREE_BITS = 1.5, 64
+LOOSE, FREE_BITS = 1.75, 400
 UNDETERMINED = "und"
 SLICE = 1 << 22
 LETTER = re.compile(r"[^\W\d_]")

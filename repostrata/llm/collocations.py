@@ -148,8 +148,22 @@ class Filter:
         return Filter(out)
 
 
+class _Hashes:
+    """Hashes of the phrases of so many words from each place on."""
+
+    def __init__(self, padded: np.ndarray, own: np.ndarray, start: np.uint64):
+        self.padded, self.own = padded, own
+        self.known = [np.full(len(padded) - LONGEST, start)]
+
+    def __call__(self, j: int) -> np.ndarray:
+        while len(self.known) <= j:
+            at = len(self.known) - 1
+            self.known.append(_mixed(self.known[-1], self.own[self.padded[at : at + len(self.known[0])]]))
+        return self.known[j]
+
+
 def _count(tokens: np.ndarray, upto: int, lang: str, numbers: Tokens, levels: tuple[int, ...],
-           chosen: Callable[[Callable[[int], np.ndarray], int], np.ndarray]) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+           chosen: Callable[[_Hashes, int], np.ndarray]) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
     """(k, phrases, counts) of the phrases that begin before `upto`, as far as chosen.
 
     `chosen(hashes, k)` tells for each place whether its phrase of k words is to be counted;
@@ -163,13 +177,7 @@ def _count(tokens: np.ndarray, upto: int, lang: str, numbers: Tokens, levels: tu
     inside = [np.ones(n, dtype=bool)]  # whether so many words from here on lie in one piece
     for j in range(LONGEST):
         inside.append(inside[-1] & (padded[j : j + n] > 0))
-    known: dict[int, np.ndarray] = {0: np.full(n, _start(lang))}
-
-    def hashes(j: int) -> np.ndarray:
-        if j not in known:
-            known[j] = _mixed(hashes(j - 1), own[padded[j - 1 : j - 1 + n]])
-        return known[j]
-
+    hashes = _Hashes(padded, own, _start(lang))
     for k in levels:
         mask = inside[k].copy()
         mask[upto:] = False

@@ -26,6 +26,7 @@ bytes; an empty table gives an empty result; other columns are never looked at.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -47,7 +48,7 @@ SAMPLED, SAMPLE_LEAST = 8, 3
 #: Up to so many new phrases are looked for in a text before its words are numbered.
 PROBES = 100_000
 FILTER_BITS = 26
-BATCH_WORDS = 1_000_000
+BATCH_WORDS = 1_500_000
 #: Rows that leave a task at a time.
 ROWS = 1 << 16
 NO_LANGUAGE = "und"
@@ -85,7 +86,7 @@ class Tokens(Numbers):
 def tokens_of(part: bytes, numbers: Tokens) -> np.ndarray:
     """Word numbers of a part of a text, 0 where a piece ends."""
     codes = numbers.of(part.replace(b"\n", b" \n ").split(b" "))
-    return codes[codes >= 0]
+    return codes[codes >= 0].astype(np.int32)
 
 
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -149,17 +150,19 @@ class Filter:
 
 
 class _Hashes:
-    """Hashes of the phrases of so many words from each place on."""
+    """Hashes of the phrases of so many words from each place on; only the last ones are kept."""
 
     def __init__(self, padded: np.ndarray, own: np.ndarray, start: np.uint64):
-        self.padded, self.own = padded, own
-        self.known = [np.full(len(padded) - LONGEST, start)]
+        self.padded, self.own, self.start = padded, own, start
+        self.size, self.now = 0, np.full(len(padded) - LONGEST, start)
 
     def __call__(self, j: int) -> np.ndarray:
-        while len(self.known) <= j:
-            at = len(self.known) - 1
-            self.known.append(_mixed(self.known[-1], self.own[self.padded[at : at + len(self.known[0])]]))
-        return self.known[j]
+        if j < self.size:
+            self.size, self.now = 0, np.full(len(self.now), self.start)
+        while self.size < j:
+            self.now = _mixed(self.now, self.own[self.padded[self.size : self.size + len(self.now)]])
+            self.size += 1
+        return self.now
 
 
 def _count(tokens: np.ndarray, upto: int, lang: str, numbers: Tokens, levels: tuple[int, ...],
@@ -172,7 +175,7 @@ def _count(tokens: np.ndarray, upto: int, lang: str, numbers: Tokens, levels: tu
     words = numbers.words()
     names, kinds = pa.array(words, pa.binary()), np.int64(len(words))
     own = _word_hashes(words)
-    padded = np.concatenate([tokens, np.zeros(LONGEST, dtype=np.int64)])
+    padded = np.concatenate([tokens, np.zeros(LONGEST, dtype=np.int32)])
     n = len(tokens)
     inside = [np.ones(n, dtype=bool)]  # whether so many words from here on lie in one piece
     for j in range(LONGEST):
@@ -186,7 +189,7 @@ def _count(tokens: np.ndarray, upto: int, lang: str, numbers: Tokens, levels: tu
         at = np.flatnonzero(mask)
         if not len(at):
             continue
-        code, packed, room = padded[at], 1, kinds
+        code, packed, room = padded[at].astype(np.int64), 1, kinds
         for j in range(1, k):
             if int(room) * int(kinds) >= 1 << 62:
                 _, code = np.unique(code, return_inverse=True)
@@ -218,44 +221,40 @@ def count_phrases(docs: DataFrame, levels: tuple[int, ...], chosen, shared, boun
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = shared.value if shared is not None else None
-        numbers, held = Tokens(), {}
-        words = 0
-        end = np.zeros(1, dtype=np.int64)
-
-        def flush(open_lang: str | None) -> Iterator[pa.RecordBatch]:
-            """Counts and forgets all, but for the last words of a text that goes on."""
-            nonlocal numbers, words
-            carried = None
-            for lang in sorted(held):
-                tokens = np.concatenate(held[lang])
-                upto = len(tokens)
-                if lang == open_lang:
-                    upto = max(0, upto - LONGEST + 1)
-                    carried = tokens[upto:]
-                begun = int((tokens[:upto] > 0).sum())
-                yield from _rows(lang, 0, pa.array([b""], pa.binary()), np.array([begun]))
-                for k, phrases, counts in _count(tokens, upto, lang, numbers, levels, lambda h, k: chosen(value, h, k)):
-                    yield from _rows(lang, k, phrases, counts)
-            names = numbers.words()
-            held.clear()
-            numbers, words = Tokens(), 0
-            if carried is not None:
-                again = [names[t] if t else b"\n" for t in carried.tolist()]
-                held[open_lang] = [numbers.of(again)]
+        numbers: dict[str, Tokens] = defaultdict(Tokens)
+        held: dict[str, list[np.ndarray]] = defaultdict(list)
+        words: dict[str, int] = defaultdict(int)
+        end = np.zeros(1, dtype=np.int32)
+
+        def flush(lang: str, open_: bool) -> Iterator[pa.RecordBatch]:
+            """Counts and forgets a language, but for the last words of a text that goes on."""
+            tokens, own = np.concatenate(held.pop(lang)), numbers.pop(lang, None) or Tokens()
+            words.pop(lang, None)
+            upto = max(0, len(tokens) - LONGEST + 1) if open_ else len(tokens)
+            begun = int((tokens[:upto] > 0).sum())
+            yield from _rows(lang, 0, pa.array([b""], pa.binary()), np.array([begun]))
+            for k, phrases, counts in _count(tokens, upto, lang, own, levels, lambda h, k: chosen(value, h, k)):
+                yield from _rows(lang, k, phrases, counts)
+            if open_:
+                names = own.words()
+                held[lang].append(numbers[lang].of([names[t] if t else b"\n" for t in tokens[upto:].tolist()]).astype(np.int32))
 
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-                text = text.translate(_TABLE)
+            column = batch.column(1).cast(pa.binary())
+            for i, lang in enumerate(batch.column(0).to_pylist()):
+                text = column[i].as_py().translate(_TABLE)
                 if probes is not None and not _holds(text, probes.get(lang)):
                     continue
                 for part in cut_at(text, b"\n ", bounds.slice_bytes):
-                    tokens = tokens_of(part, numbers)
-                    held.setdefault(lang, []).append(tokens)
-                    words += len(tokens)
-                    if words >= bounds.batch_words:
-                        yield from flush(lang)
-                held.setdefault(lang, []).append(end)
-        yield from flush(None)
+                    tokens = tokens_of(part, numbers[lang])
+                    held[lang].append(tokens)
+                    words[lang] += len(tokens)
+                    if sum(words.values()) >= bounds.batch_words:
+                        most = max(words, key=words.get)
+                        yield from flush(most, most == lang)
+                held[lang].append(end)
+        for lang in sorted(held):
+            yield from flush(lang, False)
 
     own = docs.select(F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     return map_arrow(own, work, COUNTS).groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))

@@ -67,7 +67,8 @@ def score_diff(scan_scores: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def risk_diff(scan_risks: DataFrame, pairs: DataFrame) -> DataFrame:
     """Risk types only in b are new, only in a resolved; the last row gives the title."""
-    last = scan_risks.groupBy("scan_id", "risk_type").agg(
+    compared = pairs.select(F.explode(F.array("scan_a", "scan_b")).alias("scan_id")).distinct()
+    last = scan_risks.join(compared, "scan_id", "left_semi").groupBy("scan_id", "risk_type").agg(
         F.max(F.struct("id", "title", "severity")).alias("_r")
     ).select("scan_id", "risk_type", "_r.title", "_r.severity")
     m = _matched(last, pairs, "risk_type", ["title", "severity"])

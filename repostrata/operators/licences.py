@@ -26,6 +26,7 @@ from ..functions.licensing import (
 )
 from ..session import cut
 from . import manifests as m
+from .lookup import lookup
 
 KEY = ["repo_id", "name", "ecosystem"]
 GEM_LOCK_NOTE = "License not recorded in Gemfile.lock; requires API enrichment"
@@ -308,11 +309,12 @@ def registry_license() -> Column:
     ).cast(LICENSE_INFO)
 
 
-def registry_fallback(deps: DataFrame, registry: DataFrame) -> DataFrame:
+def registry_fallback(deps: DataFrame, registry: DataFrame, parts: int | None = None) -> DataFrame:
     """Unknown licences are looked up in a table of registry answers.
 
     Applies to public packages of the five registry ecosystems; Maven packages
-    need a version and a group. `is_direct` of the dependency is kept.
+    need a version and a group. `is_direct` of the dependency is kept. Packages that
+    many repositories use are dealt over several tasks (`lookup`).
     """
     wanted = (
         (F.col("license_risk") == "unknown")
@@ -323,17 +325,14 @@ def registry_fallback(deps: DataFrame, registry: DataFrame) -> DataFrame:
             | (F.col("name").contains(":") & (F.coalesce(F.col("version"), F.lit("")) != ""))
         )
     )
-    answers = registry.withColumn("license", registry_license())
-    by_version = answers.filter(F.col("ecosystem") == "maven").select(
-        "ecosystem", "name", "version", F.col("license").alias("_maven")
+    # one answer per package; only Maven asks by version
+    by_version = F.when(F.col("ecosystem") == "maven", F.col("version")).otherwise("")
+    answers = registry.withColumn("license", registry_license()).groupBy("ecosystem", "name", by_version.alias("_version")).agg(
+        F.max_by("license", "version").alias("_answer")
     )
-    by_name = answers.filter(F.col("ecosystem") != "maven").groupBy("ecosystem", "name").agg(
-        F.max_by("license", "version").alias("_other")
-    )
-    joined = deps.join(by_version, ["ecosystem", "name", "version"], "left").join(
-        by_name, ["ecosystem", "name"], "left"
-    )
-    answer = F.when(wanted, F.coalesce("_maven", "_other"))
+    asking = cut(deps.withColumn("_version", by_version))
+    joined = lookup(asking, answers, ["ecosystem", "name", "_version"], wanted, parts)
+    answer = F.col("_answer")
     columns = {
         "license_spdx": "spdx", "license_raw": "raw", "license_risk": "risk",
         "license_expression": "expression", "license_confidence": "confidence",

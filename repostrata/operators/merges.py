@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 
 def git_tags_merge(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Tags of the repositories in `incoming`, labelled by what happened.
@@ -45,14 +47,21 @@ def daily_upsert_max(existing: DataFrame, incoming: DataFrame, key: str) -> Data
 
 
 def natural_id(*columns: str) -> Column:
-    """Surrogate key that needs no sequence: a 64-bit hash of the natural key."""
+    """Surrogate key that needs no sequence: a 64-bit hash of the natural key. Two keys may
+    share one, so stored tables number their rows instead (`numbered`)."""
     return F.xxhash64(*columns)
 
 
+def largest(rows: DataFrame, column: str) -> int:
+    """The largest id in use, 0 where there is none."""
+    return rows.agg(F.max(column)).first()[0] or 0
+
+
 def get_or_create(existing: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
     """`existing` plus a row for each key of `wanted` it lacks.
 
-    New rows take their id from the key, so two runs agree. Columns that `wanted`
+    New rows are numbered from the largest stored id on, in the order of their keys, so ids
+    are unique and two runs agree. Columns that `wanted`
     does not have are null in the new rows. One row per key is kept, the smallest.
     """
     extra = [c for c in wanted.columns if c not in key]
@@ -60,7 +69,7 @@ def get_or_create(existing: DataFrame, wanted: DataFrame, key: list[str]) -> Dat
         *([F.min(F.struct(*extra)).alias("_v")] if extra else [F.count("*").alias("_n")])
     )
     rows = first.select(*key, *[F.col(f"_v.{c}").alias(c) for c in extra])
-    new = rows.join(existing.select(*key), key, "left_anti").withColumn("id", natural_id(*key))
+    new = numbered(rows.join(existing.select(*key), key, "left_anti"), [F.col(k) for k in key], "id", largest(existing, "id"))
     return existing.unionByName(new, allowMissingColumns=True)
 
 
@@ -79,7 +88,7 @@ def import_new_repos(
 ) -> DataFrame:
     """Links to add, one per project and URL that is not linked yet.
 
-    `repository_id` is that of the known URL, else the hash of the URL.
+    `repository_id` is that of the known URL, else the next free number in the order of URLs.
     """
     first = listing.groupBy("project_id", F.col("clone_url").alias("url")).agg(
         F.min(F.struct("position", "name", "default_branch")).alias("_r")
@@ -88,13 +97,18 @@ def import_new_repos(
     linked = prs.join(
         repositories.select(F.col("id").alias("repository_id"), "url"), "repository_id"
     ).select("project_id", "url")
+    wanted = first.join(linked, ["project_id", "url"], "left_anti")
+    created = numbered(
+        wanted.select("url").distinct().join(known, "url", "left_anti"), [F.col("url")], "_new", largest(repositories, "id")
+    )
     return (
-        first.join(linked, ["project_id", "url"], "left_anti")
+        wanted
         .join(known, "url", "left")
+        .join(created, "url", "left")
         .select(
             "project_id",
             "url",
-            F.coalesce("_id", natural_id("url")).alias("repository_id"),
+            F.coalesce("_id", "_new").alias("repository_id"),
             F.col("_id").isNull().alias("is_new_repository"),
             F.col("_r.name").alias("name"),
             F.coalesce(

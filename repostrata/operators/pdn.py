@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
 from .comments import code_part, comment_part, numbered_lines
-
-
-def identifier_pattern(identifier: str) -> str:
-    """Whole-word search for one identifier, with Unicode word characters."""
-    return r"(?U)\b" + re.sub(r"([^\w])", r"\\\1", identifier, flags=re.ASCII) + r"\b"
+from .token_index import whole_word_matches
 
 
 def within_size(source_files: DataFrame, max_bytes: int | None = None) -> DataFrame:
@@ -31,57 +25,25 @@ def pdn_targets(source_files: DataFrame, max_bytes: int | None = None) -> DataFr
     )
 
 
-def _hits(part: Column, name: str, types: list[tuple[str, str]]) -> Column:
-    """Array of structs for the identifiers found in one part of a line."""
-    return F.array(
-        *[
-            F.when(
-                part.rlike(identifier_pattern(ident)),
-                F.struct(
-                    F.lit(pdn_type).alias("pdn_type"),
-                    F.lit(ident).alias("matched_identifier"),
-                    F.lit(name).alias("part"),
-                ),
-            )
-            for pdn_type, ident in types
-        ]
-    )
-
-
 def pdn_findings(
-    source_files: DataFrame, types: list[tuple[str, str]], include_comments: bool = False,
+    source_files: DataFrame, types: DataFrame | list[tuple[str, str]], include_comments: bool = False,
     max_bytes: int | None = None, max_lines: int | None = None,
 ) -> DataFrame:
     """C11: one row per line, identifier and part.
 
-    `types` are the configured (pdn_type, identifier) pairs. The configuration is
-    a parameter of the job, so the theta join becomes a fixed list of tests on
-    each line; one alternation over the whole file and again over the line keeps
-    those tests to the few lines that can match. There is no join and no shuffle.
+    `types` are the configured (pdn_type, identifier) pairs, a table of any length. Lines
+    meet identifiers by equal tokens (`token_index`), and only those pairs are searched.
     Files and lines of any size and number are scanned unless a bound is given.
     """
-    columns = "repo_id string, path string, line_number long, pdn_type string, matched_identifier string, part string"
-    if not types:
-        return source_files.sparkSession.createDataFrame([], columns)
-    any_of = "|".join(
-        sorted({re.sub(r"([^\w])", r"\\\1", i, flags=re.ASCII) for _, i in types}, key=len)
-    )
+    if isinstance(types, list):
+        types = source_files.sparkSession.createDataFrame(types, "pdn_type string, identifier string")
     numbered = numbered_lines(pdn_targets(source_files, max_bytes))
     if max_lines is not None:
         numbered = numbered.filter(F.col("line_number") <= max_lines)
-    # The parts are columns of their own, so that each is cut out once per line.
-    split = numbered.select(
-        "repo_id",
-        "path",
-        "line_number",
-        code_part(F.col("line")).alias("code"),
-        (comment_part(F.col("line")) if include_comments else F.lit(None).cast("string")).alias("comment"),
-    ).filter(F.col("code").rlike(any_of) | F.coalesce(F.col("comment").rlike(any_of), F.lit(False)))
-    hits = _hits(F.col("code"), "code", types)
+    parts = [F.struct(F.lit("code").alias("part"), code_part(F.col("line")).alias("text"))]
     if include_comments:
-        hits = F.concat(hits, _hits(F.col("comment"), "comment", types))
-    return (
-        split.select("repo_id", "path", "line_number", F.array_compact(hits).alias("hits"))
-        .select("repo_id", "path", "line_number", F.inline_outer("hits"))
-        .filter(F.col("pdn_type").isNotNull())
+        parts.append(F.struct(F.lit("comment").alias("part"), comment_part(F.col("line")).alias("text")))
+    split = numbered.select("repo_id", "path", "line_number", F.inline_outer(F.array(*parts)))
+    return whole_word_matches(split, "text", types.select("pdn_type", "identifier"), "identifier").select(
+        "repo_id", "path", "line_number", "pdn_type", F.col("identifier").alias("matched_identifier"), "part"
     )

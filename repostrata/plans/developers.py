@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.common import blank_to_null, share, total, with_share
 from ..functions.scalars import ilike_any
 from ..operators.latest import PR, latest_scan
+from ..operators.numbering import SHALLOW, page
 
 SUMS = {
     "total_commits": "commit_count",
@@ -96,7 +97,7 @@ PAGE_SORTS = {
 
 
 def developers_page(totals: DataFrame, profiles: DataFrame, sort_by: str = "commits", order: str = "desc",
-                    offset: int = 0, limit: int = 200) -> DataFrame:
+                    offset: int = 0, limit: int = 200, shallow: int = SHALLOW) -> DataFrame:
     """One page; an unknown sort means commits, ties go by developer."""
     if not (0 <= offset and 1 <= limit <= 1000):
         raise ValueError("offset must be 0 or more, limit between 1 and 1000")
@@ -105,7 +106,7 @@ def developers_page(totals: DataFrame, profiles: DataFrame, sort_by: str = "comm
     if column == "sort_name":
         rows = rows.join(display_names(profiles), "developer_id", "left")
     key = F.col(column).asc_nulls_first() if order.lower() == "asc" else F.col(column).desc_nulls_last()
-    return rows.orderBy(key, "developer_id").offset(offset).limit(limit)
+    return page(rows, [key, F.col("developer_id")], offset, limit, shallow)
 
 
 def page_info(totals: DataFrame, offset: int, limit: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.links import scan_ref, source_url
 from ..functions.scalars import duration_days
 from ..operators.latest import PR, latest_scan, queue_rows
+from ..operators.numbering import SHALLOW, page
 
 
 def _repository_scans(prs: DataFrame, projects: DataFrame, scans: DataFrame) -> DataFrame:
@@ -178,15 +179,15 @@ QUEUE_SORTS = {
 
 def scan_queue(scans: DataFrame, prs: DataFrame, projects: DataFrame, as_of: str, sort_by: str = "id",
                sort_order: str = "desc", project: str | None = None, repository: str | None = None,
-               status: str | None = None, offset: int = 0, limit: int = 100) -> DataFrame:
+               status: str | None = None, offset: int = 0, limit: int = 100, shallow: int = SHALLOW) -> DataFrame:
     """One page of scans; nulls come last upwards and first downwards."""
     if not (0 <= offset and 1 <= limit <= 500):
         raise ValueError("offset must be 0 or more, limit between 1 and 500")
     rows = queue_filtered(queue_rows(scans, prs, projects), project, repository, status)
     clock = F.lit(as_of).cast("timestamp")
     key = QUEUE_SORTS.get(sort_by, QUEUE_SORTS["id"])(clock)
-    ordered = key.asc_nulls_last() if sort_order == "asc" else key.desc_nulls_first()
-    return rows.orderBy(ordered, "id").offset(offset).limit(limit)
+    return page(rows.withColumn("_key", key), [F.col("_key").asc_nulls_last() if sort_order == "asc" else F.col("_key").desc_nulls_first(), F.col("id")],
+                offset, limit, shallow).drop("_key")
 
 
 def queue_filtered(rows: DataFrame, project: str | None = None, repository: str | None = None,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..bindings import Tables
@@ -9,7 +11,9 @@ from ..functions import paths
 from ..operators import contributions as co
 from ..operators import merges as mg
 from ..plans.developers import developer_overrides
+from ..session import checkpoint_dir
 from ..sources import history as hs
+from ..sources import tables
 from .canonical_sql import oracle, share_sql
 
 
@@ -147,6 +151,20 @@ WITH listing AS (SELECT n_regionkey::BIGINT AS project_id, c_custkey AS position
 usable AS (SELECT * FROM listing WHERE clone_url IS NOT NULL AND NOT archived AND NOT fork)
 """
 
+
+def _rerun_scans(t: Tables):
+    """Facts of all scans written, then of some scans anew with fewer rows, then of some with none."""
+    target = f"{checkpoint_dir(t.spark)}/facts-{uuid.uuid4().hex}"
+    facts = t.scan_languages().select("scan_id", "language", "loc")
+    tables.append_facts(facts, target)
+    tables.append_facts(facts.filter((F.col("scan_id") % 3 == 0) & (F.col("loc") % 20 == 0)), target, scans=facts.filter(F.col("scan_id") % 3 == 0).select("scan_id"))
+    tables.append_facts(facts.filter("false"), target, scans=facts.filter(F.col("scan_id") % 7 == 0).select("scan_id"))
+    return tables.read_facts(t.spark, target)
+
+
+RERUN = oracle("""SELECT scan_id, language, loc FROM scan_languages WHERE scan_id % 7 <> 0 AND (scan_id % 3 <> 0 OR loc % 20 = 0)""")
+
+
 QUERIES = {
     "a27_contributions": (
         lambda t: co.contributions(_history(t)).select(
@@ -231,6 +249,7 @@ QUERIES = {
         oracle("SELECT repo_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY seq) AS n FROM commits) WHERE n <= 100"),
     ),
     "s4_git_tags": (lambda t: hs.parse_tags(_tag_lines(t)), TAGS.strip()),
+    "s9_append_facts": (_rerun_scans, RERUN.strip()),
     "e18_git_tags_of_repository": (
         lambda t: hs.parse_tags(_tag_lines(t)).orderBy(F.desc_nulls_last("tagged_at"), "name").select("name", "tagged_at"),
         f"SELECT name, tagged_at FROM ({TAGS})",
@@ -254,16 +273,25 @@ QUERIES = {
         lambda t: mg.get_or_create(
             t.profiles().filter(F.col("id") % 2 == 0).select("id", "canonical_username"),
             t.profiles().filter(F.col("id") % 3 == 0).select("canonical_username"), ["canonical_username"]
-        ).select("canonical_username", (F.col("id") == mg.natural_id("canonical_username")).alias("is_new")),
-        oracle("SELECT canonical_username, id % 2 <> 0 AS is_new FROM profiles WHERE id % 2 = 0 OR id % 3 = 0"),
+        ).select("canonical_username", "id"),
+        oracle("""WITH old AS (SELECT id, canonical_username FROM profiles WHERE id % 2 = 0)
+                  SELECT canonical_username, id FROM old UNION ALL
+                  SELECT canonical_username, (SELECT max(id) FROM old) + row_number() OVER (ORDER BY canonical_username)
+                  FROM profiles WHERE id % 3 = 0 AND id % 2 <> 0"""),
+    ),
+    "j24_ids_are_unique": (
+        lambda t: mg.get_or_create(
+            t.profiles().filter(F.col("id") % 2 == 0).select("id", "canonical_username"), t.profiles().select("canonical_username"), ["canonical_username"]
+        ).agg(F.count("*").alias("rows"), F.count_distinct("id").alias("ids"), F.max("id").alias("largest")),
+        oracle("""SELECT count(*) AS rows, count(*) AS ids, max(id) FILTER (id % 2 = 0) + count(*) FILTER (id % 2 <> 0) AS largest FROM profiles"""),
     ),
     "p14_skip_archived_forks": (
         lambda t: mg.importable(_listing(t)).select("project_id", "position", "clone_url"),
         LISTING.strip() + " SELECT project_id, position, clone_url FROM usable",
     ),
     "j25_import_new_repos": (
-        lambda t: mg.import_new_repos(mg.importable(_listing(t)), t.repositories(), t.project_repositories()).drop("repository_id"),
-        oracle(LISTING + """SELECT u.project_id, u.clone_url AS url, g.id IS NULL AS is_new_repository, name, coalesce(default_branch, 'main') AS default_branch
+        lambda t: mg.import_new_repos(mg.importable(_listing(t)), t.repositories(), t.project_repositories()),
+        oracle(LISTING + """SELECT u.project_id, coalesce(g.id, (SELECT max(id) FROM repositories) + dense_rank() OVER (PARTITION BY g.id IS NULL ORDER BY u.clone_url)) AS repository_id, u.clone_url AS url, g.id IS NULL AS is_new_repository, name, coalesce(default_branch, 'main') AS default_branch
               FROM (SELECT *, row_number() OVER (PARTITION BY project_id, clone_url ORDER BY position) AS n FROM usable) u
               LEFT JOIN repositories g ON g.url = u.clone_url
               WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM prs p JOIN repositories x ON x.id = p.repository_id

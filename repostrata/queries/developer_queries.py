@@ -62,6 +62,10 @@ QUERIES = {
         lambda t: d.developers_page(_all(t), t.profiles(), "insertions", "desc", 5, 20),
         oracle(f"SELECT * FROM ({ALL}) ORDER BY total_insertions DESC, developer_id LIMIT 20 OFFSET 5"),
     ),
+    "t1_deep_page": (
+        lambda t: d.developers_page(_all(t), t.profiles(), "insertions", "desc", 300, 100, shallow=0),
+        oracle(f"SELECT * FROM ({ALL}) ORDER BY total_insertions DESC, developer_id LIMIT 100 OFFSET 300"),
+    ),
     "t1_page_info": (
         lambda t: d.page_info(_all(t), 5, 20),
         oracle(f"SELECT count(*) AS developers, sum(total_commits)::BIGINT AS total_commits_all, 25 < count(*) AS has_more FROM ({ALL})"),

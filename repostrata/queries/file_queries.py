@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..bindings import Tables
 from ..functions import dims, paths, text
 from ..functions.licensing import classify_license_text
+from ..operators import block_state as bs
 from ..operators import comments as cm
 from ..operators import complexity as cx
 from ..operators import files as fl
@@ -85,9 +86,32 @@ TYPES_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in TYPES) + ") AS
 
 def _findings_sql(part: str, name: str) -> str:
     return f"""SELECT s.repo_id, s.path, s.line_number, pdn_type, ident AS matched_identifier, '{name}' AS part
-      FROM ({SPLIT}) s JOIN files f ON f.repo_id = s.repo_id AND f.path = s.path JOIN {TYPES_SQL}
-        ON regexp_matches({part}, '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])' || ident || '($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])')
-      WHERE f.folder NOT IN ('node_modules/x/', '.github/') AND NOT contains(lower(f.path), 'test')"""
+      FROM (SELECT s.* FROM ({SPLIT}) s JOIN files f ON f.repo_id = s.repo_id AND f.path = s.path
+          WHERE f.folder NOT IN ('node_modules/x/', '.github/') AND NOT contains(lower(f.path), 'test') AND {part} <> '') s JOIN {TYPES_SQL}
+        ON contains({part}, ident)
+      WHERE regexp_matches({part}, '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])' || ident || '($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])')"""
+
+
+def _item_words(t: Tables):
+    """Identifiers of a table: words and pairs of words of the benchmark's texts, by their number."""
+    own = F.array_distinct(F.filter(F.split("text", r"[^\p{L}]+"), lambda w: F.length(w) > 4))
+    pairs = F.regexp_extract_all("text", F.lit(r"[a-z]+, [a-z]+"), F.lit(0))
+    return t.raw("benchmark").select(
+        F.concat(F.lit("item"), (F.col("item_id") % 7).cast("string")).alias("pdn_type"), F.explode(F.concat(own, pairs)).alias("identifier")
+    ).distinct()
+
+
+# Words by equality with the runs of a line, pairs by search for their text.
+ITEM_WORDS = r"""
+WITH idents AS (SELECT DISTINCT 'item' || (item_id % 7) AS pdn_type, ident FROM (
+  SELECT item_id, unnest(list_concat([w FOR w IN regexp_split_to_array(text, '[^\p{L}]+') IF length(w) > 4], regexp_extract_all(text, '[a-z]+, [a-z]+'))) AS ident FROM benchmark)),
+code AS (SELECT s.repo_id, s.path, s.line_number, s.code FROM (""" + SPLIT + r""") s JOIN files f ON f.repo_id = s.repo_id AND f.path = s.path
+  WHERE f.folder NOT IN ('node_modules/x/', '.github/') AND NOT contains(lower(f.path), 'test')),
+runs AS (SELECT DISTINCT repo_id, path, line_number, code, unnest(regexp_extract_all(code, '[\p{L}\p{M}\p{N}_]+')) AS run FROM code)
+SELECT repo_id, path, line_number, pdn_type, ident AS matched_identifier, 'code' AS part FROM runs JOIN idents ON ident = run
+UNION ALL SELECT DISTINCT repo_id, path, line_number, pdn_type, ident, 'code' FROM runs JOIN (SELECT *, split_part(ident, ', ', 1) AS head FROM idents WHERE contains(ident, ', ')) ON run = head
+  WHERE contains(code, ident) AND regexp_matches(code, '(^|[^\p{L}\p{M}\p{N}_])' || ident || '($|[^\p{L}\p{M}\p{N}_])')
+"""
 
 
 
@@ -212,6 +236,26 @@ LICENCE_CASES = " ".join(
 )
 
 
+def _nested_blocks(t: Tables):
+    """Depth after every line of the documents: a line that begins with a vowel opens a block,
+    one that holds `on` closes one, and three is the deepest."""
+    lines = t.raw("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select(
+        "doc_id", (F.col("pos") + 1).cast("long").alias("line_no"), "line")
+    step = bs.nesting(F.col("line").rlike("^[AEIOUaeiou]"), F.col("line").contains("on"), 3)
+    return bs.block_state(lines, ["doc_id"], "line_no", step, 4, segment=8, fan=4).select("doc_id", "line_no", F.col("state").cast("long").alias("depth"))
+
+
+NESTED = """
+WITH RECURSIVE lines AS (SELECT doc_id, generate_subscripts(l, 1) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
+steps AS (SELECT doc_id, line_no, CASE WHEN o AND NOT c THEN 1 WHEN c AND NOT o THEN -1 ELSE 0 END AS step FROM (
+  SELECT doc_id, line_no, regexp_matches(line, '^[AEIOUaeiou]') AS o, contains(line, 'on') AS c FROM lines)),
+walk(doc_id, line_no, depth) AS (
+  SELECT DISTINCT doc_id, 0::BIGINT, 0::BIGINT FROM lines
+  UNION ALL SELECT w.doc_id, s.line_no, greatest(0, least(3, w.depth + s.step))::BIGINT FROM walk w JOIN steps s ON s.doc_id = w.doc_id AND s.line_no = w.line_no + 1)
+SELECT * FROM walk WHERE line_no > 0
+"""
+
+
 def _flags(t: Tables):
     """Path predicates of every file, side by side."""
     p = F.col("path")
@@ -349,6 +393,7 @@ QUERIES = {
     "c7_docker_ci": _stack_column("has_docker", "ci_provider"),
     "c8_linters_formatters": _stack_column("linters", "formatters"),
     "c9_infra_tools": _stack_column("has_kubernetes", "has_terraform", "has_helm", "infra_tools"),
+    "w8_block_state": (_nested_blocks, NESTED.strip()),
     "c10_comment_split": (lambda t: cm.comment_split(t.source_files()), oracle(SPLIT)),
     "c11_pdn_findings": (
         lambda t: pdn.pdn_findings(t.source_files(), TYPES), oracle(_findings_sql("code", "code")),
@@ -357,6 +402,9 @@ QUERIES = {
         lambda t: pdn.pdn_findings(t.source_files(), TYPES, include_comments=True),
         oracle(_findings_sql("code", "code") + " UNION ALL " + _findings_sql("comment", "comment")),
     ),
+    "c11_pdn_findings_of_table": (
+        lambda t: pdn.pdn_findings(t.source_files(), _item_words(t)), oracle(ITEM_WORDS),
+    ),
     "j21_pdn_match": (
         lambda t: pdn.pdn_findings(t.source_files(), TYPES).groupBy("repo_id", "pdn_type", "matched_identifier").agg(F.count("*").alias("findings")),
         oracle(f"SELECT repo_id, pdn_type, matched_identifier, count(*) AS findings FROM ({_findings_sql('code', 'code')}) GROUP BY ALL"),

@@ -197,7 +197,7 @@ QUERIES = dict([
     _case("m17_composer_lock", ma.composer_lock, ["composer.lock"], PROD, DEV, PROD),
     _case("m18_go_sum", ma.go_sum, ["go.sum"], *["name; 'v' || v; 'prod'; true; false"] * 3),
     _case("w10_go_sum_distinct", lambda f: ma.go_sum(f).dropDuplicates(["repo_id", "name", "version"]), ["go.sum"], *["name; 'v' || v; 'prod'; true; false"] * 3),
-    _case("w8_block_state", ma.gemfile, ["Gemfile"], PROD, DEV, f"name; {NONE}; 'prod'; true; false"),
+    _case("w8_gemfile_blocks", ma.gemfile, ["Gemfile"], PROD, DEV, f"name; {NONE}; 'prod'; true; false"),
     _case("j13_direct_flag", lambda f: ma.package_lock(f).filter("is_direct"), ["package-lock.json", "package.json"], PROD, DEV, ""),
 ]) | {
     "w2_dedup_dependencies": (

@@ -187,6 +187,10 @@ QUERIES = {
         lambda t: _queue(t, sort_by="started", sort_order="desc", status="completed", offset=10, limit=50),
         oracle(QUEUE_SQL + "WHERE s.status = 'completed' ORDER BY s.started_at DESC NULLS FIRST, s.id LIMIT 50 OFFSET 10"),
     ),
+    "t6_deep_page": (
+        lambda t: _queue(t, sort_by="queued", sort_order="desc", offset=12_000, limit=500),
+        oracle(QUEUE_SQL + "ORDER BY s.created_at DESC NULLS FIRST, s.id LIMIT 500 OFFSET 12000"),
+    ),
     "t6_queue_page": (
         lambda t: _queue(t, sort_by="duration", sort_order="asc", limit=500),
         oracle(QUEUE_SQL + f"""ORDER BY epoch_us(coalesce(s.completed_at, TIMESTAMP '{AS_OF}')) - epoch_us(s.started_at)

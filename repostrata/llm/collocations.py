@@ -44,7 +44,7 @@ LONGEST = 5
 LEAST = 100
 TOP = 2000
 #: One in so many sentences is in the sample, and what a phrase needs there.
-SAMPLED, SAMPLE_LEAST = 8, 3
+SAMPLED, SAMPLE_LEAST = 8, 6
 #: Up to so many new phrases are looked for in a text before its words are numbered.
 PROBES = 100_000
 FILTER_BITS = 26

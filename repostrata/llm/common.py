@@ -68,6 +68,11 @@ def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(work, schema)
 
 
+def all_of(df: DataFrame) -> list[Column]:
+    """All columns by name, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def crc32_of_id(column: Column) -> Column:
     """crc32 of an id written as text."""
     return F.crc32(column.cast("string").cast("binary"))
@@ -87,7 +92,7 @@ def running_totals(df: DataFrame, order: list[str], totals: dict[str, str]) -> D
     )
     upto = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return placed.join(base, "_part").select(
-        *df.columns, *[(F.col(f"_base_{t}") + F.sum(v).over(upto)).alias(t) for t, v in totals.items()]
+        *all_of(df), *[(F.col(f"_base_{t}") + F.sum(v).over(upto)).alias(t) for t, v in totals.items()]
     )
 
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_links, components, map_arrow, store
+from .common import all_of, bucket_links, components, map_arrow, running_totals, store
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -268,20 +268,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """One row per input row: its id, component (smallest id reachable over links of the
     threshold or more; its own where it has none) and kept (it is that smallest id)."""
     signs = store(signed(docs, doc_id, text), "signatures")
-    classes = store(
-        signs.groupBy("f1", "f2", "n").agg(F.min("id").alias("id"), F.any_value("bands").alias("bands")), "classes"
-    )
+    own = ["f1", "f2", "n"]
+    # classes are numbered by their smallest document, so that the smallest class of a
+    # component holds its smallest document; one document may hold several classes
+    grouped = signs.groupBy(*own).agg(F.min("id").alias("first"), F.any_value("bands").alias("bands"), F.lit(1).cast("long").alias("one"))
+    classes = store(running_totals(grouped, ["first", *own], {"id": "one"}).drop("one"), "classes")
     members = classes.select(F.explode("bands").alias("key"), "id")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         """(id, own) of some classes."""
-        wanted = store(classes.join(ids, "id", "left_semi").select("id", "f1"), "wanted")
+        wanted = store(classes.join(ids, "id", "left_semi").select("id", "first", "f1"), "wanted")
         rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text is not null")
-        rows = rows.join(wanted.select("id").distinct(), "id", "left_semi")
-        found = _elements_of(rows).join(wanted, ["id", "f1"], "left_semi").dropDuplicates(["id", "f1"])
+        rows = rows.join(wanted.select(F.col("first").alias("id")).distinct(), "id", "left_semi")
+        found = _elements_of(rows).withColumnRenamed("id", "first").join(wanted, ["first", "f1"]).dropDuplicates(["id"])
         return store(found.select("id", "own"), "elements")
 
-    sizes = classes.groupBy("id").agg(F.max("n").alias("n"))
+    sizes = classes.select("id", "n")
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("m")), "a").join(
@@ -300,14 +302,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return _block_links(mixed, facts, threshold)
 
     links = bucket_links(members, verify, across=across)
-    # rows of one id are one document
-    own = signs.select("id", "f1", "f2", "n").join(classes.select("f1", "f2", "n", F.col("id").alias("first")), ["f1", "f2", "n"])
-    several = own.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
-    repeated = several.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").select("a")
-    joined = components(links.select("a", "b").unionByName(several.join(repeated, "a", "left_semi")))
-    found = own.select("id", "first").distinct().join(joined.select(F.col("id").alias("first"), "component"), "first", "left").select(
-        "id", F.coalesce("component", "first").alias("component")
-    ).groupBy("id").agg(F.min("component").alias("component"))
+    # rows of one id are one document, which connects its classes
+    held = signs.select(F.col("id").alias("doc"), *own).join(classes.select(*own, "id"), own).select("doc", "id").distinct()
+    several = held.groupBy("doc").agg(F.min("id").alias("b"), F.max("id").alias("most")).where("b < most").select("doc", "b")
+    tied = held.join(several, "doc").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    joined = components(links.select("a", "b").unionByName(tied))
+    least = held.join(joined, "id", "left").select("doc", F.coalesce("component", "id").alias("id"))
+    found = least.join(classes.select("id", F.col("first").alias("component")), "id").groupBy(F.col("doc").alias("id")).agg(
+        F.min("component").alias("component")
+    )
     ids = docs.select(F.col(doc_id).alias("id"))
     return ids.join(found, "id", "left").select(
         F.col("id").alias(doc_id), F.coalesce("component", "id").alias("component_id"),
@@ -319,11 +322,11 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thre
     """The input without all documents but one of each group; columns as they are."""
     thin = store(near_duplicates(docs, doc_id, text, threshold), "near")
     dropped = thin.where("not kept").select(doc_id).distinct()
-    left = docs.join(dropped, doc_id, "left_anti").select(*docs.columns)
+    left = docs.join(dropped, doc_id, "left_anti").select(*all_of(docs))
     repeated = thin.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").select(doc_id)
     repeated = store(repeated, "repeated")
     if repeated.isEmpty():
         return left
-    return left.join(repeated, doc_id, "left_anti").select(*docs.columns).unionByName(
-        left.join(repeated, doc_id, "left_semi").select(*docs.columns).dropDuplicates([doc_id])
+    return left.join(repeated, doc_id, "left_anti").select(*all_of(docs)).unionByName(
+        left.join(repeated, doc_id, "left_semi").select(*all_of(docs)).dropDuplicates([doc_id])
     )

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from .common import map_arrow
 from .licence_texts import TEXTS
@@ -164,4 +165,4 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, text: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["row", "found"])
 
     keep = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
-    return map_arrow(keep, work, f"row {keep.schema['row'].dataType.simpleString()}, found {FOUND}")
+    return map_arrow(keep, work, StructType([keep.schema["row"], StructField("found", DataType.fromDDL(FOUND))]))

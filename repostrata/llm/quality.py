@@ -28,6 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import map_arrow, store
 
@@ -185,4 +186,4 @@ def score(docs: DataFrame, learned: tuple[np.ndarray, float], text: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["row", "score"])
 
     keep = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
-    return map_arrow(keep, work, f"row {keep.schema['row'].dataType.simpleString()}, score double")
+    return map_arrow(keep, work, StructType([keep.schema["row"], StructField("score", DoubleType())]))

@@ -578,6 +578,26 @@ def test_licences_of_more_kinds():
     assert "Apache-2.0" in names("Foo is a tool - licensed under the Apache License, Version 2.0 - for bars")
 
 
+def test_two_texts_of_one_document_each_have_copies(spark):
+    """A document of two texts connects the near copies of both, the shorter one's too."""
+    rng = np.random.default_rng(43)
+    long, short = sentence(rng, 400), sentence(rng, 60)
+    rows = [(1, long), (1, short), (2, edited(rng, short, 1)), (3, edited(rng, long, 2)), (4, sentence(rng, 60)), (9, short)]
+    got = {r["doc_id"]: r["component_id"] for r in dartminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 9: 1}
+
+
+@pytest.mark.parametrize("name", ["my col", "a.b", "x-y", "row", "text_hash"])
+def test_column_names(spark, name, tmp_path):
+    """Operators and stages that hand columns on take any name."""
+    rng = np.random.default_rng(44)
+    made = [(i, sentence(rng, 30), "en" if i % 2 else "de", "s", 1, i) for i in range(12)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long, extra int").withColumnRenamed("extra", name)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+    assert licences.scan(docs).count() == quality.score(docs, (np.zeros((1 << quality.BITS) + 1), 0.5)).count() == 12
+
+
 def test_empty_tables(spark, none, tmp_path):
     none.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))

@@ -15,10 +15,10 @@ empty result; other columns of the input are never looked at.
 
 from __future__ import annotations
 
-import base64
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,70 +31,80 @@ from .common import map_arrow, store
 WINDOW = 1024
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
-#: The same vocabulary as ranks, for the faster library.
-RANKS = "byte_bpe_50k.tiktoken"
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, place long"
 
-#: Longer runs of white space may overflow the stack of the faster library.
-LONG_SPACE = re.compile(r"\s{20000}")
+#: Texts of these characters (Latin, Greek, Cyrillic) are split here, as the tokenizer would:
+#: every version of Unicode in use agrees on their kinds.
+PLAIN = re.compile(r"[\x00-\u052F]*")
+#: Pieces of text whose ids a worker remembers, and the longest of them.
+KEEP_IDS, KEEP_CHARS = 400_000, 64
 
 _encoders: dict = {}
 
 
-def encoder(tokenizer_path: str, ranks_path: str):
+class _Ids(dict):
+    """Piece of text to ids, made by the tokenizer's own model and remembered."""
+
+    def __init__(self, tokenizer):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.model = tokenizer.model
+        printable = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or 174 <= c <= 255]
+        names = {c: chr(c) for c in printable} | {c: chr(256 + n) for n, c in enumerate(c for c in range(256) if c not in printable)}
+        if set(names.values()) != set(ByteLevel.alphabet()):
+            raise ValueError("the tokenizer's bytes have other names")
+        self.names = {chr(c): name for c, name in names.items()}  # latin-1 character to name
+        self.table = str.maketrans(self.names)
+
+    def __missing__(self, piece: str) -> list[int]:
+        if len(self) > KEEP_IDS:
+            self.clear()
+        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.table))]
+        if len(piece) <= KEEP_CHARS:
+            self[piece] = ids
+        return ids
+
+
+def encoder(tokenizer_path: str):
     """A function from texts to lists of ids, those of the tokenizer file.
 
-    The ranks file holds the same vocabulary and merges several times faster. The first
-    text of every batch, and each one that names a special token, has a very long run of white space
-    or fails in the faster library, goes through the tokenizer itself; should the two ever
-    differ, all texts do.
+    The tokenizer first splits a text by a fixed pattern, and no merge crosses a split. So
+    plain texts are split here, and the ids of each piece, made by the tokenizer's model,
+    are remembered. Texts with other characters, and those that name a special token, go
+    through the tokenizer whole.
     """
-    if (key := (tokenizer_path, ranks_path)) in _encoders:
-        return _encoders[key]
+    if tokenizer_path in _encoders:
+        return _encoders[tokenizer_path]
     import public_tokenizers
-    import tiktoken
+    import regex
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(tokenizer_path)
-    with open(ranks_path, "rb") as lines:
-        ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
-    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    special = [t.content for t in slow.get_added_tokens_decoder().values()]
-    state = {"same": True}
-
-    def whole(text: str) -> list[int]:
-        return slow.encode(text, add_special_tokens=False).ids
+    tokenizer = Tokenizer.from_file(tokenizer_path)
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    split, ids = regex.compile(public_tokenizers.PATTERN).findall, _Ids(tokenizer)
 
     def encode(texts: list[str]) -> Iterator[list[int]]:
-        for i, text in enumerate(texts):
-            if not state["same"] or any(s in text for s in special) or LONG_SPACE.search(text):
-                yield whole(text)
-                continue
-            try:
-                ids = fast.encode_ordinary(text)
-            except BaseException as error:  # a panic of the library is no Exception
-                if isinstance(error, (KeyboardInterrupt, SystemExit, GeneratorExit)):
-                    raise
-                ids = whole(text)
-            if i == 0 and ids != (exact := whole(text)):
-                state["same"], ids = False, exact
-            yield ids
-
-    _encoders[key] = encode
+        for text in texts:
+            if PLAIN.fullmatch(text) and not any(s in text for s in special):
+                yield list(chain.from_iterable(map(ids.__getitem__, split(text))))
+            else:
+                yield tokenizer.encode(text, add_special_tokens=False).ids
+
+    _encoders[tokenizer_path] = encode
     return encode
 
 
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW,
-           tokenizer_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
+           tokenizer_path: str | None = None) -> DataFrame:
     """Stored pieces: where each starts in its document, its length and crc32, the
     partition that made it and its place among the pieces of its length there."""
     import public_tokenizers
 
-    names = (tokenizer_path or public_tokenizers.path(TOKENIZER), ranks_path or public_tokenizers.path(RANKS))
+    path = tokenizer_path or public_tokenizers.path(TOKENIZER)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(*names), TaskContext.get().partitionId()
+        encode, part = encoder(path), TaskContext.get().partitionId()
         seen = np.zeros(window + 1, dtype=np.int64)
         for batch in batches:
             out: list[tuple] = []
@@ -146,9 +156,9 @@ def fill(counts: dict[int, int], window: int) -> list[tuple[int, dict[int, int]]
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW,
-         tokenizer_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
+         tokenizer_path: str | None = None) -> DataFrame:
     """One row per piece, with the sequence it goes to and its offset there."""
-    cut = pieces(docs, doc_id, text, window, tokenizer_path, ranks_path)
+    cut = pieces(docs, doc_id, text, window, tokenizer_path)
     made = store(cut.groupBy("part", "length").count(), "counts")
     # at most `window` rows
     counts = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.sum("count").alias("n")).collect()}

@@ -77,21 +77,35 @@ def _sum_of(field: str) -> Column:
     )
 
 
-def contributions(commits: DataFrame) -> DataFrame:
-    """One row per repository and user.
+def _keys(commits: DataFrame) -> list[str]:
+    """What tells authors apart: the spelling, and what else of an identity is known by now."""
+    known = [c for c in ("project_id", "username", "identity") if c in commits.columns]
+    return ["repo_id", *known, "author_name", "author_email"]
+
+
+def _identified(sums: DataFrame, keys: list[str], overrides: DataFrame | None) -> DataFrame:
+    """Sums by spelling with their users, each spelling resolved once.
+
+    An identity depends on the spelling only, so the sums of a spelling (days or languages of
+    one author in one repository) are nested, the author is resolved, and they are taken out again.
+    """
+    if "username" in keys:
+        return sums
+    parts = F.collect_list(F.struct(*[c for c in sums.columns if c not in keys])).alias("parts")
+    named = with_identity(sums.groupBy(*keys).agg(parts), overrides)
+    return named.select(*USER, "author_name", "author_email", "identity", F.inline("parts"))
+
 
-    `files_changed` adds up the distinct paths of each commit. Commits are first
-    summed by day and author spelling: numbers only, so it is a hash aggregate, and
-    whatever follows sees a row per day. Counting those days needs no distinct set.
+def day_sums(commits: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """Sums per repository, user and author-local day, with the first spelling seen (`who`, `seq`).
+
+    Numbers only, so the first step is a hash aggregate, and whatever follows sees a row
+    per day. Rows of different commits add up: sums by sum, `who` by the least `seq`.
     """
-    spelling = ["author_name", "author_email", "confidence", "is_ambiguous"]
+    keys = _keys(commits)
     by_spelling = (
         commits.select(
-            *USER,
-            "author_name",
-            "author_email",
-            "identity.confidence",
-            "identity.is_ambiguous",
+            *keys,
             day_of(F.col("ts_raw")).alias("day"),
             "ts",
             _sum_of("insertions").alias("ins"),
@@ -99,7 +113,7 @@ def contributions(commits: DataFrame) -> DataFrame:
             F.size(F.array_distinct("file_changes.path")).alias("files"),
             "seq",
         )
-        .groupBy(*USER, *spelling, "day")
+        .groupBy(*keys, "day")
         .agg(
             F.count("*").alias("commits"),
             F.sum("ins").alias("ins"),
@@ -110,16 +124,18 @@ def contributions(commits: DataFrame) -> DataFrame:
             F.min("seq").alias("seq"),
         )
     )
-    by_day = by_spelling.groupBy(*USER, "day").agg(
-        F.sum("commits").alias("commits"),
-        F.sum("ins").alias("ins"),
-        F.sum("del").alias("del"),
-        F.sum("files").alias("files"),
+    who = F.struct("author_name", "author_email", "identity.confidence", "identity.is_ambiguous")
+    return _identified(by_spelling, keys, overrides).withColumn("who", who).groupBy(*USER, "day").agg(
+        *[F.sum(c).alias(c) for c in ("commits", "ins", "del", "files")],
         F.min("first").alias("first"),
         F.max("last").alias("last"),
-        F.min_by(F.struct(*spelling), "seq").alias("who"),
+        F.min_by("who", "seq").alias("who"),
         F.min("seq").alias("seq"),
     )
+
+
+def user_stats(by_day: DataFrame) -> DataFrame:
+    """A27, W7 from `day_sums`, one row per repository, user and day."""
     return (
         by_day.groupBy(*USER)
         .agg(
@@ -149,6 +165,15 @@ def contributions(commits: DataFrame) -> DataFrame:
     )
 
 
+def contributions(commits: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """One row per repository and user.
+
+    `files_changed` adds up the distinct paths of each commit. Commits without a `username`
+    are summed by author spelling before the authors are resolved.
+    """
+    return user_stats(day_sums(commits, overrides))
+
+
 def raw_identities(commits: DataFrame) -> DataFrame:
     """Author spellings of each user, with the identity of the first one seen."""
     first = commits.groupBy(*USER, "author_name", "author_email").agg(
@@ -164,9 +189,22 @@ def raw_identities(commits: DataFrame) -> DataFrame:
     )
 
 
-def _changes(commits: DataFrame) -> DataFrame:
-    """One row per changed file; the outer form keeps a parsed log from being parsed twice."""
-    return commits.select(*USER, F.inline_outer("file_changes")).filter(F.col("path").isNotNull())
+def change_sums(commits: DataFrame, key: Column, name: str, overrides: DataFrame | None = None) -> DataFrame:
+    """Changed files and lines per repository, user and `key`; changes whose key is null are left out.
+
+    Rows of different commits add up. The outer form of inline keeps a parsed log from being
+    parsed twice.
+    """
+    keys = _keys(commits)
+    by_spelling = (
+        commits.select(*keys, F.inline_outer("file_changes")).filter(F.col("path").isNotNull())
+        .withColumn(name, key).filter(F.col(name).isNotNull())
+        .groupBy(*keys, name)
+        .agg(F.count("*").alias("changes"), F.sum("insertions").alias("loc_added"), F.sum("deletions").alias("loc_deleted"))
+    )
+    return _identified(by_spelling, keys, overrides).groupBy(*USER, name).agg(
+        *[F.sum(c).alias(c) for c in ("changes", "loc_added", "loc_deleted")]
+    )
 
 
 def with_user_share(rows: DataFrame, part: str = "files_changed") -> DataFrame:
@@ -174,41 +212,36 @@ def with_user_share(rows: DataFrame, part: str = "files_changed") -> DataFrame:
     return with_share(rows, USER, part)
 
 
-def language_contributions(commits: DataFrame, head_languages: DataFrame | None = None) -> DataFrame:
-    """Changes by user and language.
+def _counted(sums: DataFrame, name: str, *lines: str) -> DataFrame:
+    counts = [F.col("changes").alias("commit_count"), F.col("changes").alias("files_changed")]
+    return with_user_share(sums.select(*USER, name, *counts, *lines))
+
+
+def language_stats(sums: DataFrame, head_languages: DataFrame | None = None) -> DataFrame:
+    """A28 from `change_sums` by language.
 
     The share is taken over all languages of the user; languages that the current
     tree no longer has are dropped afterwards.
     """
-    rows = (
-        _changes(commits)
-        .filter(F.col("language").isNotNull())
-        .groupBy(*USER, "language")
-        .agg(
-            F.count("*").alias("commit_count"),
-            F.count("*").alias("files_changed"),
-            F.sum("insertions").alias("loc_added"),
-            F.sum("deletions").alias("loc_deleted"),
-        )
-    )
-    shared = with_user_share(rows)
+    shared = _counted(sums, "language", "loc_added", "loc_deleted")
     if head_languages is None:
         return shared
     return shared.join(head_languages.select("repo_id", "language"), ["repo_id", "language"], "left_semi")
 
 
-def module_contributions(commits: DataFrame) -> DataFrame:
+def module_stats(sums: DataFrame) -> DataFrame:
+    """A29 from `change_sums` by module."""
+    return _counted(sums, "module", "loc_added")
+
+
+def language_contributions(commits: DataFrame, head_languages: DataFrame | None = None, overrides: DataFrame | None = None) -> DataFrame:
+    """Changes by user and language."""
+    return language_stats(change_sums(commits, F.col("language"), "language", overrides), head_languages)
+
+
+def module_contributions(commits: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """Changes by user and top-level module."""
-    rows = (
-        _changes(commits)
-        .groupBy(*USER, paths.top_module(F.col("path")).alias("module"))
-        .agg(
-            F.count("*").alias("commit_count"),
-            F.count("*").alias("files_changed"),
-            F.sum("insertions").alias("loc_added"),
-        )
-    )
-    return with_user_share(rows)
+    return module_stats(change_sums(commits, paths.top_module(F.col("path")), "module", overrides))
 
 
 def developer_daily(commits: DataFrame) -> DataFrame:

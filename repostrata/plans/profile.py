@@ -15,7 +15,7 @@ from ..operators import stack as st
 from ..session import cut
 
 
-def repo_facts(source_files: DataFrame, commits: DataFrame) -> dict[str, DataFrame]:
+def repo_facts(source_files: DataFrame, commits: DataFrame, overrides: DataFrame | None = None) -> dict[str, DataFrame]:
     """The wide row per repository and the tables it is built from.
 
     Repositories come from the files; one without commits keeps null shares, so
@@ -24,7 +24,7 @@ def repo_facts(source_files: DataFrame, commits: DataFrame) -> dict[str, DataFra
     files = cut(fl.analysed_files(source_files))
     languages = fl.language_stats(files)
     code = cx.complexity_files(source_files, languages)
-    contribs = co.contributions(commits)
+    contribs = co.contributions(commits, overrides)
     facts = (
         fl.file_totals(files)
         .join(fl.dir_count(source_files), "repo_id", "left")
@@ -44,9 +44,9 @@ def profile(source_files: DataFrame, commits: DataFrame, pdn_types: list[tuple[s
     few manifests and licence files (kept with it), code lines, and personal data.
     """
     named = co.with_identity(commits, overrides)
-    base = repo_facts(source_files, named)
-    modules = co.module_contributions(named)
-    all_languages = co.language_contributions(named)
+    base = repo_facts(source_files, commits, overrides)
+    modules = co.module_contributions(commits, overrides)
+    all_languages = co.language_contributions(commits, overrides=overrides)
     contribs = base["contributions"]
     special = li.license_files(source_files)
     inventory = ma.dedup_dependencies(ma.all_dependencies(special))

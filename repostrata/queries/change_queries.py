@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from ..bindings import Tables
 from ..functions import paths
 from ..operators import contributions as co
+from ..operators import increments as inc
 from ..operators import merges as mg
 from ..plans.developers import developer_overrides
 from ..session import checkpoint_dir
 from ..sources import history as hs
 from ..sources import tables
+from ..streaming import seen
 from .canonical_sql import oracle, share_sql
 
 
@@ -162,17 +164,44 @@ def _rerun_scans(t: Tables):
     return tables.read_facts(t.spark, target)
 
 
+def _steps(t: Tables) -> str:
+    """The history in three arrivals, oldest commits first, each folded when it is there."""
+    store = f"{checkpoint_dir(t.spark)}/increments-{uuid.uuid4().hex}"
+    day = F.to_date(F.substring("ts_raw", 1, 10))
+    arrival = F.when(day < "1994-06-01", 1).when(day < "1997-01-01", 2).otherwise(3).cast("long")
+    t.commits().withColumn("arrival", arrival).write.partitionBy("arrival").parquet(f"{store}/commits")
+    commits = t.spark.read.parquet(f"{store}/commits")
+    for there in (1, 2, 3):
+        inc.fold(commits.filter(F.col("arrival") <= there), store)
+    return store
+
+
+def _streamed(t: Tables):
+    """Events as commits that arrive in two logs; the second brings ten days again, four of them finished by then."""
+    home = f"{checkpoint_dir(t.spark)}/seen-{uuid.uuid4().hex}"
+    e = t.raw("events")
+    rows = e.select(
+        (F.col("user_id") % 25).alias("repo_id"), F.col("event_id").cast("string").alias("commit_id"),
+        F.to_date("ts").alias("commit_date"),
+    )
+    for arrived, part in (("2024-01-20", F.col("commit_date") < "2024-01-20"), ("2024-02-02", F.col("commit_date") >= "2024-01-10")):
+        rows.filter(part).withColumn("arrived", F.lit(arrived).cast("timestamp")).write.mode("append").parquet(f"{home}/logs")
+        logs = t.spark.readStream.schema("repo_id long, commit_id string, commit_date date, arrived timestamp").parquet(f"{home}/logs")
+        seen.count_commits(logs, f"{home}/counts", f"{home}/state", keep_days=5, shares=4, every=2).awaitTermination()
+    return seen.counted_daily(t.spark, f"{home}/counts")
+
+
 RERUN = oracle("""SELECT scan_id, language, loc FROM scan_languages WHERE scan_id % 7 <> 0 AND (scan_id % 3 <> 0 OR loc % 20 = 0)""")
 
 
 QUERIES = {
     "a27_contributions": (
-        lambda t: co.contributions(_history(t)).select(
+        lambda t: co.contributions(t.commits()).select(
             "repo_id", "username", "commit_count", "insertions", "deletions", "files_changed", "active_days", "first_commit_at", "last_commit_at"),
         oracle("SELECT * FROM user_stats"),
     ),
     "w7_first_seen": (
-        lambda t: co.contributions(_history(t)).select("repo_id", "username", "display_name", "primary_email", "confidence", "is_ambiguous"),
+        lambda t: co.contributions(t.commits()).select("repo_id", "username", "display_name", "primary_email", "confidence", "is_ambiguous"),
         oracle("""SELECT repo_id, username, arg_min(author_name, seq) AS display_name, arg_min(author_email, seq) AS primary_email,
                     CASE WHEN arg_min(author_email, seq) IS NOT NULL THEN 0.9 ELSE 0.85 END::DOUBLE AS confidence, false AS is_ambiguous
                   FROM commits GROUP BY ALL""".replace(
@@ -184,15 +213,15 @@ QUERIES = {
             "FROM (SELECT *, min(seq) OVER (PARTITION BY repo_id, username) AS first FROM commits) GROUP BY repo_id, username"), "commits"),
     ),
     "a28_contrib_languages": (
-        lambda t: co.language_contributions(_history(t)),
+        lambda t: co.language_contributions(t.commits()),
         oracle(f"""SELECT *, {share_sql('files_changed', 'sum(files_changed) OVER (PARTITION BY repo_id, username)')} AS percentage FROM
                    (SELECT repo_id, username, language, count(*) AS commit_count, count(*) AS files_changed, sum(insertions)::BIGINT AS loc_added,
                       sum(deletions)::BIGINT AS loc_deleted FROM user_changes WHERE language IS NOT NULL GROUP BY ALL)"""),
     ),
     "a28_contrib_languages_at_head": (
         lambda t: co.language_contributions(
-            _history(t),
-            _history(t).select("repo_id", F.explode("file_changes.language").alias("language")).filter(
+            t.commits(),
+            t.commits().select("repo_id", F.explode("file_changes.language").alias("language")).filter(
                 F.col("language").isNotNull() & ~((F.col("language") == "Java") & (F.col("repo_id") % 2 == 0))).distinct()),
         oracle(f"""SELECT * FROM (SELECT *, {share_sql('files_changed', 'sum(files_changed) OVER (PARTITION BY repo_id, username)')} AS percentage FROM
                    (SELECT repo_id, username, language, count(*) AS commit_count, count(*) AS files_changed, sum(insertions)::BIGINT AS loc_added,
@@ -200,7 +229,24 @@ QUERIES = {
                    WHERE NOT (language = 'Java' AND repo_id % 2 = 0)"""),
     ),
     "a29_contrib_modules": (
-        lambda t: co.module_contributions(_history(t)),
+        lambda t: co.module_contributions(t.commits()),
+        oracle(f"""SELECT *, {share_sql('files_changed', 'sum(files_changed) OVER (PARTITION BY repo_id, username)')} AS percentage FROM
+                   (SELECT repo_id, username, module, count(*) AS commit_count, count(*) AS files_changed, sum(insertions)::BIGINT AS loc_added
+                    FROM user_changes GROUP BY ALL)"""),
+    ),
+    "a27_in_steps": (
+        lambda t: inc.contributions(t.spark, _steps(t)).select(
+            "repo_id", "username", "commit_count", "insertions", "deletions", "files_changed", "active_days", "first_commit_at", "last_commit_at"),
+        oracle("SELECT * FROM user_stats"),
+    ),
+    "a28_in_steps": (
+        lambda t: inc.language_contributions(t.spark, _steps(t)),
+        oracle(f"""SELECT *, {share_sql('files_changed', 'sum(files_changed) OVER (PARTITION BY repo_id, username)')} AS percentage FROM
+                   (SELECT repo_id, username, language, count(*) AS commit_count, count(*) AS files_changed, sum(insertions)::BIGINT AS loc_added,
+                      sum(deletions)::BIGINT AS loc_deleted FROM user_changes WHERE language IS NOT NULL GROUP BY ALL)"""),
+    ),
+    "a29_in_steps": (
+        lambda t: inc.module_contributions(t.spark, _steps(t)),
         oracle(f"""SELECT *, {share_sql('files_changed', 'sum(files_changed) OVER (PARTITION BY repo_id, username)')} AS percentage FROM
                    (SELECT repo_id, username, module, count(*) AS commit_count, count(*) AS files_changed, sum(insertions)::BIGINT AS loc_added
                     FROM user_changes GROUP BY ALL)"""),
@@ -269,6 +315,11 @@ QUERIES = {
                   UNION ALL SELECT project_repository_id, commit_date, commit_count + day(commit_date) - 15 FROM repository_daily
                   WHERE day(commit_date) >= 10) GROUP BY ALL"""),
     ),
+    "j23_daily_stream": (
+        _streamed,
+        """SELECT user_id % 25 AS repo_id, ts::DATE AS commit_date, count(*) AS commit_count FROM events
+           WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY ALL""",
+    ),
     "j24_dim_get_or_create": (
         lambda t: mg.get_or_create(
             t.profiles().filter(F.col("id") % 2 == 0).select("id", "canonical_username"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..bindings import Tables
+from ..operators import postings as po
 from ..plans import developers as d
 from ..plans.portfolio import repository_modules
 from .canonical_sql import oracle, share_sql
@@ -40,6 +41,19 @@ def _tags(rows):
     return rows.withColumn("tags", F.array_join("tags", ","))
 
 
+def _strings(t: Tables):
+    """Search strings made of parts and customers: whole words, ends of names, two digits, absent ones."""
+    of_parts = t.raw("part").filter(F.col("p_partkey") % 20 == 0).select(F.substring("p_name", 2, 6).alias("q"))
+    of_names = t.raw("customer").filter(F.col("c_custkey") % 100 == 7).select(F.upper(F.substring("c_name", -4, 4)).alias("q"))
+    few = t.raw("nation").select(F.explode(F.array(F.upper(F.substring("n_name", 1, 4)), F.col("n_nationkey").cast("string"))).alias("q"))
+    return of_parts.unionByName(of_names).unionByName(few)
+
+
+STRINGS = """SELECT DISTINCT q FROM (SELECT substr(p_name, 2, 6) AS q FROM part WHERE p_partkey % 20 = 0
+  UNION ALL SELECT upper(right(c_name, 4)) FROM customer WHERE c_custkey % 100 = 7
+  UNION ALL SELECT upper(substr(n_name, 1, 4)) FROM nation UNION ALL SELECT n_nationkey::VARCHAR FROM nation) WHERE q <> ''"""
+
+
 QUERIES = {
     "a1_developer_totals": (_all, oracle(ALL)),
     "j1_contrib_by_project": (lambda t: d.developer_totals(_project(t)), oracle(PROJECT)),
@@ -81,6 +95,13 @@ QUERIES = {
         oracle("""SELECT DISTINCT developer_id FROM profiles WHERE display_name ILIKE '%machinery%'
                   OR canonical_username ILIKE '%machinery%' OR primary_email ILIKE '%machinery%'"""),
     ),
+    "p8_search_table": (
+        lambda t: po.search(
+            t.profiles(), "id", ["display_name", "canonical_username", "primary_email"], _strings(t), "q"
+        ),
+        oracle(f"""SELECT q, id FROM profiles, ({STRINGS}) WHERE contains(lower(display_name), lower(q))
+                   OR contains(lower(canonical_username), lower(q)) OR contains(lower(primary_email), lower(q))"""),
+    ),
     "j8_in_subquery": (
         lambda t: d.developer_totals(
             d.restricted(d.contrib_all(t.contributions(), t.profiles()), t.profiles(), t.developer_tags(), "9", "BUILDING")

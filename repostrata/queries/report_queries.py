@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..bindings import AS_OF, Tables
 from ..operators import inventory as inv
 from ..operators.latest import queue_rows
 from ..plans import reports as r
+from ..session import checkpoint_dir
+from ..sources import layout
 from ..sources import tables as st
 from .canonical_sql import oracle
 
@@ -115,6 +119,13 @@ def _documents(t: Tables):
     )
 
 
+def _laid_out(t: Tables, facts) -> str:
+    """Facts stored by scan, under a name of their own."""
+    name = f"facts_{uuid.uuid4().hex}"
+    layout.write_laid_out(facts, name, f"{checkpoint_dir(t.spark)}/{name}", 8)
+    return name
+
+
 QUERIES = {
     "a18_license_dependencies_report": (_licences, oracle(LICENCE_REPORT)),
     "a18_ecosystem_counts": (
@@ -205,6 +216,16 @@ QUERIES = {
         oracle("SELECT scan_id, severity, count(*) AS count FROM scan_risks GROUP BY ALL"),
     ),
     "a16_license_summary": (lambda t: inv.license_summary(t.dependencies()), oracle(SUMMARY)),
+    "a16_license_summary_laid_out": (
+        lambda t: inv.license_summary(layout.read_laid_out(t.spark, _laid_out(t, t.dependencies())).drop(layout.RANGE)),
+        oracle(SUMMARY),
+    ),
+    "a13_latest_facts_laid_out": (
+        lambda t: layout.of_latest_scans(t.spark, _laid_out(t, t.scan_languages()), t.scans()).groupBy("language").agg(
+            F.sum("loc").alias("total_loc"), F.sum("file_count").alias("total_files"), F.count("*").alias("repo_count")),
+        oracle("""SELECT language, sum(loc)::BIGINT AS total_loc, sum(file_count)::BIGINT AS total_files, count(*) AS repo_count
+                  FROM scan_languages WHERE scan_id IN (SELECT id FROM latest) GROUP BY ALL""", "scan_languages", "latest"),
+    ),
     "a16_license_counts": (
         lambda t: inv.license_counts(t.dependencies()),
         oracle("SELECT scan_id, coalesce(license_spdx, 'unknown') AS license, count(*) AS packages FROM dependencies GROUP BY ALL"),

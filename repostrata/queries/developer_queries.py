@@ -54,6 +54,17 @@ STRINGS = """SELECT DISTINCT q FROM (SELECT substr(p_name, 2, 6) AS q FROM part
   UNION ALL SELECT upper(substr(n_name, 1, 4)) FROM nation UNION ALL SELECT n_nationkey::VARCHAR FROM nation) WHERE q <> ''"""
 
 
+def _pieces(t: Tables):
+    """Search strings of two and four characters from names of nations, regions and parts."""
+    names = [t.raw(table).select(F.col(name).alias("name")) for table, name in (("nation", "n_name"), ("region", "r_name"), ("part", "p_name"))]
+    every = names[0].unionByName(names[1]).unionByName(names[2])
+    return every.select(F.explode(F.array(F.substring("name", 2, 2), F.substring("name", 1, 4), F.substring("name", -2, 2))).alias("q")).distinct()
+
+
+PIECES = """SELECT DISTINCT unnest([substr(name, 2, 2), substr(name, 1, 4), right(name, 2)]) AS q FROM (
+  SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region UNION ALL SELECT p_name FROM part)"""
+
+
 QUERIES = {
     "a1_developer_totals": (_all, oracle(ALL)),
     "j1_contrib_by_project": (lambda t: d.developer_totals(_project(t)), oracle(PROJECT)),
@@ -102,6 +113,14 @@ QUERIES = {
         oracle(f"""SELECT q, id FROM profiles, ({STRINGS}) WHERE contains(lower(display_name), lower(q))
                    OR contains(lower(canonical_username), lower(q)) OR contains(lower(primary_email), lower(q))"""),
     ),
+    "p9_search_table": (
+        lambda t: po.search(t.projects(), "id", ["name", "description"], _pieces(t), "q"),
+        oracle(f"""SELECT q, id FROM projects, ({PIECES}) WHERE contains(lower(name), lower(q)) OR contains(lower(description), lower(q))"""),
+    ),
+    "p12_search_table": (
+        lambda t: po.search(t.project_repositories(), "id", ["name"], _pieces(t), "q"),
+        oracle(f"""SELECT q, id FROM prs, ({PIECES}) WHERE contains(lower(name), lower(q))"""),
+    ),
     "j8_in_subquery": (
         lambda t: d.developer_totals(
             d.restricted(d.contrib_all(t.contributions(), t.profiles()), t.profiles(), t.developer_tags(), "9", "BUILDING")

@@ -12,3 +12,74 @@ def test_listed_identifiers_are_sent_to_the_lines(files):
     found = pdn.pdn_findings(tree, [("who", "name"), ("who", None), ("x", "absent")])
     assert "SortMergeJoin" not in _plan(found) and "hashpartitioning" not in _plan(found)
     assert [(r["line_number"], r["matched_identifier"]) for r in found.collect()] == [(1, "name")]
+
+
+def test_manifest_texts_are_written_after_the_shuffle(spark):
+    import re
+
+    from repostrata.bindings import Tables
+    from repostrata.queries.manifest_queries import manifest_trees
+
+    plan = _plan(manifest_trees(Tables(spark, "/root/testdata/sf0.001"), "yarn.lock", "go.mod"))
+    collected = re.findall(r"collect_list\(([^)]*)", plan)
+    assert collected and not any("replace" in c for c in collected)
+    assert plan.count("hashpartitioning(l_orderkey") == 1 and "hashpartitioning(repo_id" not in plan
+
+
+def test_code_lines_need_their_word_and_any_newline_counts(files):
+    from pyspark.sql import functions as F
+
+    from repostrata.functions import dims, text
+    from repostrata.operators import complexity as cx
+
+    body = "import a\r\ndef f():\x0b  x = 'define' async def g():\r pass\ndef h(): pass"
+    found = files([("r", "a.py", body), ("r", "b.rb", "")]).select(
+        "path", text.text_lines(F.col("content")).alias("lines"), F.when(F.col("path") == "a.py", "Python").otherwise("Ruby").alias("language")
+    ).select("path", F.size("lines"), cx.function_starts(F.col("lines"), F.col("language")), cx.import_lines(F.col("lines"), F.col("language")))
+    assert sorted(map(tuple, found.collect())) == [("a.py", 6, [1, 3, 5], ["import a"]), ("b.rb", 0, [], [])]
+    assert dims.FUNCTION_WORDS.keys() == dims.FUNCTION_PATTERNS.keys() and dims.IMPORT_WORDS.keys() == dims.IMPORT_PATTERNS.keys()
+
+
+def test_postings_and_hits_are_not_broadcast(spark):
+    from repostrata.operators import postings
+
+    rows = spark.createDataFrame([(i, f"name {i}") for i in range(300)], "id long, t string")
+    queries = spark.createDataFrame([("E 1",), ("9",)], "q string")
+    found = postings.search(rows, "id", ["t"], queries, "q")
+    found.collect()
+    assert _plan(found).split("Initial Plan")[0].count("SortMergeJoin") >= 2
+    assert found.count() == sum(f"name {i}".startswith("name 1") for i in range(300)) + sum("9" in str(i) for i in range(300))
+
+
+def test_a_folder_of_facts_is_one_file(spark, tmp_path):
+    from repostrata.sources import tables
+
+    target = str(tmp_path / "facts")
+    rows = spark.range(0, 6000, 1, 8).selectExpr("pmod(id * 7, 3000) AS scan_id", "id AS v")
+    tables.append_facts(rows, target)
+    assert len(list((tmp_path / "facts").glob("key_bucket=*/*.parquet"))) == 3
+    assert tables.read_facts(spark, target).count() == 6000
+
+
+def test_days_and_parts_are_counted_without_tripling_the_lines(spark):
+    from repostrata.bindings import Tables
+
+    plan = _plan(Tables(spark, "/root/testdata/sf0.001").contributions())
+    assert "Expand" not in plan and plan.count("hashpartitioning(l_orderkey") == 1
+
+
+def test_buckets_and_folders_follow_the_rows(spark, tmp_path, monkeypatch):
+    from repostrata.sources import layout
+
+    monkeypatch.setattr(layout, "BUCKET_ROWS", 100)
+    monkeypatch.setattr(layout, "FOLDERS", 3)
+    rows = spark.range(1000).selectExpr("id * 50 AS scan_id", "id AS v")
+    layout.write_laid_out(rows, "facts_growing", str(tmp_path / "facts_growing"), 2, 1000)
+    try:
+        assert "Num Buckets" in [r[0] for r in spark.sql("DESCRIBE FORMATTED facts_growing").collect()]
+        buckets = spark.sql("DESCRIBE FORMATTED facts_growing").filter("col_name = 'Num Buckets'").first()["data_type"]
+        assert buckets == "10" and len(list((tmp_path / "facts_growing").glob("scan_range=*"))) == 3
+        assert layout.of_scans(spark, "facts_growing", spark.createDataFrame([(50,), (49950,)], "id long")).count() == 2
+        assert layout.read_laid_out(spark, "facts_growing").count() == 1000
+    finally:
+        spark.sql("DROP TABLE facts_growing")

@@ -60,10 +60,11 @@ def search(rows: DataFrame, key: str, columns: list[str], queries: DataFrame, qu
     rank = F.row_number().over(Window.partitionBy("query").orderBy("rows", "gram"))
     chosen = counted.withColumn("rank", rank).filter(F.col("rank") <= rarest)
     chosen = chosen.withColumn("needed", F.count("*").over(Window.partitionBy("query"))).select("query", "needle", "gram", "needed")
-    met = index.join(chosen, "gram").groupBy("query", "needle", "needed", "key", "place").agg(F.count_distinct("gram").alias("n"))
+    # Spark can't tell how much an explode makes of a row and would send postings and hits through the driver
+    met = index.hint("merge").join(chosen, "gram").groupBy("query", "needle", "needed", "key", "place").agg(F.count_distinct("gram").alias("n"))
     near = met.filter(F.col("n") >= F.col("needed")).select("query", "needle", "key", "place")
     texts = rows.select(F.col(f"`{key}`").alias("key"), _texts(columns))
-    hits = near.join(texts, ["key", "place"]).filter(F.contains("text", "needle"))
+    hits = near.hint("merge").join(texts, ["key", "place"]).filter(F.contains("text", "needle"))
     return hits.select("query", "key").distinct().withColumnsRenamed({"query": query, "key": key})
 
 

@@ -47,8 +47,9 @@ def append_facts(
     the rows, and a scan whose result is now empty keeps its earlier rows. Partitions hold
     a range of scan ids (`key_bucket`), not one id each, which keeps the number of folders
     bounded at any number of scans. Other scans of a bucket stay. A bucket that would be
-    left without rows holds one with a null key, which `read_facts` leaves out. One writer
-    at a time.
+    left without rows holds one with a null key, which `read_facts` leaves out. A folder is
+    written by one task, so there are as many files as folders, not as many times tasks.
+    One writer at a time.
     """
     spark = rows.sparkSession
     number = F.floor(F.col(key) / bucket).cast("long")
@@ -68,7 +69,7 @@ def append_facts(
         merged = whole.unionByName(empty, allowMissingColumns=True)
         merged = _materialised(merged, target)
     (
-        merged.write.mode("overwrite")
+        merged.repartition("key_bucket").write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("key_bucket")
         .parquet(target)

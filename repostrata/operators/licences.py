@@ -24,7 +24,7 @@ from ..functions.licensing import (
     normalise_spdx,
     trove_to_spdx,
 )
-from ..session import cut
+from ..session import cut, stored
 from . import manifests as m
 from .lookup import lookup
 
@@ -229,7 +229,7 @@ def license_files(source_files: DataFrame) -> DataFrame:
         | (path.startswith("vendor/") & F.substring_index(path, "/", -1).isin(*dims.LICENSE_FILE_NAMES))
         | path.rlike(r"\.dist-info/METADATA$")
     )
-    return cut(source_files.filter(wanted).select("repo_id", "path", "content"))
+    return stored(source_files.filter(wanted).select("repo_id", "path", "content"))
 
 
 def repository_licenses(source_files: DataFrame) -> DataFrame:

@@ -19,6 +19,8 @@ from ..operators.latest import latest_scan_ids
 
 RANGE = "scan_range"
 HOT = 3
+#: Rows of a bucket on the average, and folders of a table, at most.
+BUCKET_ROWS, FOLDERS = 2_000_000, 1_000
 #: Up to so many folders are named to Spark; a query that needs more reads the table as a whole.
 NAMED = 10_000
 
@@ -26,15 +28,21 @@ NAMED = 10_000
 def write_laid_out(facts: DataFrame, table: str, path: str, buckets: int, width: int = 1000, key: str = "scan_id") -> None:
     """Store facts as the external table `table` in shared storage; rows without a scan are left out.
 
-    `buckets` should give files of some hundred megabytes; `width` ids share a folder.
+    `buckets` should give files of some hundred megabytes; `width` ids share a folder. Both are the
+    least there is: a bucket is one task when it is read, so there are more of them for more rows
+    (`BUCKET_ROWS`), and folders are wider where ids span more than `FOLDERS` of them.
     """
     spark = facts.sparkSession
-    rows = facts.filter(F.col(key).isNotNull()).withColumn(RANGE, F.floor(F.col(key) / width).cast("long"))
+    held = facts.filter(F.col(key).isNotNull())
+    count, low, high = held.agg(F.count("*"), F.min(key), F.max(key)).first()
+    buckets = max(buckets, -(-count // BUCKET_ROWS))
+    width = max(width, -(-(high - low + 1) // FOLDERS)) if count else width
+    rows = held.withColumn(RANGE, F.floor(F.col(key) / width).cast("long"))
+    bucket = F.pmod(F.hash(key), F.lit(buckets))
     (
-        rows.repartition(buckets, key).write.mode("overwrite").partitionBy(RANGE)
+        rows.repartition(RANGE, bucket).write.mode("overwrite").partitionBy(RANGE)
         .bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
     )
-    bucket = F.pmod(F.hash(key), F.lit(buckets))
     sizes = spark.read.schema(rows.schema).parquet(path).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
     largest, total = sizes.agg(F.max("n"), F.sum("n")).first()
     hot = largest is not None and largest > HOT * max(total / buckets, 1)

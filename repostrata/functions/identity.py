@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import dims
-from .common import blank_to_null, let, strip
+from .common import blank_to_null, let, literal_array, strip
 
 _ONE = {k: v for k, v in dims.CYRILLIC_TO_LATIN.items() if len(v) == 1}
 _MANY = {k: v for k, v in dims.CYRILLIC_TO_LATIN.items() if len(v) > 1}
@@ -28,15 +28,18 @@ def strip_diacritics(name: Column) -> Column:
 
 
 def _ascii(name: Column) -> Column:
-    # the longer forms are looked up by character, in names that have any of them
-    has_long = name.rlike("[" + "".join(_LONG) + "]")
+    # characters with a longer form are looked up once each, among those beyond ASCII
+    beyond = F.regexp_replace(name, r"[\x00-\x7F]+", "")
+    return F.when(name.rlike(r"[^\x00-\x7F]"), let(beyond, lambda b: _latin(name, b))).otherwise(name)
+
+
+def _latin(name: Column, beyond: Column) -> Column:
     table = F.create_map(*[F.lit(x) for kv in _LONG.items() for x in kv])
-    long_forms = F.array_join(
-        F.transform(F.split(name, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), ""
-    )
+    found = F.array_intersect(F.split(beyond, ""), literal_array(list(_LONG)))
+    long_forms = F.aggregate(found, name, lambda text, c: F.replace(text, c, F.try_element_at(table, c)))
+    has_long = F.translate(beyond, "".join(_LONG), "") != beyond
     plain = F.translate(F.when(has_long, long_forms).otherwise(name), _FROM, _TO)
-    latin = F.regexp_replace(plain, r"[^\x00-\x7F]", "")
-    return F.when(name.rlike(r"[^\x00-\x7F]"), latin).otherwise(name)
+    return F.regexp_replace(plain, r"[^\x00-\x7F]", "")
 
 
 def clean_name(name: Column) -> Column:

@@ -83,3 +83,17 @@ def test_buckets_and_folders_follow_the_rows(spark, tmp_path, monkeypatch):
         assert layout.read_laid_out(spark, "facts_growing").count() == 1000
     finally:
         spark.sql("DROP TABLE facts_growing")
+
+
+def test_long_forms_are_looked_up_once_a_character(spark):
+    from pyspark.sql import functions as F
+
+    from repostrata.functions import dims, identity
+
+    single, ascii_, long_ = dims.diacritic_tables()
+    every = "a\n" + "".join(long_) + single + "жZ中"
+    rows = spark.createDataFrame([(0, every), (1, "½½ … é½"), (2, "plain ~"), (3, ""), (4, None), (5, "中")], "k int, t string")
+    found = rows.select("k", identity.strip_diacritics(F.col("t")).alias("a"))
+    assert "transform(split" not in _plan(found)
+    assert dict(map(tuple, found.collect())) == {
+        0: "a\n" + "".join(long_.values()) + ascii_ + "Z", 1: "1212 ... e12", 2: "plain ~", 3: "", 4: None, 5: ""}

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from ..functions import paths
 from ..functions.common import blank_to_null, strip
 from ..functions.scalars import iso_parse
+from ..functions.text import unix_newlines
 
 # The line that starts each commit in an exported log. A log is written with
 # --no-merges --numstat and this line, the sha, author name, author e-mail and
@@ -16,7 +17,6 @@ from ..functions.scalars import iso_parse
 COMMIT_MARK = "@@repostrata-commit@@"
 
 CHANGE_TYPE = "struct<path:string,insertions:bigint,deletions:bigint,language:string>"
-_NEWLINE = r"\r\n|[\n\r]"
 
 
 def read_log_text(spark: SparkSession, path: str, mark: str = COMMIT_MARK) -> DataFrame:
@@ -92,8 +92,9 @@ def parse_log(blocks: DataFrame) -> DataFrame:
     A block needs four header lines, a sha of at least seven characters and a
     readable time; anything else is dropped. Entirely row-local, no shuffle.
     """
-    lines = F.split(strip(F.col("value")), _NEWLINE)
-    head = blocks.select("repo_id", "seq", lines.alias("lines")).filter(F.size("lines") >= 4)
+    # exploded, so that no filter below makes Spark split the block again
+    lines = F.array(F.split(strip(unix_newlines(F.col("value"))), "\n"))
+    head = blocks.select("repo_id", "seq", F.explode_outer(lines).alias("lines")).filter(F.size("lines") >= 4)
 
     def header(i: int) -> Column:
         return strip(F.get("lines", F.lit(i)))

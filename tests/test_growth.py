@@ -97,3 +97,28 @@ def test_long_forms_are_looked_up_once_a_character(spark):
     assert "transform(split" not in _plan(found)
     assert dict(map(tuple, found.collect())) == {
         0: "a\n" + "".join(long_.values()) + ascii_ + "Z", 1: "1212 ... e12", 2: "plain ~", 3: "", 4: None, 5: ""}
+
+
+def test_log_lines_are_split_once_and_read_without_patterns(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from repostrata.functions import common, paths
+    from repostrata.sources import history
+
+    spaces = [chr(c) for c in range(0x3100) if re.fullmatch(r"\s", chr(c)) and not 0x1C <= c <= 0x1F]
+    assert sorted(common.WHITE_SPACE) == spaces
+    names = ["a.py", "", ".py", "x/.py", "x/..Py", "a.", "a.b/c", "a.b/c.JS", "a.py\n", "é.Go", "/", "x/a.b.rb", "...", "a..", " . "]
+    rows = spark.createDataFrame([(n,) for n in [*names, None]], "p string").withColumn("s", paths.suffix(F.col("p")))
+    assert {r["p"]: r["s"] for r in rows.collect()} == {
+        n: (re.findall(r"(?<=[^/])(\.[^./]+)\Z", n) or [""])[0].lower() for n in names} | {None: None}
+    raw = [" src/{old => new}/a.py ", "a => b.py", "x/{ => y}", "a =>", " ", "{a => }", None, "p�", "node_modules/a.py"]
+    rows = spark.createDataFrame([(r,) for r in raw], "r string").withColumn("c", paths.clean_filepath(F.col("r")))
+    assert [r["c"] for r in rows.collect()] == ["src/new/a.py", "b.py", "x/y", "a =>", None, None, None, None, "node_modules/a.py"]
+    block = "\r\nabcdefg\rname\r\nmail\n2024-01-02T03:04:05+00:00\n\n1\t2\tx.py\n 3\t-\t.git/y\n4\t-\ta b.go  "
+    logs = spark.createDataFrame([("r", 1, block), ("r", 2, "a\nb\nc"), ("r", 3, None)], "repo_id string, seq long, value string")
+    parsed = history.parse_log(logs)
+    assert "Generate explode(array(split(" in parsed._jdf.queryExecution().optimizedPlan().toString()
+    [row] = parsed.collect()
+    assert row["sha"] == "abcdefg" and [tuple(c) for c in row["file_changes"]] == [("x.py", 1, 2, "Python"), ("a b.go", 4, 0, "Go")]

@@ -2,32 +2,41 @@
 
 `pairs` holds (scan_a, scan_b) rows, so any number of comparisons is one job.
 The pairs are exploded to one row per side, joined to the facts once, and the two sides
-of a key meet in one grouping.
+of a key meet in one window.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 PAIR = ["scan_a", "scan_b"]
 
 
 def _matched(rows: DataFrame, pairs: DataFrame, key: str, values: list[str]) -> DataFrame:
-    """Pairs and keys with the values of either side as structs `a` and `b`, null where missing."""
+    """Pairs and keys with the values of either side as structs `a` and `b`, null where missing.
+
+    A key has a row or two in a pair, which a partial sum wouldn't shrink: a window needs no table
+    of them all in memory, only a sort.
+    """
     sides = pairs.select(
         *PAIR,
         F.inline(F.array(*[F.struct(F.col(s).alias("scan_id"), F.lit(s == "scan_a").alias("_a")) for s in PAIR])),
     )
-    met = sides.join(rows.select("scan_id", key, *values), "scan_id").where(F.col(key).isNotNull())
+    met = sides.join(rows.select("scan_id", key, *values).where(F.col(key).isNotNull()), "scan_id")
     of = {"a": F.col("_a"), "b": ~F.col("_a")}
-    both = met.groupBy(*PAIR, key).agg(
-        *[F.max(own).alias(f"_has_{side}") for side, own in of.items()],
-        *[F.max(F.when(own, F.col(v))).alias(f"_{side}_{v}") for side, own in of.items() for v in values],
-    )
+    order = W.partitionBy(*PAIR, key).orderBy("_a")
+    group = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    both = met.select(
+        *PAIR, key,
+        F.row_number().over(order).alias("_n"),
+        *[F.max(own).over(group).alias(f"_has_{side}") for side, own in of.items()],
+        *[F.max(F.when(own, F.col(v))).over(group).alias(f"_{side}_{v}") for side, own in of.items() for v in values],
+    ).where(F.col("_n") == 1)
     return both.select(
         *PAIR, key,
-        *[F.when(F.col(f"_has_{s}"), F.struct(*[F.col(f"_{s}_{v}").alias(v) for v in values])).alias(s) for s in of],
+        *[F.when(F.col(f"_has_{s}"), F.struct(F.lit(True).alias("there"), *[F.col(f"_{s}_{v}").alias(v) for v in values])).alias(s) for s in of],
     )
 
 
@@ -87,8 +96,8 @@ def developer_diff(contribs: DataFrame, profiles: DataFrame, pairs: DataFrame) -
     """User names only in b joined, only in a left."""
     names = contribs.select("scan_id", F.col("profile_id").alias("id")).join(
         profiles.select("id", "canonical_username"), "id"
-    ).select("scan_id", "canonical_username").distinct().withColumn("there", F.lit(True))
-    m = _matched(names, pairs, "canonical_username", ["there"])
+    ).select("scan_id", "canonical_username")
+    m = _matched(names, pairs, "canonical_username", [])
     return m.filter(F.col("a").isNull() | F.col("b").isNull()).select(
         *PAIR,
         "canonical_username",

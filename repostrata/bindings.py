@@ -148,18 +148,23 @@ class Tables:
         )
 
     def contributions(self) -> DataFrame:
-        """Per scan and profile. Days are counted by their first line: two distinct counts side by
-        side would write every line three times. The lines are dealt once, for all steps."""
+        """Per scan and profile. Days and parts are counted by their first line: distinct counts would
+        write every line three times, or keep all of them in two tables in memory. The lines are dealt
+        once, by scan, for all steps and for joins by scan that follow."""
         keys = ["l_orderkey", "l_suppkey"]
-        first = F.row_number().over(Window.partitionBy(*keys, "l_shipdate").orderBy("l_partkey")) == 1
-        lines = self.lines().select(*keys, "l_partkey", "l_shipdate", "qty", "l_linenumber").repartition(*keys)
-        return lines.withColumn("day", F.when(first, F.col("l_shipdate"))).groupBy(
+
+        def first(column: str, order: str) -> Column:
+            in_order = Window.partitionBy(*keys, column).orderBy(order)
+            return F.when(F.row_number().over(in_order) == 1, F.col(column))
+
+        lines = self.lines().select(*keys, "l_partkey", "l_shipdate", "qty", "l_linenumber").repartition("l_orderkey")
+        return lines.withColumn("day", first("l_shipdate", "l_partkey")).withColumn("part", first("l_partkey", "l_shipdate")).groupBy(
             F.col("l_orderkey").alias("scan_id"), F.col("l_suppkey").alias("profile_id")
         ).agg(
             F.count("*").alias("commit_count"),
             F.sum("qty").alias("insertions"),
             F.sum("l_linenumber").alias("deletions"),
-            F.count_distinct("l_partkey").alias("files_changed"),
+            F.count("part").alias("files_changed"),
             F.count("day").alias("active_days"),
             F.min("l_shipdate").alias("first_commit_at"),
             F.max("l_shipdate").alias("last_commit_at"),

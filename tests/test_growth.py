@@ -122,3 +122,32 @@ def test_log_lines_are_split_once_and_read_without_patterns(spark):
     assert "Generate explode(array(split(" in parsed._jdf.queryExecution().optimizedPlan().toString()
     [row] = parsed.collect()
     assert row["sha"] == "abcdefg" and [tuple(c) for c in row["file_changes"]] == [("x.py", 1, 2, "Python"), ("a b.go", 4, 0, "Go")]
+
+
+def test_sides_of_a_pair_meet_without_a_table_in_memory(spark):
+    from repostrata.operators import compare
+
+    pairs = spark.createDataFrame([(1, 2), (1, 2), (2, 3)], "scan_a long, scan_b long")
+    profiles = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, None), (4, "z")], "id long, canonical_username string")
+    contribs = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (2, 3), (2, 3), (3, 4), (9, 1), (None, 1)], "scan_id long, profile_id long")
+    found = compare.developer_diff(contribs, profiles, pairs)
+    assert "HashAggregate" not in _plan(found) and "Window" in _plan(found)
+    assert sorted(map(tuple, found.collect())) == [(1, 2, "y", "joined"), (2, 3, "x", "left"), (2, 3, "y", "left"), (2, 3, "z", "joined")]
+
+
+def test_contributions_keep_no_distinct_lines_and_are_dealt_by_scan(spark, tmp_path):
+    import datetime as dt
+
+    from repostrata.bindings import Tables
+
+    days = [dt.datetime(2024, 1, d) for d in (1, 2)]
+    lines = [(1, 1, 5, 1, 2.0, "A", "O", days[0]), (1, 1, 5, 2, 3.0, "A", "O", days[1]), (1, 2, 5, 3, 1.0, "A", "O", days[1]), (1, 2, 6, 4, 1.0, "A", "O", None),
+             (1, 9, 5, 5, 1.0, "A", "O", days[0]), (None, 1, 5, 1, 4.0, "A", "O", days[0])]
+    columns = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    spark.createDataFrame(lines, columns).write.parquet(str(tmp_path / "lineitem.parquet"))
+    parts = [(1, "a", "b", "t", 3), (1, "a", "b", "t", 3), (2, "c", "b", "t", 4)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    found = Tables(spark, str(tmp_path)).contributions()
+    assert "distinct" not in _plan(found) and "hashpartitioning(l_orderkey" in _plan(found) and "hashpartitioning(scan_id" not in _plan(found)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([
+        (1, 5, 5, 11, 9, 2, 2, days[0], days[1]), (1, 6, 1, 1, 4, 1, 0, None, None), (None, 5, 2, 8, 2, 1, 1, days[0], days[0])], key=str)

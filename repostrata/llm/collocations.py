@@ -14,6 +14,10 @@ corpus; a phrase that the filter takes in by mistake is counted as exactly as th
 words are numbered and phrases are exact tuples of numbers; what leaves it is one row per
 distinct phrase of some `BATCH_WORDS` words, which Spark adds up.
 
+Nearly all of the border is rare, so the full pass goes over the texts twice. First only hashes of
+`SLOT_BITS` bits are counted, each for all phrases that share it: a phrase occurs at most as often as
+its hash, so those whose hash is rarer than the bound are out. The rest is then counted phrase by phrase.
+
 A candidate is a phrase of 2 to 5 words with at least `least` occurrences. Its score is
 floor(1000 a n / (l r)) of the cut with the lowest one, in decimals of 38 digits.
 Candidates inside a longer one that is as frequent are left out.
@@ -48,6 +52,8 @@ SAMPLED, SAMPLE_LEAST = 8, 6
 #: Up to so many new phrases are looked for in a text before its words are numbered.
 PROBES = 100_000
 FILTER_BITS = 26
+#: Bits of the hashes that are counted in place of phrases; no fewer than those of the filter.
+SLOT_BITS = 40
 BATCH_WORDS = 1_500_000
 #: Rows that leave a task at a time.
 ROWS = 1 << 16
@@ -142,7 +148,15 @@ class Filter:
                     [pa.array((slot >> np.uint64(6)).view(np.int64)), pa.array(bits.view(np.int64))], names=["slot", "bits"]
                 )
 
-        placed = map_arrow(phrases.select("lang", "phrase"), work, "slot long, bits long")
+        return self._united(map_arrow(phrases.select("lang", "phrase"), work, "slot long, bits long"))
+
+    def plus_slots(self, slots: DataFrame) -> Filter:
+        """With all phrases of some hashes (slot) added."""
+        place = F.shiftright("slot", int(self.shift) - 64 + SLOT_BITS)
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+        return self._united(slots.select(F.shiftright(place, 6).alias("slot"), bit.alias("bits")))
+
+    def _united(self, placed: DataFrame) -> Filter:
         out = self.bits.copy()
         for row in placed.groupBy("slot").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
             out[row["slot"]] |= row["bits"]
@@ -165,15 +179,13 @@ class _Hashes:
         return self.now
 
 
-def _count(tokens: np.ndarray, upto: int, lang: str, numbers: Tokens, levels: tuple[int, ...],
-           chosen: Callable[[_Hashes, int], np.ndarray]) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
-    """(k, phrases, counts) of the phrases that begin before `upto`, as far as chosen.
+def _places(tokens: np.ndarray, upto: int, lang: str, words: list[bytes], levels: tuple[int, ...],
+            chosen: Callable[[_Hashes, int], np.ndarray]) -> Iterator[tuple[int, np.ndarray, _Hashes]]:
+    """(k, places, hashes) of the phrases that begin before `upto`, as far as chosen.
 
     `chosen(hashes, k)` tells for each place whether its phrase of k words is to be counted;
     hashes(j) are those of the j words from each place on.
     """
-    words = numbers.words()
-    names, kinds = pa.array(words, pa.binary()), np.int64(len(words))
     own = _word_hashes(words)
     padded = np.concatenate([tokens, np.zeros(LONGEST, dtype=np.int32)])
     n = len(tokens)
@@ -184,11 +196,19 @@ def _count(tokens: np.ndarray, upto: int, lang: str, numbers: Tokens, levels: tu
     for k in levels:
         mask = inside[k].copy()
         mask[upto:] = False
-        if k > 1:
-            mask &= chosen(hashes, k)
+        mask &= chosen(hashes, k)
         at = np.flatnonzero(mask)
-        if not len(at):
-            continue
+        if len(at):
+            yield k, at, hashes
+
+
+def _count(tokens: np.ndarray, upto: int, lang: str, numbers: Tokens, levels: tuple[int, ...],
+           chosen: Callable[[_Hashes, int], np.ndarray]) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """(k, phrases, counts) of the chosen phrases."""
+    words = numbers.words()
+    names, kinds = pa.array(words, pa.binary()), np.int64(len(words))
+    padded = np.concatenate([tokens, np.zeros(LONGEST, dtype=np.int32)])
+    for k, at, _ in _places(tokens, upto, lang, words, levels, chosen):
         code, packed, room = padded[at].astype(np.int64), 1, kinds
         for j in range(1, k):
             if int(room) * int(kinds) >= 1 << 62:
@@ -210,14 +230,9 @@ def _count(tokens: np.ndarray, upto: int, lang: str, numbers: Tokens, levels: tu
         yield k, pc.binary_join_element_wise(*taken, pa.scalar(b" ", pa.binary())) if k > 1 else taken[0], counts
 
 
-def count_phrases(docs: DataFrame, levels: tuple[int, ...], chosen, shared, bounds: Bounds,
-                  probes: dict[str, set[tuple[bytes, ...]]] | None = None) -> DataFrame:
-    """Exact counts (lang, k, phrase, f) of the chosen phrases of (lang, text).
-
-    `shared` is a broadcast that `chosen(value, hashes, k)` gets. A row with k = 0 holds
-    the words of a language. Where `probes` are given, one- and two-word beginnings by language, texts that hold
-    none of them have no chosen phrase.
-    """
+def _count_batches(docs: DataFrame, rows: Callable[..., Iterator[pa.RecordBatch]], schema: str, chosen, shared, bounds: Bounds,
+                   probes: dict[str, set[tuple[bytes, ...]]] | None = None) -> DataFrame:
+    """What `rows(tokens, upto, lang, numbers, chosen)` makes of each batch of words of (lang, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = shared.value if shared is not None else None
@@ -231,10 +246,7 @@ def count_phrases(docs: DataFrame, levels: tuple[int, ...], chosen, shared, boun
             tokens, own = np.concatenate(held.pop(lang)), numbers.pop(lang, None) or Tokens()
             words.pop(lang, None)
             upto = max(0, len(tokens) - LONGEST + 1) if open_ else len(tokens)
-            begun = int((tokens[:upto] > 0).sum())
-            yield from _rows(lang, 0, pa.array([b""], pa.binary()), np.array([begun]))
-            for k, phrases, counts in _count(tokens, upto, lang, own, levels, lambda h, k: chosen(value, h, k)):
-                yield from _rows(lang, k, phrases, counts)
+            yield from rows(tokens, upto, lang, own, lambda h, k: chosen(value, h, k))
             if open_:
                 names = own.words()
                 held[lang].append(numbers[lang].of([names[t] if t else b"\n" for t in tokens[upto:].tolist()]).astype(np.int32))
@@ -257,7 +269,40 @@ def count_phrases(docs: DataFrame, levels: tuple[int, ...], chosen, shared, boun
             yield from flush(lang, False)
 
     own = docs.select(F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    return map_arrow(own, work, COUNTS).groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
+    return map_arrow(own, work, schema)
+
+
+def count_phrases(docs: DataFrame, levels: tuple[int, ...], chosen, shared, bounds: Bounds,
+                  probes: dict[str, set[tuple[bytes, ...]]] | None = None) -> DataFrame:
+    """Exact counts (lang, k, phrase, f) of the chosen phrases of (lang, text).
+
+    `shared` is a broadcast that `chosen(value, hashes, k)` gets. A row with k = 0 holds
+    the words of a language. Where `probes` are given, one- and two-word beginnings by language, texts that hold
+    none of them have no chosen phrase.
+    """
+
+    def rows(tokens: np.ndarray, upto: int, lang: str, numbers: Tokens, wanted) -> Iterator[pa.RecordBatch]:
+        begun = int((tokens[:upto] > 0).sum())
+        yield from _rows(lang, 0, pa.array([b""], pa.binary()), np.array([begun]))
+        for k, phrases, counts in _count(tokens, upto, lang, numbers, levels, wanted):
+            yield from _rows(lang, k, phrases, counts)
+
+    counted = _count_batches(docs, rows, COUNTS, chosen, shared, bounds, probes)
+    return counted.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
+
+
+def count_slots(docs: DataFrame, levels: tuple[int, ...], chosen, shared, bounds: Bounds) -> DataFrame:
+    """Counts (slot, f) of the chosen phrases by the first `SLOT_BITS` bits of their hashes."""
+    shift = np.uint64(64 - SLOT_BITS)
+
+    def rows(tokens: np.ndarray, upto: int, lang: str, numbers: Tokens, wanted) -> Iterator[pa.RecordBatch]:
+        for k, places, hashes in _places(tokens, upto, lang, numbers.words(), levels, wanted):
+            slots, counts = np.unique(hashes(k)[places] >> shift, return_counts=True)
+            for at in range(0, len(slots), ROWS):
+                own = [pa.array(slots[at : at + ROWS].view(np.int64)), pa.array(counts[at : at + ROWS].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(own, names=["slot", "f"])
+
+    return _count_batches(docs, rows, "slot long, f long", chosen, shared, bounds).groupBy("slot").agg(F.sum("f").alias("f"))
 
 
 def _rows(lang: str, k: int, phrases: pa.Array, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -272,13 +317,31 @@ def _rows(lang: str, k: int, phrases: pa.Array, counts: np.ndarray) -> Iterator[
         )
 
 
+def _every(_, hashes, k: int) -> np.ndarray:
+    return np.ones(len(hashes(0)), dtype=bool)
+
+
 def _both(filter_: Filter, hashes, k: int) -> np.ndarray:
-    """Whether the phrases without the last and without the first word are proposed. The
-    second begins one place further on, where the same hashes serve."""
+    """Whether the phrases without the last and without the first word are proposed; one word is always taken.
+    The second begins one place further on, where the same hashes serve."""
+    if k == 1:
+        return _every(None, hashes, k)
     proposed = filter_.has(hashes(k - 1))
     return proposed & np.append(proposed[1:], False)
 
 
+def _likely(filters: tuple[Filter, Filter], hashes, k: int) -> np.ndarray:
+    """Of those, the ones whose hashes are frequent."""
+    now, likely = filters
+    inner = hashes(k - 1)
+    out = likely.has(hashes(k))
+    if k > 1:
+        at = np.flatnonzero(out[:-1])
+        out = np.zeros(len(inner), dtype=bool)
+        out[at] = now.has(inner[at]) & now.has(inner[at + 1])
+    return out
+
+
 def _fresh(filters: tuple[Filter, Filter], hashes, k: int) -> np.ndarray:
     """Of those, the ones in which one of the two is new."""
     now, new = filters
@@ -293,7 +356,7 @@ def _fresh(filters: tuple[Filter, Filter], hashes, k: int) -> np.ndarray:
 def proposals(docs: DataFrame, sample_least: int, bounds: Bounds) -> DataFrame:
     """Phrases (lang, k, phrase) frequent in a sample of (lang, text), level by level."""
     spark = docs.sparkSession
-    words = store(count_phrases(docs, (1,), None, None, bounds).where((F.col("k") == 1) & (F.col("f") >= sample_least)).drop("f"), "words")
+    words = store(count_phrases(docs, (1,), _every, None, bounds).where((F.col("k") == 1) & (F.col("f") >= sample_least)).drop("f"), "words")
     now = Filter.none(bounds.filter_bits).plus(words)
     pairs = store(
         count_phrases(docs, (2,), _both, spark.sparkContext.broadcast(now), bounds).where((F.col("k") == 2) & (F.col("f") >= sample_least)).drop("f"), "pairs"
@@ -346,7 +409,10 @@ def frequent_phrases(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     sample = store(docs.select(F.col(f"`{lang}`").alias("lang"), F.array_join(drawn, "\n").alias("text")).where("text <> ''"), "sample")
     proposed = proposals(sample, sample_least, bounds)
     now = Filter.none(bounds.filter_bits).plus(proposed)
-    full = count_phrases(own, tuple(range(1, LONGEST + 1)), _both, spark.sparkContext.broadcast(now), bounds)
+    levels = tuple(range(1, LONGEST + 1))
+    slots = store(count_slots(own, levels, _both, spark.sparkContext.broadcast(now), bounds).where(F.col("f") >= least), "slots")
+    likely = Filter.none(bounds.filter_bits).plus_slots(slots)
+    full = count_phrases(own, levels, _likely, spark.sparkContext.broadcast((now, likely)), bounds)
     found = store(full.where((F.col("k") == 0) | (F.col("f") >= least)), "frequent")
     # failures of the border that can lie in a longer phrase
     missed = store(found.where(F.col("k").between(1, LONGEST - 1)).join(proposed, ["lang", "k", "phrase"], "left_anti"), "missed")

@@ -212,3 +212,23 @@ def test_phrases(docs, rows, bounds):
 def test_phrases_of_nothing(none, spark, docs):
     assert collocations.collocations(none).count() == 0
     assert collocations.collocations(docs.withColumn("text", F.lit(None).cast("string")), least=1).count() == 0
+
+
+def test_rare_phrases_leave_no_task_as_text(spark, monkeypatch):
+    """Nearly all of the border is rare; only phrases whose hash is frequent are counted as text."""
+    words = [f"w{i}" for i in range(40)]
+    texts = [f"{a} {b} end of line" for a in words for b in words]
+    rows = [(i, t, "en") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counted, own = [], collocations.count_phrases
+
+    def noted(docs, levels, *rest):
+        found = own(docs, levels, *rest)
+        if levels[0] == 1 and levels[-1] == collocations.LONGEST:
+            counted.append(found.where("k > 0").count())
+        return found
+
+    monkeypatch.setattr(collocations, "count_phrases", noted)
+    got = collocations.collocations(docs, least=30, sampled=1, sample_least=30).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    assert {tuple(r) for r in got.collect()} == mined(rows, 30, collocations.TOP)
+    assert counted and counted[0] < 200  # there are 1,600 different pairs of the first two words alone

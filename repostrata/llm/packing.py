@@ -18,7 +18,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,20 +35,22 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 #: Texts of these characters (Latin, Greek, Cyrillic) are split here, as the tokenizer would:
 #: every version of Unicode in use agrees on their kinds.
-PLAIN = re.compile(r"[\x00-\u052F]*")
-#: Pieces of text whose ids a worker remembers, and the longest of them.
+LAST_PLAIN = 0x52F
+PLAIN = re.compile(f"[\\x00-\\u{LAST_PLAIN:04x}]*")
+#: Pieces of text whose ids a worker remembers (twice as many at most), and the longest of them.
 KEEP_IDS, KEEP_CHARS = 400_000, 64
 
 _encoders: dict = {}
 
 
 class _Ids(dict):
-    """Piece of text to ids, made by the tokenizer's own model and remembered."""
+    """Piece of text to ids, made by the tokenizer's own model and remembered, as 32-bit little-endian
+    numbers. What was not asked for while KEEP_IDS others were is forgotten."""
 
     def __init__(self, tokenizer):
         from tokenizers.pre_tokenizers import ByteLevel
 
-        self.model = tokenizer.model
+        self.model, self.older = tokenizer.model, {}
         printable = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or 174 <= c <= 255]
         names = {c: chr(c) for c in printable} | {c: chr(256 + n) for n, c in enumerate(c for c in range(256) if c not in printable)}
         if set(names.values()) != set(ByteLevel.alphabet()):
@@ -57,17 +58,41 @@ class _Ids(dict):
         self.names = {chr(c): name for c, name in names.items()}  # latin-1 character to name
         self.table = str.maketrans(self.names)
 
-    def __missing__(self, piece: str) -> list[int]:
+    def __missing__(self, piece: str) -> bytes:
         if len(self) > KEEP_IDS:
+            self.older = dict(self)
             self.clear()
-        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.table))]
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = _bytes([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.table))])
         if len(piece) <= KEEP_CHARS:
             self[piece] = ids
         return ids
 
 
-def encoder(tokenizer_path: str):
-    """A function from texts to lists of ids, those of the tokenizer file.
+def _bytes(ids: list[int]) -> bytes:
+    return np.array(ids, dtype="<u4").tobytes()
+
+
+def plain_pattern(pattern: str) -> re.Pattern:
+    """The tokenizer's pattern for plain texts, with the characters of each kind written out, which
+    the regular expressions of the standard library split by in half the time."""
+    import regex
+
+    def ranges(kind: str) -> str:
+        own = [c for c in range(LAST_PLAIN + 1) if regex.match(kind, chr(c))]
+        starts, ends = [c for c in own if c - 1 not in own], [c for c in own if c + 1 not in own]
+        return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends, strict=True))
+
+    letters, numbers, blanks = ranges(r"\p{L}"), ranges(r"\p{N}"), ranges(r"\s")
+    for kind, own in ((r"[^\s\p{L}\p{N}]", f"[^{blanks}{letters}{numbers}]"), (r"\p{L}", f"[{letters}]"),
+                      (r"\p{N}", f"[{numbers}]"), (r"\s", f"[{blanks}]"), (r"\S", f"[^{blanks}]")):
+        pattern = pattern.replace(kind, own)
+    return re.compile(pattern)
+
+
+def byte_encoder(tokenizer_path: str):
+    """A function from texts to ids, those of the tokenizer file, as 32-bit little-endian numbers.
 
     The tokenizer first splits a text by a fixed pattern, and no merge crosses a split. So
     plain texts are split here, and the ids of each piece, made by the tokenizer's model,
@@ -77,24 +102,29 @@ def encoder(tokenizer_path: str):
     if tokenizer_path in _encoders:
         return _encoders[tokenizer_path]
     import public_tokenizers
-    import regex
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    split, ids = regex.compile(public_tokenizers.PATTERN).findall, _Ids(tokenizer)
+    split, ids = plain_pattern(public_tokenizers.PATTERN).findall, _Ids(tokenizer)
 
-    def encode(texts: list[str]) -> Iterator[list[int]]:
+    def encode(texts: list[str]) -> Iterator[bytes]:
         for text in texts:
-            if PLAIN.fullmatch(text) and not any(s in text for s in special):
-                yield list(chain.from_iterable(map(ids.__getitem__, split(text))))
+            if (text.isascii() or PLAIN.fullmatch(text)) and not any(s in text for s in special):
+                yield b"".join(map(ids.__getitem__, split(text)))
             else:
-                yield tokenizer.encode(text, add_special_tokens=False).ids
+                yield _bytes(tokenizer.encode(text, add_special_tokens=False).ids)
 
     _encoders[tokenizer_path] = encode
     return encode
 
 
+def encoder(tokenizer_path: str):
+    """A function from texts to lists of ids, those of the tokenizer file."""
+    encode = byte_encoder(tokenizer_path)
+    return lambda texts: (np.frombuffer(ids, dtype="<u4").tolist() for ids in encode(texts))
+
+
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW,
            tokenizer_path: str | None = None) -> DataFrame:
     """Stored pieces: where each starts in its document, its length and crc32, the
@@ -104,17 +134,19 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
     path = tokenizer_path or public_tokenizers.path(TOKENIZER)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(path), TaskContext.get().partitionId()
-        seen = np.zeros(window + 1, dtype=np.int64)
+        encode, part = byte_encoder(path), TaskContext.get().partitionId()
+        seen, end = [0] * (window + 1), _bytes([END_ID])
         for batch in batches:
             out: list[tuple] = []
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for key, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
-                data = np.array([*ids, END_ID], dtype="<u4")
-                for start in range(0, len(data), window):
-                    own = data[start : start + window]
-                    out.append((key, start, len(own), zlib.crc32(own.tobytes()), len(data), part, int(seen[len(own)])))
-                    seen[len(own)] += 1
+                data = ids + end
+                tokens = len(data) // 4
+                for start in range(0, tokens, window):
+                    own = data[4 * start : 4 * (start + window)]
+                    length = len(own) // 4
+                    out.append((key, start, length, zlib.crc32(own), tokens, part, seen[length]))
+                    seen[length] += 1
             if out:
                 columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), TYPES, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=NAMES)

@@ -179,6 +179,40 @@ def test_ids_are_those_of_the_tokenizer():
     assert list(packing.encoder(path)(texts)) == want  # from what is remembered
 
 
+def test_ids_while_pieces_are_forgotten(monkeypatch):
+    """Pieces that are asked for again and again are made once, however many others come between."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(packing.TOKENIZER)
+    monkeypatch.setattr(packing, "KEEP_IDS", 50)
+    monkeypatch.setattr(packing, "_encoders", {})
+    slow, made = Tokenizer.from_file(path), []
+
+    class Model:
+        def tokenize(self, piece):
+            made.append(piece)
+            return slow.model.tokenize(piece)
+
+    own = packing._Ids(slow)
+    own.model = Model()
+    for i in range(1000):
+        assert own[" other%d" % i] and own[" common"]
+    assert len([p for p in made if p.endswith("common")]) == 1 and len(own) + len(own.older) <= 110
+    texts = [f"common {i} words w{i}.\n\tand 'tis x{i}  y{i} é{i}ж" for i in range(300)]
+    assert list(packing.encoder(path)(texts)) == [x.ids for x in slow.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_plain_pattern_splits_as_the_tokenizers():
+    import public_tokenizers
+    import regex
+
+    own, rng = packing.plain_pattern(public_tokenizers.PATTERN), np.random.default_rng(7)
+    texts = [f"a{chr(c)} b {chr(c)}{chr(c)} 1{chr(c)}'s {chr(c)}" for c in range(packing.LAST_PLAIN + 1)]
+    texts += ["".join(map(chr, rng.integers(0, packing.LAST_PLAIN + 1, 60))) for _ in range(2000)]
+    assert [own.findall(t) for t in texts] == [regex.findall(public_tokenizers.PATTERN, t) for t in texts]
+
+
 def test_secrets(docs, rows, spark):
     patterns = [
         ("assign", re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A), 2, 12),

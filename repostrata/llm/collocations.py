@@ -157,11 +157,16 @@ class Filter:
         return self._united(slots.select(F.shiftright(place, 6).alias("slot"), bit.alias("bits")))
 
     def _united(self, placed: DataFrame) -> Filter:
+        # in one job, as two columns of numbers: an iterator would run a job for each partition
+        united = placed.groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
         out = self.bits.copy()
-        for row in placed.groupBy("slot").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
-            out[row["slot"]] |= row["bits"]
+        out[united["slot"].to_numpy()] |= united["bits"].to_numpy()
         return Filter(out)
 
+    def joined(self, other: Filter) -> Filter:
+        """With the phrases of another one of this size added."""
+        return Filter(self.bits | other.bits)
+
 
 class _Hashes:
     """Hashes of the phrases of so many words from each place on; only the last ones are kept."""
@@ -417,7 +422,8 @@ def frequent_phrases(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     # failures of the border that can lie in a longer phrase
     missed = store(found.where(F.col("k").between(1, LONGEST - 1)).join(proposed, ["lang", "k", "phrase"], "left_anti"), "missed")
     while not missed.isEmpty():
-        now, new = now.plus(missed), Filter.none(bounds.filter_bits).plus(missed)
+        new = Filter.none(bounds.filter_bits).plus(missed)
+        now = now.joined(new)
         more = count_phrases(own, tuple(range(2, LONGEST + 1)), _fresh, spark.sparkContext.broadcast((now, new)), bounds, _probes(missed))
         more = more.where((F.col("k") > 0) & (F.col("f") >= least)).join(found.select("lang", "k", "phrase"), ["lang", "k", "phrase"], "left_anti")
         more = store(more.select("lang", "k", "phrase", "f"), "frequent")

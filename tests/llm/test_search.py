@@ -232,3 +232,24 @@ def test_rare_phrases_leave_no_task_as_text(spark, monkeypatch):
     got = collocations.collocations(docs, least=30, sampled=1, sample_least=30).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
     assert {tuple(r) for r in got.collect()} == mined(rows, 30, collocations.TOP)
     assert counted and counted[0] < 200  # there are 1,600 different pairs of the first two words alone
+
+
+def test_a_filter_is_fetched_in_one_job(spark):
+    """Not in one for each partition, one after the other; and filters of one size unite."""
+    context, n = spark.sparkContext, 40
+    texts = [f"w{i} w{i + 1}" for i in range(300)]
+    halves = [spark.createDataFrame([("en", t) for t in own], "lang string, phrase string") for own in (texts[:150], texts[100:])]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(before, (str(n), "false")):
+            spark.conf.set(k, v)
+        context.setJobGroup("filter", "bits of a filter")
+        whole = collocations.Filter.none(12).plus(halves[0].unionByName(halves[1]))
+        jobs = context.statusTracker().getJobIdsForGroup("filter")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert 0 < len(jobs) < n / 4
+    one, other = (collocations.Filter.none(12).plus(own) for own in halves)
+    assert (one.joined(other).bits == whole.bits).all() and (one.plus(halves[1]).bits == whole.bits).all() and whole.bits.any()

@@ -450,6 +450,34 @@ def test_lines_by_characters(spark):
     assert all(r["near"] == r["truth"] for r in got) and len({r["near"] for r in got}) == 2
 
 
+def test_texts_of_lines_stay_in_their_buckets(spark):
+    """Hashing the words of stored lines moves none of them."""
+    rng = np.random.default_rng(63)
+    lines = spark.createDataFrame([(i, sentence(rng, 20)) for i in range(200)], "h long, line string")
+    texts = common.store_by(lines, "texts", "h")
+    found = linedup.simhashes(texts)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in found.select("h", "sim").collect()} == {tuple(r) for r in linedup.simhashes(lines).select("h", "sim").collect()}
+    assert {tuple(r) for r in texts.collect()} == {tuple(r) for r in lines.collect()}
+
+
+def test_bounds_of_edits_lose_and_add_no_pair(spark):
+    """Words and blanks put in, left out, swapped and changed, about as often as there is room for."""
+    rng, pairs = np.random.default_rng(64), []
+    for n in [int(x) for x in rng.integers(1, 60, 150)]:
+        first = sentence(rng, n)
+        for k in (1, max(1, len(first) // 14), max(1, len(first) // 10), len(first) // 10 + 1):
+            second = typed(rng, first, k)
+            words = second.split(" ")
+            at = int(rng.integers(len(words)))
+            pairs += [(first, second), (second, first), (first, " ".join(words[:at] + words[at + 1 :])), (first, " ".join(words[::-1])),
+                      (first, second.replace(" ", "", k // 2)), (first, second.replace("a", "𝔞é", 2)), (first, edited(rng, first, 1))]
+    for x in (0.9, 0.75, 1.0):
+        truth = F.expr(f"levenshtein(x, y) <= floor(greatest(length(x), length(y)) * {1 - x!r}D + 1e-9)")
+        got = spark.createDataFrame(pairs, "x string, y string").select(linedup.within_room("x", "y", x).alias("near"), truth.alias("truth")).collect()
+        assert all(r["near"] == r["truth"] for r in got) and (x == 1 or len({r["near"] for r in got}) == 2)
+
+
 def test_isolated_pairs_of_lines_meet(spark):
     """Pairs without a third line, up to a tenth of whose words differ."""
     rng = np.random.default_rng(62)

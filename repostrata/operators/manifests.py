@@ -422,7 +422,9 @@ def with_direct_names(lock_files: DataFrame, source_files: DataFrame) -> DataFra
         F.col("devDependencies").alias("dev_names"),
     )
     none = F.array().cast("array<string>")
-    return lock_files.join(declared, "repo_id", "left").select(
+    # Spark knows no size of names read from text and may take those of a whole portfolio for a
+    # table small enough to collect on the driver
+    return lock_files.join(declared.hint("merge"), "repo_id", "left").select(
         *lock_files.columns,
         F.coalesce("direct_names", none).alias("direct_names"),
         F.coalesce("dev_names", none).alias("dev_names"),

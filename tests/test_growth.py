@@ -151,3 +151,12 @@ def test_contributions_keep_no_distinct_lines_and_are_dealt_by_scan(spark, tmp_p
     assert "distinct" not in _plan(found) and "hashpartitioning(l_orderkey" in _plan(found) and "hashpartitioning(scan_id" not in _plan(found)
     assert sorted(map(tuple, found.collect()), key=str) == sorted([
         (1, 5, 5, 11, 9, 2, 2, days[0], days[1]), (1, 6, 1, 1, 4, 1, 0, None, None), (None, 5, 2, 8, 2, 1, 1, days[0], days[0])], key=str)
+
+
+def test_names_beside_a_lockfile_are_not_collected_on_the_driver(files):
+    from repostrata.operators import manifests as ma
+
+    tree = files([("r", "package.json", '{"dependencies": {"a": "1"}}'), ("r", "package-lock.json", '{"lockfileVersion": 3, "packages": {"node_modules/a": {"version": "1"}}}')])
+    locked = ma.package_lock(tree)
+    assert "BroadcastHashJoin" not in _plan(locked) and "SortMergeJoin" in _plan(locked)
+    assert [(r["name"], r["is_direct"]) for r in locked.collect()] == [("a", True)]

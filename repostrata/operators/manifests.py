@@ -486,12 +486,11 @@ def npm_lock_packages(source_files: DataFrame) -> DataFrame:
             F.coalesce(blank_to_null(e["value"]["license"]), e["value"]["licence"]).alias("license"),
         ),
     )
-    columns = ["repo_id", "path", "direct_names"]
-    new = locks.filter(by_path).select(*columns, listed.cast(f"array<{FLAT_PACKAGE}>").alias("packages"))
-    old = locks.filter(~by_path).select(
-        *columns, F.from_json(flatten_lock_tree("content"), f"array<{FLAT_PACKAGE}>").alias("packages")
-    )
-    return new.withColumn("is_v1", F.lit(False)).unionByName(old.withColumn("is_v1", F.lit(True)))
+    # one pass for both forms: with a branch each, files would be made, parsed and joined twice
+    told = locks.withColumn("is_v1", ~by_path)
+    tree = flatten_lock_tree(F.when(F.col("is_v1"), F.col("content")))
+    packages = F.when(F.col("is_v1"), F.from_json(tree, f"array<{FLAT_PACKAGE}>")).otherwise(listed.cast(f"array<{FLAT_PACKAGE}>"))
+    return told.select("repo_id", "path", "direct_names", packages.alias("packages"), "is_v1")
 
 
 def package_lock(source_files: DataFrame) -> DataFrame:

@@ -160,3 +160,22 @@ def test_names_beside_a_lockfile_are_not_collected_on_the_driver(files):
     locked = ma.package_lock(tree)
     assert "BroadcastHashJoin" not in _plan(locked) and "SortMergeJoin" in _plan(locked)
     assert [(r["name"], r["is_direct"]) for r in locked.collect()] == [("a", True)]
+
+
+def test_both_forms_of_a_lockfile_are_read_in_one_pass(files):
+    from repostrata.operators import manifests as ma
+
+    tree = files([
+        ("v1", "package-lock.json", '{"dependencies": {"a": {"version": "1", "dev": true, "dependencies": {"b": {"version": "2"}}}}}'),
+        ("v2", "package-lock.json", '{"lockfileVersion": 2, "packages": {"": {}, "node_modules/a/node_modules/c": {"version": "3"}}, "dependencies": {"z": {}}}'),
+        ("low", "package-lock.json", '{"lockfileVersion": 1, "packages": {"node_modules/x": {}}, "dependencies": {"y": {}}}'),
+        ("bad", "package-lock.json", "{"), ("list", "package-lock.json", "[]"), ("v2", "package.json", '{"dependencies": {"c": "1"}}'),
+    ])
+    found = ma.package_lock(tree)
+    # by now one join and one call of Python
+    assert _plan(found).count("SortMergeJoin") == 1 and _plan(found).count("ArrowEvalPython") == 1
+    rows = sorted((r["repo_id"], r["name"], r["version"], r["dep_type"], r["is_direct"], r["item_seq"]) for r in found.collect())
+    assert rows == [
+        ("low", "y", None, "prod", False, 0), ("v1", "a", "1", "dev", False, 0), ("v1", "b", "2", "prod", False, 1), ("v2", "c", "3", "prod", True, 0),
+    ]
+    assert {r["repo_id"]: r["is_v1"] for r in ma.npm_lock_packages(tree).collect()} == {"v1": True, "v2": False, "low": True, "list": True}

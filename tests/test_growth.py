@@ -179,3 +179,45 @@ def test_both_forms_of_a_lockfile_are_read_in_one_pass(files):
         ("low", "y", None, "prod", False, 0), ("v1", "a", "1", "dev", False, 0), ("v1", "b", "2", "prod", False, 1), ("v2", "c", "3", "prod", True, 0),
     ]
     assert {r["repo_id"]: r["is_v1"] for r in ma.npm_lock_packages(tree).collect()} == {"v1": True, "v2": False, "low": True, "list": True}
+
+
+def test_a_project_file_is_parsed_once(files):
+    from repostrata.operators import manifests as ma
+
+    text = '[project]\ndependencies = ["p>=1", "q"]\n[tool.poetry.dependencies]\npython = "^3"\na = "1"\n[tool.poetry.group.test.dependencies]\nb = {version = "2"}\n'
+    found = ma.pyproject(files([("r", "pyproject.toml", text), ("bad", "pyproject.toml", "[a")]))
+    assert _plan(found).count("ArrowEvalPython") == 1
+    rows = sorted((r["item_seq"], r["name"], r["version"], r["dep_type"], r["package_manager"]) for r in found.collect())
+    assert rows == [(0, "a", "1", "prod", "poetry"), (1, "b", "2", "dev", "poetry"), (10_000_000, "p", ">=1", "prod", None), (10_000_001, "q", None, "prod", None)]
+
+
+def test_plain_toml_is_read_as_by_the_library():
+    import json
+    import random
+    import tomllib
+
+    from repostrata.operators.manifests import plain_toml
+
+    assert plain_toml('[a.b]\nc = { v = "1", f = ["x", "y",], o = true } # c\n[[p]]\nn = 3\n[p.d]\nx = "é"\n[[p]]\n') == {
+        "a": {"b": {"c": {"v": "1", "f": ["x", "y"], "o": True}}}, "p": [{"n": 3, "d": {"x": "é"}}, {}]}
+    lines = [
+        "[a]", "[b]", "[a.b]", "[a.b.c]", "[[p]]", "[p.d]", "[p.d.e]", "[[a]]", "[ a ]", 'x = "1"', 'z = ["a", "b",]', "w = []", 'q = { v = "1", f = ["a"], o = true }', "t = true",
+        "n = 3", "n = 03", "m = 1.5", 'k = "a\\n"', "# c", "", ' x="" # z', '"q" = "1"', "d.e = 'l'", 'u = """', "r = [1]", 'v = [\n "a"]', "bad", 'i = { a = "1", a = "2" }',
+        'a = "v"', 'p = "v"', 'b = { c = "1" }', "[a.d]", 'h = "\x01"', "# \x01", "[c]\r", "x = tru", 'e = "a" "b"', "f = 1979-05-27", 'd = "p"', "n = -1", "b = {}",
+    ]
+    rng = random.Random(1)
+    for _ in range(20_000):
+        text = "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 6))) + rng.choice(["", "\n"])
+        plain = plain_toml(text)
+        if plain is not None:
+            assert json.dumps(plain) == json.dumps(tomllib.loads(text)), text
+
+
+def test_a_reader_of_manifests_reads_its_own_folder(files):
+    from repostrata.operators import manifests as ma
+
+    stored = ma.manifest_files(files([("r", "go.sum", "m v1/go.mod h\n"), ("r", "package.json", "{}"), ("r", "x/a.csproj", '<P><PackageReference Include="n" Version="1" /></P>'), ("r", "b.py", "")]))
+    own = _plan(ma.go_sum(stored)).split("PartitionFilters: [")[1].split("]")[0]
+    assert stored.count() == 3 and "manifest_kind" in own and "go.sum" in own
+    assert [r["name"] for r in ma.all_dependencies(stored).orderBy("name").collect()] == ["m", "n"]
+    assert ma.manifest_files(files([("r", "b.py", "")])).count() == 0

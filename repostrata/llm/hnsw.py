@@ -8,7 +8,9 @@ that, the shard audits itself: the links that the beams find for a sample of its
 then of each batch of queries, most of which are of other shards, are held
 against brute force over the shard, and beams are doubled until the recall is reached, as a mean
 over the points that have links, and for points of few links apart;
-a beam as wide as the shard is brute force itself. What is found is verified by cosine in
+a beam as wide as the shard is brute force itself. Where a beam would meet so many points that
+holding the query against all of the shard takes no longer (`scanned`: small shards, and beams that the audit had
+to widen), that is done instead, without loss. What is found is verified by cosine in
 double precision. A task returns, for each query, how many vectors it links with and
 edges to the shard's components only, so a group of n copies costs about n edges.
 
@@ -40,11 +42,33 @@ LEAST_SHARDS, SHARD_ROWS = 8, 100_000
 #: Points of a shard, at least and at most, and queries of a batch that are held against brute force.
 AUDIT, AUDIT_MOST, AUDIT_ASKED = 256, 2048, 64
 AUDIT_RECALL, AUDIT_KEPT, FEW, BLOCK = 0.99, 2048, 16, 64
+#: Cosines of one query with all points of a shard that take the time of one with a link met on the way.
+GATHERED = 24
 #: How many visited marks a block of queries may take.
 MARKS = 8_000_000
 FOUND = "id long, links long, other long"
 
 
+class Scan:
+    """The vectors of one shard without a graph: each query is held against all of them, which is exact."""
+
+    def __init__(self, unit: np.ndarray):
+        self.unit, self.node_of = np.ascontiguousarray(unit), np.arange(len(unit))
+
+    def within(self, q: np.ndarray, least: float, width: int = 0) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for at in range(0, len(q), BLOCK):
+            near = q[at : at + BLOCK] @ self.unit.T >= least
+            row, node = np.nonzero(near)
+            out += np.split(node, np.searchsorted(row, np.arange(1, len(near))))
+        return out
+
+
+def scanned(points: int, width: int, gathered: float = GATHERED) -> bool:
+    """Whether holding a query against all points takes no longer than a beam of that width."""
+    return points <= width * 2 * LINKS * gathered
+
+
 class Graph:
     """The graph of one shard over unit vectors; node 0 is on the highest level."""
 
@@ -164,7 +188,7 @@ class Graph:
 
     def within(self, q: np.ndarray, least: float, width: int) -> list[np.ndarray]:
         """Nodes with a cosine of about `least` or more for each query; a beam that is full
-        of them is doubled."""
+        of them is doubled, or all nodes are scanned where that is less work."""
         out: list[np.ndarray] = [np.empty(0, dtype=np.int64)] * len(q)
         block = max(1, MARKS // len(self.unit))
         for at in range(0, len(q), block):
@@ -176,6 +200,10 @@ class Graph:
                 for i in np.flatnonzero(~full):
                     out[left[i]] = nodes[i][near[i] >= least].astype(np.int64)
                 left, start, wide = left[full], nodes[full], min(2 * wide, len(self.unit))
+                if len(left) and scanned(len(self.unit), wide):
+                    for i, found in zip(left, Scan(self.unit).within(q[left], least), strict=True):
+                        out[i] = found
+                    break
         return out
 
 
@@ -239,17 +267,18 @@ def near_vectors(embeddings: DataFrame, vec_id: str = "vec_id", vector: str = "e
         rows.groupBy("f", "v").agg(F.min("id").alias("id"), F.count("*").alias("w")).withColumn("d", F.size("v")), "classes"
     )
     shards = max(LEAST_SHARDS, -(-classes.count() // SHARD_ROWS))
+    gathered = GATHERED  # the workers get it from here
 
     def work(shard: int, held: dict[str, np.ndarray], asked: Iterator[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         def unit(v: np.ndarray) -> np.ndarray:
             v = v.astype(np.float64)
             return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
 
-        graph = Graph(unit(held["v"]), shard)
-        ids, sizes, vectors = (held[c][graph.node_of] for c in ("id", "w", "v"))
-        least = np.float32(threshold - 1e-5)
-        audit = Audit(graph, least)
-        audit.sample(graph.unit, np.arange(len(ids)), AUDIT, AUDIT_MOST)
+        points, least = unit(held["v"]), np.float32(threshold - 1e-5)
+        index: Graph | Scan = Scan(points) if scanned(len(points), SEARCH_BEAM, gathered) else Graph(points, shard)
+        ids, sizes, vectors = (held[c][index.node_of] for c in ("id", "w", "v"))
+        audit = Audit(index, least) if isinstance(index, Graph) else None
+        width = audit.sample(index.unit, np.arange(len(ids)), AUDIT, AUDIT_MOST) if audit else 0
         by_id = np.argsort(ids)
         parent = np.arange(len(ids))
 
@@ -261,14 +290,18 @@ def near_vectors(embeddings: DataFrame, vec_id: str = "vec_id", vector: str = "e
 
         for batch in asked:
             out, asking = [], unit(batch["v"])
-            place = by_id[np.minimum(np.searchsorted(ids, batch["id"], sorter=by_id), len(ids) - 1)]
-            width = audit.sample(asking, np.where(ids[place] == batch["id"], place, -1), AUDIT_ASKED, AUDIT_ASKED)
-            for key, q, own in zip(batch["id"], batch["v"], graph.within(asking, least, width), strict=True):
+            if audit and not scanned(len(ids), width, gathered):
+                place = by_id[np.minimum(np.searchsorted(ids, batch["id"], sorter=by_id), len(ids) - 1)]
+                width = audit.sample(asking, np.where(ids[place] == batch["id"], place, -1), AUDIT_ASKED, AUDIT_ASKED)
+            if audit and scanned(len(ids), width, gathered):
+                # so wide a beam costs more than all points; these lie in the graph's order
+                index, audit = Scan(index.unit), None
+            for key, q, own in zip(batch["id"], batch["v"], index.within(asking, least, width), strict=True):
                 own = own[ids[own] != key]
                 if len(own):
                     own = own[cosine(vectors[own], np.broadcast_to(q, (len(own), len(q)))) >= threshold]
                 if len(own):
-                    tops = sorted({root(int(x)) for x in own})
+                    tops = sorted({root(int(x)) for x in np.unique(parent[own])})
                     for x in tops[1:]:
                         parent[x] = tops[0]
                     out += [(int(key), int(sizes[own].sum()) if i == 0 else 0, int(ids[x])) for i, x in enumerate(tops)]

@@ -683,3 +683,29 @@ def test_registered_names():
 
     names = [n for n in entry.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
+
+
+def test_scans_find_what_beams_find_and_take_over_wide_ones():
+    rng = np.random.default_rng(18)
+    points = rng.standard_normal((1500, 24)).astype(np.float32)
+    points[700:1200] = points[0] + rng.standard_normal((500, 24)).astype(np.float32) * 0.05
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    graph, scan, least = hnsw.Graph(points, 1), hnsw.Scan(points), np.float32(0.9)
+    truth = points @ points.T >= least
+    assert [list(f) for f in scan.within(points, least)] == [list(np.flatnonzero(t)) for t in truth]
+    widths, real = [], graph.beam
+    graph.beam = lambda q, start, level, width: widths.append(width) or real(q, start, level, width)
+    found = graph.within(points, least, 32)
+    # beams full of one large group are not widened up to the whole shard, step by step
+    assert max(widths) == 32 and all(set(graph.node_of[f]) == set(np.flatnonzero(truth[i])) for i, f in enumerate(found) if truth[i].sum() > 64)
+    assert hnsw.scanned(10_000, 32) and not hnsw.scanned(100_000, 32) and hnsw.scanned(100_000, 256)
+
+
+@pytest.mark.parametrize("gathered", [0, 0.05])
+def test_near_vectors_by_graph_and_by_scan(vectors, gathered, monkeypatch):
+    own = usable_vectors(vectors)
+    links = [(a, b) for a, b in combinations(own, 2) if own[a] @ own[b] / np.sqrt((own[a] @ own[a]) * (own[b] @ own[b])) >= 0.9]
+    truth, n = union_find(own, links), Counter(x for p in links for x in p)
+    monkeypatch.setattr(hnsw, "GATHERED", gathered)
+    for r in hnsw.near_vectors(vectors).collect():
+        assert (r["n_links"], r["component_id"]) == (n[r["vec_id"]], truth.get(r["vec_id"], r["vec_id"]))

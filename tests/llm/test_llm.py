@@ -709,3 +709,22 @@ def test_near_vectors_by_graph_and_by_scan(vectors, gathered, monkeypatch):
     monkeypatch.setattr(hnsw, "GATHERED", gathered)
     for r in hnsw.near_vectors(vectors).collect():
         assert (r["n_links"], r["component_id"]) == (n[r["vec_id"]], truth.get(r["vec_id"], r["vec_id"]))
+
+
+def test_shuffles_of_a_stored_table_leave_the_disk(spark):
+    def held():
+        return spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").count("shuffle_")
+
+    before, setting = held(), spark.conf.get(common.FILES_GO)
+    rows = spark.range(0, 5000, 1, 4).groupBy((F.col("id") % 97).alias("k")).agg(F.sum("id").alias("n"))
+    tables = [common.store(rows, "sums"), common.store_by(rows, "sums", "k")]
+    assert held() <= before and spark.conf.get(common.FILES_GO) == setting
+    assert all(t.agg(F.sum("n")).first()[0] == 4999 * 2500 for t in tables)
+
+
+@pytest.mark.parametrize("agree", [2, 3])
+def test_passes_have_all_keys_of_blocks_once(spark, agree):
+    sim = F.col("sim")
+    shares = F.concat(*[linedup.block_keys(sim, agree, share=i) for i in range(linedup.PASSES)])
+    rows = spark.createDataFrame([(0,), (-1,), (123456789012345678,)], "sim long").select(linedup.block_keys(sim, agree), shares)
+    assert all(sorted(a) == sorted(b) and len(set(b)) == (15 if agree == 2 else 20) for a, b in rows.collect())

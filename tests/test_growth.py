@@ -221,3 +221,13 @@ def test_a_reader_of_manifests_reads_its_own_folder(files):
     assert stored.count() == 3 and "manifest_kind" in own and "go.sum" in own
     assert [r["name"] for r in ma.all_dependencies(stored).orderBy("name").collect()] == ["m", "n"]
     assert ma.manifest_files(files([("r", "b.py", "")])).count() == 0
+
+
+def test_lines_of_manifests_are_null_without_a_name_or_version(spark):
+    from pyspark.sql import functions as F
+
+    from repostrata.queries.manifest_queries import _fill
+
+    rows = spark.createDataFrame([("n1", "2.0"), ("n2", None), (None, "3.0")], "name string, v string").select(F.struct("name", "v").alias("p"))
+    found = rows.select(_fill("{n} = {v}, {n}\n", F.col("p")), _fill("gem '{n}'\n", F.col("p"))).collect()
+    assert [tuple(r) for r in found] == [("n1 = 2.0, n1\n", "gem 'n1'\n"), (None, None), (None, None)]
